@@ -1,15 +1,16 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions only.
 
-A window (ten consecutive item words, or a whole shorter item) is a set of positioned shingles. Containment needs all of
-them, so the necessary prefix is one token: its rarest shingle over the whole corpus. Corpus positions join on that
-token; the position in the window and the length of the document bound where the window can lie; equality of the whole
-item-sized window decides. The benchmark is the query set: it's taken in blocks of a checked size, each broadcast, so
-that no text is ever shuffled; only one short row a document and partition is.
+A window (ten consecutive item words, or a whole shorter item) is a set of positioned shingles of three words. One pass
+over the texts finds every position that holds a benchmark shingle, words compared exactly, and keeps those positions
+as one short row a document. Their counts over the whole corpus order shingles by rarity. Containment needs all shingles
+of a window, so its necessary prefix is one token, the rarest; documents join windows on that token alone. Offset and
+document length bound where the window can lie, and all its shingles in consecutive places verify it. The benchmark is
+the query set: it's taken in blocks of a checked size, each broadcast, so that no text is ever shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, stored
@@ -42,59 +43,67 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _keys(column, at, sizes: list[int]):
-    """One key for each shingle length that fits at the position."""
-    return [F.when(at + k <= F.size(column), _shingle(column, at, k)) for k in sizes]
+def _places(docs: DataFrame, grams: DataFrame, sizes: list[int], blocks: int) -> DataFrame:
+    """(doc_id, row, n_words, hits): hits are position << 32 | gram of every benchmark shingle in a document."""
+    base = docs.select("doc_id", words(F.col("text")).alias("a"), F.monotonically_increasing_id().alias("row"))
+    at = base.select("doc_id", "row", "a", F.posexplode_outer("a").alias("p", "first"))
+    at = at.withColumn("p", F.coalesce("p", F.lit(0)))
+    keys = [F.when(F.col("p") + k <= F.size("a"), _shingle(F.col("a"), F.col("p"), k)) for k in sizes]
+    keyed = at.withColumn("key", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)) if keys else F.lit(None).cast("long"))
+    found = None
+    for b in range(blocks):
+        mine = grams.filter(F.pmod("gkey", F.lit(blocks)) == b).select("gkey", "shingle", "g").distinct()
+        same = (F.col("key") == F.col("gkey")) & (F.slice("a", F.col("p") + 1, F.size("shingle")) == F.col("shingle"))
+        hit = keyed.join(F.broadcast(mine), same, "left").filter("g is not null or p = 0")
+        hit = hit.select("doc_id", "row", F.size("a").alias("n"), (F.shiftleft(F.col("p").cast("long"), 32) + F.col("g")).alias("hit"))
+        found = hit if found is None else found.unionByName(hit)
+    return found.groupBy("doc_id", "row").agg(F.max("n").cast("long").alias("n_words"), F.collect_set("hit").alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items (sorted item_id strings), contaminated; keys are kept, text is not.
+    """doc_id, row, n_words, n_hit, n_items, items (sorted item_id strings) and contaminated of every row of docs.
 
     Null text and null item text have no words; an item without words matches nothing; rows with one doc_id are
     documents of their own (one output row for each input row); other columns are ignored, whatever their names.
     An empty benchmark leaves every document clean. A null item_id counts as no item but its windows still hit.
     """
-    spark = docs.sparkSession
-    wins = windows(benchmark, window)
-    grams = wins.select("w", "items", F.least(F.size("w"), F.lit(shingle)).alias("k"))
+    wins = windows(benchmark, window).select("w", "items", F.least(F.size("w"), F.lit(shingle)).alias("k"))
     by_k = [F.when(F.col("k") == k, _grams(F.col("w"), k)) for k in range(1, shingle + 1)]
-    grams = stored(grams.select("w", "items", "k", F.explode(F.coalesce(*by_k)).alias("g")).select("w", "items", "k", "g.*"), "op1-grams")
+    grams = wins.select("w", "items", "k", F.explode(F.coalesce(*by_k)).alias("g")).select("w", "items", "k", "g.off", F.slice("w", F.col("g.off") + 1, F.col("k")).alias("shingle"), F.col("g.key").alias("gkey"))
+    ids = grams.select("shingle").distinct().withColumn("g", F.row_number().over(Window.orderBy("shingle")).cast("long"))
+    grams = stored(grams.join(ids, "shingle"), "op1-grams")
     sizes = sorted(r.k for r in grams.select("k").distinct().collect())  # at most `shingle` values
     bytes_ = grams.agg(F.sum(F.octet_length(F.concat_ws(" ", "w")) + 100)).first()[0] or 0
     blocks = max(1, -(-int(bytes_) // block_bytes))
-
-    base = docs.select("doc_id", words(F.col("text")).alias("a"), F.monotonically_increasing_id().alias("row"))
-    at = base.select("doc_id", "row", "a", F.posexplode_outer("a").alias("p", "first"))
-    at = at.withColumn("p", F.coalesce("p", F.lit(0)))
-    found = None
-    if sizes:
-        key = _keys(F.col("a"), F.col("p"), sizes)
-        keyed = at.withColumn("key", key[0]) if len(key) == 1 else at.withColumn("key", F.explode(F.array_append(F.array(*key[:-1]), key[-1])))
-        # Rarity of every benchmark shingle over all documents.
-        counts = None
-        for b in range(blocks):
-            mine = grams.filter(F.pmod("key", F.lit(blocks)) == b).select("key").distinct()
-            part = keyed.select("key").join(F.broadcast(mine), "key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-            counts = part if counts is None else counts.unionByName(part)
-        rare = grams.join(stored(counts, "op1-rarity"), "key", "left").groupBy("w", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "key", "k")).alias("g"))
-        rare = stored(rare.filter("g.df > 0").select("w", "items", "g.off", "g.key"), "op1-prefix")
-        for b in range(blocks):
-            mine = rare.filter(F.pmod("key", F.lit(blocks)) == b).withColumnRenamed("key", "wkey")
-            start = F.col("p") - F.col("off")
-            fits = (F.col("key") == F.col("wkey")) & (start >= 0) & (start + F.size("w") <= F.size("a")) & (F.slice("a", start + 1, F.size("w")) == F.col("w"))
-            hit = keyed.join(F.broadcast(mine), fits, "left").filter("w is not null or p = 0")
-            hit = hit.select("doc_id", "row", F.size("a").alias("n"), F.when(F.col("w").isNotNull(), F.struct(start.alias("s"), (start + F.size("w")).alias("e"))).alias("span"), "items")
-            found = hit if found is None else found.unionByName(hit)
-    else:
-        found = base.select("doc_id", "row", F.size("a").alias("n"), F.lit(None).cast("struct<s:int,e:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
-    one = found.groupBy("doc_id", "row").agg(F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    places = stored(_places(docs, grams, sizes, blocks), "op1-places")
+
+    one = places.select("doc_id", "row", "n_words", "hits", F.explode("hits").alias("hit"))
+    g, p = F.col("hit").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("hit", 32)
+    counts = one.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("df"))
+    # A window with a shingle that no document holds is nowhere; else its rarest shingle is its prefix.
+    all_g = F.transform(F.array_sort(F.collect_list(F.struct("off", "g"))), lambda x: x["g"]).alias("all")
+    rare = grams.join(counts, "g", "left").groupBy("w", "items").agg(F.min(F.struct("df", "off", "g")).alias("m"), F.min(F.coalesce("df", F.lit(0))).alias("least"), all_g)
+    rare = stored(rare.filter("least > 0").select(F.size("w").alias("len"), "items", "all", F.col("m.off").alias("off"), F.col("m.g").alias("wg")), "op1-prefix")
+    spans = None
+    for b in range(blocks):
+        start = p - F.col("off")
+        fits = (g == F.col("wg")) & (start >= 0) & (start + F.col("len") <= F.col("n_words"))
+        near = one.join(F.broadcast(rare.filter(F.pmod("wg", F.lit(blocks)) == b)), fits)
+        needs = F.transform("all", lambda x, o: F.shiftleft((start + o).cast("long"), 32) + x)
+        near = near.filter(F.size(F.array_intersect("hits", needs)) == F.size(F.array_distinct(needs)))
+        near = near.select("doc_id", "row", F.struct(start.alias("s"), (start + F.col("len")).alias("e")).alias("span"), "items")
+        spans = near if spans is None else spans.unionByName(near)
+    spans = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "spans",
-        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
-        lambda s, x: F.struct(F.greatest(s["end"], x["e"]).alias("end"), (s["hit"] + F.greatest(x["e"] - F.greatest(x["s"], s["end"]), F.lit(0))).cast("long").alias("hit")),
+        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit")),
+        lambda s, x: F.struct(F.greatest(s["end"], x["e"]).cast("long").alias("end"), (s["hit"] + F.greatest(x["e"] - F.greatest(x["s"], s["end"]), F.lit(0))).cast("long").alias("hit")),
         lambda s: s["hit"],
     )
-    return one.select("doc_id", "row", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items").withColumn("contaminated", F.col("n_hit") > 0)
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), covered.alias("hit"), "items")
+    out = places.select("doc_id", "row", "n_words").join(spans, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("hit", F.lit(0).cast("long")))
+    return out.select("doc_id", "row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
