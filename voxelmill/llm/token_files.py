@@ -2,13 +2,12 @@
 
 The ids of all documents, each closed by an end id, form one stream in order of doc_id. Documents are dealt to shards by
 ranges of doc_id; a shard cuts its stream into sequences of equal length and writes them as record batches of two
-fixed-size lists, the ids and a mask that is 0 on the padding of the last sequence. Every sequence starts at a known
+fixed-size lists, the ids (16-bit where the vocabulary allows) and a mask that is false on the padding of the last sequence. Every sequence starts at a known
 byte, so a mapped file gives any of them without a copy. A second file holds doc_id, offset and length of each document.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 
@@ -23,14 +22,23 @@ from .common import read, shared_path
 
 LENGTH, BATCH = 2048, 64
 #: Most words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Where a blank isn't followed by a word, words can't be told by blanks alone.
 _ODD = re.compile(r" \s| $|<\|")
 
 
+def _visible() -> dict[int, str]:
+    """Byte-level models write each byte as a printable character: its own, or the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts. Byte-level pre-tokenisation always cuts before a blank that a word follows, so the ids of a
-    text are those of its words with their blank; the library encodes each word once. Other texts are encoded whole."""
+    """Ids of whole texts as little-endian numbers. Byte-level pre-tokenisation always cuts before a blank that a word
+    follows, so the ids of a text are those of its words with their blank. A word of Latin letters, with a comma or full
+    stop or without, is one or two pre-tokens for the library's model; it encodes others as texts. Ids of words are
+    remembered. Texts where blanks don't tell words are encoded whole."""
 
     def __init__(self, path: str):
         import os
@@ -38,35 +46,43 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.seen: dict[str, list[int]] = {}
-
-    def _fresh(self, words: list[str]) -> dict[str, list[int]]:
-        """Encodes words in one text: the ids are cut where a word starts."""
-        text = "".join(words)
-        got = self.model.encode(text, add_special_tokens=False)
-        starts = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
-        edges = np.cumsum([0, *map(len, words)])
-        at = np.searchsorted(starts, edges)
-        ids = got.ids
-        return {w: ids[at[i] : at[i + 1]] for i, w in enumerate(words)}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if _ODD.search(text) or not text:
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        first, *rest = text.split(" ")
-        words = [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
+        self.library = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.seen: dict[str, bytes] = {}
+        self.visible = _visible()
+        self.plain = "ByteLevel" in str(self.library.pre_tokenizer)
+        self.marks = {c: [t.id for t in self.library.model.tokenize(c)] for c in ",."}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of the word behind a blank."""
+        mark = word[-1:] if word[-1:] in self.marks else ""
+        body = word[: -len(mark)] if mark else word
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+            token = (" " + body).encode().decode("latin-1").translate(self.visible)
+            return self._packed([t.id for t in self.library.model.tokenize(token)] + (self.marks[mark] if mark else []))
+        return self._whole(" " + word)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.plain or _ODD.search(text):
+            return self._whole(text)
+        first, *words = text.split(" ")
         seen = self.seen
-        fresh = [w for w in dict.fromkeys(words) if w not in seen]
-        if fresh:
-            lead = fresh.pop(0) if fresh[0][:1] != " " else None
-            new = self._fresh(fresh) if fresh else {}
-            if lead is not None:
-                new[lead] = self.model.encode(lead, add_special_tokens=False).ids
-            if len(seen) > REMEMBERED:
-                return np.fromiter(itertools.chain.from_iterable(seen[w] if w in seen else new[w] for w in words), dtype=np.uint32)
-            seen |= new
-        return np.fromiter(itertools.chain.from_iterable(map(seen.__getitem__, words)), dtype=np.uint32)
+        try:
+            rest = b"".join(map(seen.__getitem__, words))
+        except KeyError:
+            new = {w: self._word(w) for w in dict.fromkeys(words) if w not in seen}
+            if len(seen) + len(new) <= REMEMBERED:
+                seen |= new
+                rest = b"".join(map(seen.__getitem__, words))
+            else:
+                rest = b"".join([seen[w] if w in seen else new[w] for w in words])
+        return (self._whole(first) if first else b"") + rest
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -77,8 +93,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, Encoder(path)) or _ENCODERS[path]
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, dtype: np.dtype) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def _write(batches, tokenizer: str, out: str, length: int, end: int):
@@ -89,32 +105,33 @@ def _write(batches, tokenizer: str, out: str, length: int, end: int):
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
     encode, index = encoder(tokenizer), []
-    held: list[np.ndarray] = []
+    dtype, held = encode.dtype, []
     size = total = 0
-    schema = _schema(length)
+    schema, close = _schema(length, dtype), np.array([end], dtype).tobytes()
 
     def flush(writer, last: bool) -> None:
         nonlocal held, size
-        ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
+        ids = np.frombuffer(b"".join(held), dtype)
         whole = len(ids) if last else len(ids) // (BATCH * length) * BATCH * length  # all batches but the last are full
         part, rest = ids[:whole], ids[whole:]
         pad = -len(part) % length
-        mask = np.ones(len(part) + pad, np.uint8)
+        mask = np.ones(len(part) + pad, bool)
         if pad:
-            mask[-pad:] = 0
-            part = np.concatenate([part, np.zeros(pad, np.uint32)])
+            mask[-pad:] = False
+            part = np.concatenate([part, np.zeros(pad, dtype)])
         for i in range(0, len(part), BATCH * length):
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + BATCH * length]), length) for x in (part, mask)]
             writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
-        held, size = ([rest] if len(rest) else []), len(rest)
+        held, size = [rest.tobytes()], len(rest)
 
     with store.open_output_stream(f"{root}/{name}.arrow") as sink, pa.ipc.new_file(sink, schema) as writer:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end))
-                index.append((doc, total, len(ids)))
+                ids = encode(text or "") + close
+                n = len(ids) // dtype.itemsize
+                index.append((doc, total, n))
                 held.append(ids)
-                size, total = size + len(ids), total + len(ids)
+                size, total = size + n, total + n
                 if size >= BATCH * length:
                     flush(writer, False)
         flush(writer, True)
@@ -155,14 +172,14 @@ class Shard:
         self.data, self.length, self.at = pa.ipc.open_file(opened[0]), length, -1
         self.index = pa.ipc.open_file(opened[1]).read_all()
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence i."""
         if self.at != i // BATCH:
             self.at = i // BATCH
             batch = self.data.get_batch(self.at)
-            self.ids, self.mask = (c.flatten().to_numpy() for c in batch.columns)
+            self.ids, self.mask = batch.column(0).flatten().to_numpy(), batch.column(1).flatten()
         k = i % BATCH * self.length
-        return self.ids[k : k + self.length], self.mask[k : k + self.length]
+        return self.ids[k : k + self.length], self.mask.slice(k, self.length)
 
     def tokens(self, offset: int, n: int) -> np.ndarray:
         """n ids from the offset on."""
