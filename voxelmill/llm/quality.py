@@ -237,25 +237,37 @@ def _score(batches, shard, number: int, shards: int, first: bool):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lp), pa.array(units_)], names=[*names, "__lp", "__units"])
 
 
-def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs with __lp (log-probability of the text) and __units."""
-    spark = docs.sparkSession
+def _keyed(batches):
+    """Keys in place of n-grams: made where the rows are, so that the driver sees numbers only."""
+    for batch in batches:
+        key = _keys(batch.column("lang").to_pylist(), batch.column("g").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32())], names=["w", "key", "value"])
+
+
+def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
+    """The model as broadcast tables, each of a checked number of rows."""
+    spark = model.sparkSession
     shards = max(1, -(-model.count() // shard_rows))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lp", T.DoubleType()), T.StructField("__units", T.LongType())])
-    out = docs
+    unknown = {r.lang: r.value for r in model.filter("g = '' and kind = 'p'").collect()}  # one row a language
     # Contexts go by their last unit, n-grams by the one before their last; what has no context goes to all.
     by = F.when(F.col("kind") == "w", F.expr("right(g, 1)")).otherwise(F.expr("substring(g, length(g) - 1, 1)"))
-    code = F.ascii(by).cast("long")  # the code point
-    home = F.when((F.length("g") < 2) & (F.col("kind") == "p"), F.lit(-1)).otherwise(code * 2654435761 % (1 << 32) % shards)
+    home = F.when((F.length("g") < 2) & (F.col("kind") == "p"), F.lit(-1)).otherwise(F.ascii(by).cast("long") * 2654435761 % (1 << 32) % shards)
+    out = []
     for k in range(shards):
-        t = model.filter((home == k) | (home == -1)).toArrow()  # of a checked size
-        kind, langs, names = np.array(t.column("kind").to_pylist()), t.column("lang").to_pylist(), t.column("g").to_pylist()
-        key, value = _keys(langs, names), t.column("value").to_numpy().astype(np.float32)
-        real = np.array([len(g) > 0 for g in names], bool)
-        p, w = (kind == "p") & real, kind == "w"
-        unknown = {x: float(v) for x, v, r in zip(langs, value, real, strict=True) if not r}
-        shard = spark.sparkContext.broadcast((Table(key[p], value[p]), Table(key[w], value[w]), unknown))
-        out = out.mapInArrow(lambda b, shard=shard, k=k: _score(b, shard, k, shards, k == 0), schema)
+        own = model.filter(((home == k) | (home == -1)) & (F.col("g") != "")).select("lang", "g", (F.col("kind") == "w").alias("w"), "value")
+        t = own.mapInArrow(_keyed, "w boolean, key long, value float").toArrow()
+        key, value, w = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy(), t.column("w").to_numpy()
+        out.append(spark.sparkContext.broadcast((Table(key[~w], value[~w]), Table(key[w], value[w]), unknown)))
+        del t, key, value, w
+    return out
+
+
+def score(docs: DataFrame, shards: list) -> DataFrame:
+    """docs with __lp (log-probability of the text) and __units; texts pass one shard after another."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lp", T.DoubleType()), T.StructField("__units", T.LongType())])
+    out = docs
+    for k, shard in enumerate(shards):
+        out = out.mapInArrow(lambda b, shard=shard, k=k: _score(b, shard, k, len(shards), k == 0), schema)
     return out
 
 
@@ -271,7 +283,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     ids = stored(ids, "op3-trusted")
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
     trusted = docs.select("doc_id", "lang", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    model = train(trusted)
+    model = shards_of(train(trusted))
     own = score(trusted, model).select(F.coalesce("lang", F.lit("")).alias("__lang"), "__lp", "__units").filter("__units > 0")
     own = stored(own, "op3-scores")
     mean = own.groupBy("__lang").agg((-F.sum("__lp") / F.sum("__units")).alias("__mean"))
