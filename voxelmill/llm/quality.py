@@ -12,15 +12,17 @@ documents' perplexities in its language.
 from __future__ import annotations
 
 import operator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stored
+from .common import read, shared_path, stored
 
 ORDER = 5
 #: Texts of a few units say little: so many units at the language's mean are added to each.
@@ -202,8 +204,9 @@ def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return codes.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(shards)
 
 
-def _score(batches, shard, number: int, shards: int, first: bool):
-    grams, weights, unknown = shard.value
+def _score(batches, model: Shards, number: int):
+    first, shards, unknown = number == 0, model.number, model.unknown
+    grams, weights = _tables(model.path, number)
     for batch in batches:
         lp = np.zeros(batch.num_rows) if first else batch.column("__lp").to_numpy().copy()
         units_ = np.zeros(batch.num_rows, np.int64) if first else batch.column("__units").to_numpy()
@@ -241,33 +244,54 @@ def _keyed(batches):
     """Keys in place of n-grams: made where the rows are, so that the driver sees numbers only."""
     for batch in batches:
         key = _keys(batch.column("lang").to_pylist(), batch.column("g").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32())], names=["w", "key", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32()), batch.column("shard")], names=["w", "key", "value", "shard"])
 
 
-def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
-    """The model as broadcast tables, each of a checked number of rows."""
+@dataclass(frozen=True)
+class Shards:
+    """The model's files in the shared folder, one subfolder a shard; the driver holds none of it."""
+
+    path: str
+    number: int
+    unknown: dict
+
+
+def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
+    """The model in shards of a checked number of rows."""
     spark = model.sparkSession
     shards = max(1, -(-model.count() // shard_rows))
     unknown = {r.lang: r.value for r in model.filter("g = '' and kind = 'p'").collect()}  # one row a language
     # Contexts go by their last unit, n-grams by the one before their last; what has no context goes to all.
     by = F.when(F.col("kind") == "w", F.expr("right(g, 1)")).otherwise(F.expr("substring(g, length(g) - 1, 1)"))
-    home = F.when((F.length("g") < 2) & (F.col("kind") == "p"), F.lit(-1)).otherwise(F.ascii(by).cast("long") * 2654435761 % (1 << 32) % shards)
-    out = []
-    for k in range(shards):
-        own = model.filter(((home == k) | (home == -1)) & (F.col("g") != "")).select("lang", "g", (F.col("kind") == "w").alias("w"), "value")
-        t = own.mapInArrow(_keyed, "w boolean, key long, value float").toArrow()
+    home = F.ascii(by).cast("long") * 2654435761 % (1 << 32) % shards
+    everywhere = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    shard = F.explode(F.when((F.length("g") < 2) & (F.col("kind") == "p"), everywhere).otherwise(F.array(home)))
+    own = model.filter(F.col("g") != "").select("lang", "g", (F.col("kind") == "w").alias("w"), "value", shard.alias("shard"))
+    path = shared_path(spark, "op3-shards")
+    own.mapInArrow(_keyed, "w boolean, key long, value float, shard long").write.partitionBy("shard").parquet(path)
+    return Shards(path, shards, unknown)
+
+
+_TABLES: dict[tuple[str, int], tuple[Table, Table]] = {}
+
+
+def _tables(path: str, number: int) -> tuple[Table, Table]:
+    """A shard's n-grams and contexts, read from the shared folder; a worker keeps the last one only."""
+    if (path, number) not in _TABLES:
+        _TABLES.clear()
+        store, root = fs.FileSystem.from_uri(path)
+        t = dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_table(use_threads=False)
         key, value, w = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy(), t.column("w").to_numpy()
-        out.append(spark.sparkContext.broadcast((Table(key[~w], value[~w]), Table(key[w], value[w]), unknown)))
-        del t, key, value, w
-    return out
+        _TABLES[path, number] = Table(key[~w], value[~w]), Table(key[w], value[w])
+    return _TABLES[path, number]
 
 
-def score(docs: DataFrame, shards: list) -> DataFrame:
+def score(docs: DataFrame, shards: Shards) -> DataFrame:
     """docs with __lp (log-probability of the text) and __units; texts pass one shard after another."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__lp", T.DoubleType()), T.StructField("__units", T.LongType())])
     out = docs
-    for k, shard in enumerate(shards):
-        out = out.mapInArrow(lambda b, shard=shard, k=k: _score(b, shard, k, len(shards), k == 0), schema)
+    for k in range(shards.number):
+        out = out.mapInArrow(lambda b, k=k: _score(b, shards, k), schema)
     return out
 
 
