@@ -1,0 +1,194 @@
+"""Operators against brute force on small tables: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from voxelmill.llm import decontaminate, embeddings, html_text, mixing, near_dedup, pii, quality, secrets, token_counts, token_files
+
+tokenizers_at = pytest.importorskip("public_tokenizers")
+WORDS = "the of and to in that is was for it with as his on be at by had not are".split()
+
+
+def text(r, n):
+    return " ".join(r.choice(WORDS) + str(r.randint(0, 60)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(4)
+    out = [(i, text(r, r.choice((0, 1, 4, 5, 30, 120))), "en", f"s{i % 4}") for i in range(60)]
+    out += [(100, None, None, None), (101, "", "en", "s0"), (102, " \t\n", "en", None), (103, text(r, 20000), "en", "s0"), (104, out[5][1], "fr", "s1"), (105, out[5][1], "fr", "s1")]
+    base = text(r, 200).split()
+    out += [(200 + i, " ".join(base[:i] + ["X" + str(i)] + base[i + 1 :]), "en", "s0") for i in range(40)]
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS n", "'x' AS items", "0 AS key")
+
+
+def words1(t):
+    low = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def test_decontaminate(spark, rows):
+    items = [(1, " ".join(rows[7][1].split()[3:20])), (2, "the7"), (3, None), (4, ""), (5, rows[103 - 100 + 60][1][500:900]), (6, "the7")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()}
+    for i, t, *_ in rows:
+        w, hit, found = words1(t), set(), set()
+        for item, x in items:
+            v = words1(x)
+            for win in [v[k : k + 10] for k in range(max(1, len(v) - 9))] if v else []:
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        found.add(str(item))
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(w), len(hit), sorted(found))
+    assert decontaminate.decontaminate(frame(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.decontaminate(frame(spark, rows).limit(0), bench).count() == 0
+
+
+def test_near_duplicates(spark, rows):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    sets = {}
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * len(sets[a] | sets[b]) and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+    assert near_dedup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_hot_bucket_in_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 2)
+    near = [r for r in rows if r[0] >= 200]
+    assert {r.component_id for r in near_dedup.near_duplicates(frame(spark, near)).collect()} == {200}
+
+
+def test_near_vectors(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(60, 64))
+    x = np.concatenate([base, base[:20] + r.normal(size=(20, 64)) * 0.3, base[:1], base[:1] * 3])
+    bad = [None, [0.0] * 64, [float("nan")] * 64, [1.0] * 3, [], [None] * 64]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v) for i, v in enumerate(bad)]
+    got = {q.vec_id: q for q in embeddings.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "1 AS code")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert all(got[1000 + i].n_links == 0 and got[1000 + i].kept for i in range(len(bad)))
+    assert got[80].component_id == got[81].component_id == 0
+
+
+def test_mix(spark, rows):
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(q.taken <= 2 * q["size"] for q in got)
+    for s in {q.source for q in got}:
+        own = [q for q in got if q.source == s]
+        assert abs(sum(q.taken for q in own) - own[0].target) <= max(q["size"] for q in own)
+    again = mixing.mix(frame(spark, rows).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
+    assert mixing.targets([100.0, 10.0, 100.0]) == pytest.approx([200.0, 20.0, 95.0])
+
+
+def test_pii():
+    for t, want in {
+        "mail a.b@c.de. x": [("email", 5, 13)], "1.2.3.4.5.6.7.8": [("ip", 0, 7), ("ip", 8, 15)], "999.1.1.1": [], "4111 1111 1111 1111": [("card", 0, 19)],
+        "4111 1111 1111 1112": [], "+1 (310) 555-4510!": [("phone", 0, 17)], "@@ @a.b a@b": [], "": [],
+    }.items():
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == want
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(2)
+    for _ in range(3000):
+        t = "".join(r.choice("a1.@-2 5.") for _ in range(r.randint(0, 40)))
+        base = pii.base_spans(t)
+        assert [(a, b) for k, a, b in base if k == 0] == [m.span() for m in email.finditer(t)]
+        assert [(a, b) for k, a, b in base if k == 1] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    trees, threshold = pii.model()
+    held = pii.examples(500, 99)
+    picked = [y for k, t, a, b, y in held if trees.probability(pii.features(k, t, a, b)) >= threshold]
+    assert sum(picked) >= 0.95 * len(picked) and sum(picked) >= 0.7 * sum(e[4] for e in held)
+
+
+def test_secrets():
+    index = secrets.Index((*secrets.BASE, *secrets.MORE))
+    r = random.Random(3)
+    bits = ["token", "PassWord", ' = "', ": ", "abc123def456ghi", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "ghp_", "x" * 36, " ", "short", "api-key", "api_key=", "xoxb-123456789012"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 8))) for _ in range(1500)]
+    for t, got in zip(texts, index.scan(texts), strict=True):
+        want = [(m.start(), n, m.end()) for n, (rule, regex, _) in enumerate(index.rules) for m in regex.finditer(t) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        assert got == sorted(want)
+    assert secrets.trigram_query(r"[0-9a-f]{16,}") == [] and secrets.trigram_query("abcd") == [[frozenset(("abc", "bcd"))]]
+    assert secrets.digest("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_token_counts(spark, rows, tmp_path):
+    import sentencepiece
+
+    path = tokenizers_at.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = ["a ", "  a", "a  b ", "▁", "a▁ b", " ", "\n x", "é  ü", "<s> a</s>", "日本 語 "]
+    data = rows + [(300 + i, t, "en", "s0") for i, t in enumerate(odd)]
+    for _ in range(2):  # the second time all counts come from the cache
+        got = token_counts.count_tokens(frame(spark, data), path, f"file://{tmp_path}/cache").collect()
+        assert {q.doc_id: (q.n_bytes, q.n_tokens) for q in got} == {i: (len((t or "").encode()), len(model.encode(t or ""))) for i, t, *_ in data}
+    assert spark.read.parquet(f"file://{tmp_path}/cache").count() == len({t or "" for _, t, *_ in data})
+
+
+def test_token_files(spark, rows, tmp_path):
+    path, out = tokenizers_at.path("byte_bpe_50k.json"), f"file://{tmp_path}/files"
+    model = token_files.Encoder(path).library
+    manifest = token_files.write_token_files(frame(spark, rows), path, out, length=64, shards=3)
+    got = sorted(token_files.read_token_files(manifest, out, 64).collect())
+    start = 0
+    for q, (i, t, *_) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(q) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert token_files.read_token_files(token_files.write_token_files(frame(spark, rows).limit(0), path, out + "0"), out + "0").count() == 0
+
+
+def test_quality(spark):
+    r = random.Random(6)
+    good = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(5, 80))), "en", "s") for i in range(300)]
+    junk = [(1000 + i, " ".join(r.choice(WORDS).upper() + "!!" for _ in range(40)), "en", "s") for i in range(20)]
+    other = [(2000, None, "en", "s"), (2001, "", None, "s"), (2002, "xyz zzy", "qq", "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {q.doc_id: q for q in quality.judge(frame(spark, good + junk + other), labels).collect()}
+    assert not any(got[i].accepted for i, *_ in junk) and sum(got[i].accepted for i, *_ in good) >= 290 and all(got[i].accepted for i, *_ in other)
+    model = quality.train(frame(spark, good).filter("doc_id < 200"))
+    one, many = (sorted((q.doc_id, round(q["__lp"], 3)) for q in quality.score(frame(spark, good).select("doc_id", "lang", "text"), quality.shards_of(model, n)).collect()) for n in (10**9, 700))
+    assert one == many
+    assert quality.judge(frame(spark, good), labels.limit(0)).filter("not accepted").count() == 0
+
+
+def test_html(spark):
+    page = "<html><body><nav>menu</nav><div class='ad'>buy</div><article><h1>T &amp; U</h1><p>a <b>b</b>c<p>d<br>e<script>x</script></article><div class='comments'>no</div><footer>f</footer></body></html>"
+    pages = [(i, "http://h.example/a", page.replace("<p>d", f"<p>d{i}")) for i in range(5)] + [(10, None, None), (11, "x", ""), (12, "y", "<p>a<!-- b <p>c"), (13, "z", "1 < 2 <p>&copy;")]
+    got = {q.page_id: q.text for q in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS low")).collect()}
+    assert got == {**{i: f"T & U a bc d{i} e" for i in range(5)}, 10: "", 11: "", 12: "a", 13: "1 < 2 ©"}
+    site = [(i, "http://s.example/", f"<div><div class='x'>same everywhere</div><div class='y'>text {i}</div></div>") for i in range(8)]
+    got = html_text.extract_text(spark.createDataFrame(site, "page_id long, url string, html string")).collect()
+    assert all(q.text == f"text {q.page_id}" for q in got)

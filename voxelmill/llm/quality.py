@@ -280,8 +280,10 @@ def _tables(path: str, number: int) -> tuple[Table, Table]:
     if (path, number) not in _TABLES:
         _TABLES.clear()
         store, root = fs.FileSystem.from_uri(path)
-        t = dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_table(use_threads=False)
-        key, value, w = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy(), t.column("w").to_numpy()
+        key, value, w = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, bool)
+        if store.get_file_info(f"{root}/shard={number}").type != fs.FileType.NotFound:  # a shard, or the model, may be empty
+            t = dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_table(use_threads=False)
+            key, value, w = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy(), t.column("w").to_numpy()
         _TABLES[path, number] = Table(key[~w], value[~w]), Table(key[w], value[w])
     return _TABLES[path, number]
 
