@@ -4,8 +4,8 @@ Units are the characters of a text with white space made one space and every rep
 so that junk symbols, capitals, tables and stuttering all surprise the model. One model for each language is counted over
 all trusted documents: highest-order counts come from the texts, lower orders count distinct continuations, three discounts
 an order come from counts of counts, and probabilities are interpolated order by order in SQL. The model is cut into
-shards of bounded size by the last unit of the context, so that a position needs one shard only; texts pass the shards
-one after another, in place, and gather log-probability. A document's perplexity is held against a quantile of the trusted
+shards of bounded size by the last unit of the context, so that a position needs one shard only; stretches of texts of
+bounded size pass the shards one after another inside one task and gather log-probability. A document's perplexity is held against a quantile of the trusted
 documents' perplexities in its language.
 """
 
@@ -30,7 +30,9 @@ PRIOR_UNITS = 40
 #: A document is rejected above MARGIN times the QUANTILE of trusted perplexities of its language.
 QUANTILE, MARGIN = 0.995, 1.05
 #: Most rows of a shard, each a n-gram or a context; most document ids that are broadcast.
-SHARD_ROWS, SMALL = 1_500_000, 2_000_000
+SHARD_ROWS, SMALL = 4_000_000, 2_000_000
+#: Rows taken from a batch at a time, and characters of text that pass the shards together.
+STEP, HELD = 256, 8_000_000
 START, MARK = "\x02", "\x01"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,7 +70,8 @@ def _seed(lang: str | None) -> np.uint64:
 def _pieces(batch: pa.RecordBatch, most: int = 400_000):
     """(first row, languages, units) of stretches of rows that hold about so many units."""
     at, size, langs, texts = 0, 0, [], []
-    for i, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+    rows = (r for k in range(0, batch.num_rows, STEP) for r in zip(*(batch.column(c).slice(k, STEP).to_pylist() for c in ("lang", "text")), strict=True))
+    for i, (lang, text) in enumerate(rows):
         u = units(text)
         langs.append(lang)
         texts.append(u)
@@ -121,7 +124,7 @@ def train(trusted: DataFrame) -> DataFrame:
     for m in range(ORDER - 1, 0, -1):
         # Continuation counts; an n-gram that opens a text has no other before it and keeps its own count.
         higher = counts[m + 1].select("lang", F.expr(f"right(g, {m})").alias("g"))
-        counts[m] = higher.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+        counts[m] = stored(higher.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n")), "op3-counts")
     model, lower = None, None
     for m in range(1, ORDER + 1):
         c = counts[m]
@@ -133,7 +136,7 @@ def train(trusted: DataFrame) -> DataFrame:
         c = c.join(F.broadcast(t), "lang")  # one row a language
         c = c.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         c = c.withColumn("h", F.expr(f"left(g, {m - 1})"))
-        context = c.groupBy("lang", "h").agg(F.sum("n").alias("all"), F.sum("d").alias("off"))
+        context = stored(c.groupBy("lang", "h").agg(F.sum("n").alias("all"), F.sum("d").alias("off")), "op3-contexts")
         c = c.join(context, ["lang", "h"])
         if lower is None:
             size = c.groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
@@ -204,40 +207,55 @@ def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return codes.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(shards)
 
 
-def _score(batches, model: Shards, number: int):
-    first, shards, unknown = number == 0, model.number, model.unknown
+def _part(langs: list[str], texts: list[str], model: Shards, number: int) -> np.ndarray:
+    """Log-probability that one shard gives to the units of each text that are its own."""
     grams, weights = _tables(model.path, number)
+    codes, n = _codes(texts)
+    owner = np.repeat(np.arange(len(n)), n + ORDER - 1)
+    seed = np.array([_seed(x) for x in langs], np.uint64)[owner]
+    starts = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]])
+    real = np.ones(len(codes), bool)
+    real[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    where = np.flatnonzero(real)
+    if model.number > 1:
+        where = where[_shard_of(codes[where - 1], model.number) == number]
+    h = _hashes(codes, seed)
+    score, left = np.zeros(len(where)), np.arange(len(where))
+    for m in range(ORDER, 0, -1):
+        value, there = grams.get(h[m - 1][where[left]])
+        score[left[there]] += value[there]
+        left = left[~there]
+        if not len(left):
+            break
+        if m > 1:
+            value, there = weights.get(h[m - 2][where[left] - 1])
+            score[left[there]] += value[there]
+        else:
+            score[left] += np.array([model.unknown.get(langs[o] or "", 0.0) for o in owner[where[left]]])
+    return np.bincount(owner[where], score, len(n))
+
+
+def _score(batches, model: Shards):
     for batch in batches:
-        lp = np.zeros(batch.num_rows) if first else batch.column("__lp").to_numpy().copy()
-        units_ = np.zeros(batch.num_rows, np.int64) if first else batch.column("__units").to_numpy()
-        for at, langs, texts in _pieces(batch):
-            codes, n = _codes(texts)
-            if first:
-                units_[at : at + len(n)] = n
-            owner = np.repeat(np.arange(len(n)), n + ORDER - 1)
-            seed = np.array([_seed(x) for x in langs], np.uint64)[owner]
-            starts = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]])
-            real = np.ones(len(codes), bool)
-            real[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
-            where = np.flatnonzero(real)
-            if shards > 1:
-                where = where[_shard_of(codes[where - 1], shards) == number]
-            h = _hashes(codes, seed)
-            score, left = np.zeros(len(where)), np.arange(len(where))
-            for m in range(ORDER, 0, -1):
-                value, there = grams.get(h[m - 1][where[left]])
-                score[left[there]] += value[there]
-                left = left[~there]
-                if not len(left):
-                    break
-                if m > 1:
-                    value, there = weights.get(h[m - 2][where[left] - 1])
-                    score[left[there]] += value[there]
-                else:
-                    score[left] += np.array([unknown.get(langs[o] or "", 0.0) for o in owner[where[left]]])
-            lp[at : at + len(n)] += np.bincount(owner[where], score, len(n))
-        names = [c for c in batch.schema.names if c not in ("__lp", "__units")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lp), pa.array(units_)], names=[*names, "__lp", "__units"])
+        lp, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        held, size = [], 0
+        for piece in _pieces(batch):
+            held.append(piece)
+            size += sum(map(len, piece[2]))
+            if size >= HELD or model.number == 1:
+                _pass(held, model, lp, n)
+                held, size = [], 0
+        _pass(held, model, lp, n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp), pa.array(n)], names=[*batch.schema.names, "__lp", "__units"])
+
+
+def _pass(held, model: Shards, lp: np.ndarray, n: np.ndarray) -> None:
+    """Adds what all shards give to the texts held, a shard at a time."""
+    for at, _, texts in held:
+        n[at : at + len(texts)] = [len(t) for t in texts]
+    for number in range(model.number if held else 0):
+        for at, langs, texts in held:
+            lp[at : at + len(texts)] += _part(langs, texts, model, number)
 
 
 def _keyed(batches):
@@ -289,12 +307,9 @@ def _tables(path: str, number: int) -> tuple[Table, Table]:
 
 
 def score(docs: DataFrame, shards: Shards) -> DataFrame:
-    """docs with __lp (log-probability of the text) and __units; texts pass one shard after another."""
+    """docs with __lp (log-probability of the text) and __units."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__lp", T.DoubleType()), T.StructField("__units", T.LongType())])
-    out = docs
-    for k in range(shards.number):
-        out = out.mapInArrow(lambda b, k=k: _score(b, shards, k), schema)
-    return out
+    return docs.mapInArrow(lambda b: _score(b, shards), schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
