@@ -5,8 +5,9 @@ so that junk symbols, capitals, tables and stuttering all surprise the model. On
 all trusted documents: highest-order counts come from the texts, lower orders count distinct continuations, three discounts
 an order come from counts of counts, and probabilities are interpolated order by order in SQL. The model is cut into
 shards of bounded size by the last unit of the context, so that a position needs one shard only; stretches of texts of
-bounded size pass the shards one after another inside one task and gather log-probability. A document's perplexity is held against a quantile of the trusted
-documents' perplexities in its language.
+bounded size pass the shards one after another inside one task and gather log-probability. A document's perplexity is held
+against a quantile of the trusted documents' perplexities in its language. Those are held out: trusted texts fall into two
+folds by their content, so that copies share one, and each fold is scored by a model of the other.
 """
 
 from __future__ import annotations
@@ -115,11 +116,15 @@ def _counted(total: dict[tuple[str, str], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(grams), pa.array(list(total.values()), pa.int64())], names=["lang", "g", "n"])
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """Rows of the model: lang, g (n-gram or context), kind (p: log-probability of the n-gram, w: log of the context's
-    weight on the lower order), value. Of trusted the columns lang and text are read; null lang is the language ''."""
+def counted(trusted: DataFrame) -> DataFrame:
+    """Stored counts (lang, g, n) of the highest order; of trusted the columns lang and text are read; null lang is ''."""
     grams = trusted.select("lang", "text").mapInArrow(_count, "lang string, g string, n long")
-    top = stored(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")), "op3-counts")
+    return stored(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")), "op3-counts")
+
+
+def train(top: DataFrame) -> DataFrame:
+    """Rows of the model of counted() n-grams: lang, g (n-gram or context), kind (p: log-probability of the n-gram, w: log of
+    the context's weight on the lower order), value."""
     counts = {ORDER: top}
     for m in range(ORDER - 1, 0, -1):
         # Continuation counts; an n-gram that opens a text has no other before it and keeps its own count.
@@ -315,17 +320,23 @@ def score(docs: DataFrame, shards: Shards) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """docs with perplexity, threshold and accepted.
 
-    Trusted documents are those labelled quality 1 and not toxic; all of them train the model and set the thresholds.
-    Documents of a language without trusted text have no threshold and are accepted, as are texts without a word (perplexity
-    null). Null lang is a language of its own. doc_ids may repeat: each row is judged by its own text, labels are taken once.
+    Trusted documents are those labelled quality 1 and not toxic; all of them train the model and, held out, set the
+    thresholds. Documents of a language whose trusted texts fill less than two folds have no threshold and are accepted, as
+    are texts without a word (perplexity null). Null lang is a language of its own. doc_ids may repeat: each row is judged by its own text, labels are taken once.
     Columns of docs are kept; with no labels all documents are accepted.
     """
     ids = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__id")).distinct()
     ids = stored(ids, "op3-trusted")
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
     trusted = docs.select("doc_id", "lang", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    model = shards_of(train(trusted))
-    own = score(trusted, model).select(F.coalesce("lang", F.lit("")).alias("__lang"), "__lp", "__units").filter("__units > 0")
+    # A fold is a language of its own to the counts and to the held-out models; both folds together make the whole model.
+    trusted = trusted.select(F.coalesce("lang", F.lit("")).alias("__lang"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("__fold"), "text")
+    name = lambda fold: F.concat("__lang", F.lit("#"), fold.cast("string"))
+    top = counted(trusted.withColumn("lang", name(F.col("__fold"))))
+    model = shards_of(train(stored(top.groupBy(F.expr("left(lang, length(lang) - 2)").alias("lang"), "g").agg(F.sum("n").alias("n")), "op3-counts")))
+    halves = shards_of(train(top))
+    own = score(trusted.withColumn("lang", name(1 - F.col("__fold"))), halves).filter("__units > 0")
+    own = own.filter(F.col("lang").isin(list(halves.unknown))).select("__lang", "__lp", "__units")  # two names a language
     own = stored(own, "op3-scores")
     mean = own.groupBy("__lang").agg((-F.sum("__lp") / F.sum("__units")).alias("__mean"))
     smooth = (-F.col("__lp") + F.lit(PRIOR_UNITS) * F.col("__mean")) / (F.col("__units") + PRIOR_UNITS)
