@@ -179,8 +179,8 @@ def test_quality(spark):
     got = {q.doc_id: q for q in quality.judge(frame(spark, good + junk + other), labels).collect()}
     assert not any(got[i].accepted for i, *_ in junk) and sum(got[i].accepted for i, *_ in good) >= 290 and all(got[i].accepted for i, *_ in other)
     model = quality.train(quality.counted(frame(spark, good).filter("doc_id < 200")))
-    one, many = (sorted((q.doc_id, round(q["__lp"], 3)) for q in quality.score(frame(spark, good).select("doc_id", "lang", "text"), quality.shards_of(model, n)).collect()) for n in (10**9, 700))
-    assert one == many
+    one, many, more = (sorted((q.doc_id, round(q["__lp"], 3)) for q in quality.score(frame(spark, good).select("doc_id", "lang", "text"), quality.shards_of(model, n)).collect()) for n in (10**9, 700, 150))
+    assert one == many == more
     assert quality.judge(frame(spark, good), labels.limit(0)).filter("not accepted").count() == 0
 
 

@@ -31,9 +31,11 @@ PRIOR_UNITS = 40
 #: A document is rejected above MARGIN times the QUANTILE of trusted perplexities of its language.
 QUANTILE, MARGIN = 0.995, 1.05
 #: Most rows of a shard, each a n-gram or a context; most document ids that are broadcast.
-SHARD_ROWS, SMALL = 4_000_000, 2_000_000
+SHARD_ROWS, SMALL = 1_500_000, 2_000_000
 #: Rows taken from a batch at a time, and characters of text that pass the shards together.
 STEP, HELD = 256, 8_000_000
+#: Keys that are put into a table at a time.
+FILL = 1 << 18
 START, MARK = "\x02", "\x01"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,6 +66,17 @@ def _hashes(codes: np.ndarray, seed: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _key(c: np.ndarray, at: np.ndarray, seed: np.ndarray, m: int) -> np.ndarray:
+    """As _hashes() has it for n-grams of m units that end at the positions given, and for them only; c: code points + 1."""
+    with np.errstate(over="ignore"):
+        h, power = np.zeros(len(at), np.uint64), np.uint64(1)
+        for j in range(m):
+            power = power * _BASE
+            h += c[at - j] * power
+        k = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + seed + np.uint64(m - 1)
+        return k ^ (k >> np.uint64(29))
+
+
 def _seed(lang: str | None) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest((lang or "").encode()))
 
@@ -167,6 +180,10 @@ class Table:
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
         keys = np.where(keys == 0, np.uint64(1), keys)
+        for k in range(0, len(keys), FILL):
+            self._put(keys[k : k + FILL], values[k : k + FILL])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         pos, left = keys & self.mask, np.arange(len(keys))
         while len(left):
             at = pos[left]
@@ -212,41 +229,51 @@ def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return codes.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(shards)
 
 
-def _part(langs: list[str], texts: list[str], model: Shards, number: int) -> np.ndarray:
+@dataclass
+class Stretch:
+    """Consecutive rows of a batch, the first of them at `at`: their code points, units and languages."""
+
+    at: int
+    langs: list[str]
+    codes: np.ndarray
+    n: np.ndarray
+
+
+def _part(held: Stretch, model: Shards, number: int) -> np.ndarray:
     """Log-probability that one shard gives to the units of each text that are its own."""
     grams, weights = _tables(model.path, number)
-    codes, n = _codes(texts)
-    owner = np.repeat(np.arange(len(n)), n + ORDER - 1)
-    seed = np.array([_seed(x) for x in langs], np.uint64)[owner]
-    starts = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]])
+    codes, n = held.codes, held.n
     real = np.ones(len(codes), bool)
+    starts = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]])
     real[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
     where = np.flatnonzero(real)
     if model.number > 1:
         where = where[_shard_of(codes[where - 1], model.number) == number]
-    h = _hashes(codes, seed)
+    owner = np.searchsorted(starts, where, "right") - 1
+    seed = np.array([_seed(x) for x in held.langs], np.uint64)[owner]
+    c = codes.astype(np.uint64) + np.uint64(1)
     score, left = np.zeros(len(where)), np.arange(len(where))
     for m in range(ORDER, 0, -1):
-        value, there = grams.get(h[m - 1][where[left]])
+        value, there = grams.get(_key(c, where[left], seed[left], m))
         score[left[there]] += value[there]
         left = left[~there]
         if not len(left):
             break
         if m > 1:
-            value, there = weights.get(h[m - 2][where[left] - 1])
+            value, there = weights.get(_key(c, where[left] - 1, seed[left], m - 1))
             score[left[there]] += value[there]
         else:
-            score[left] += np.array([model.unknown.get(langs[o] or "", 0.0) for o in owner[where[left]]])
-    return np.bincount(owner[where], score, len(n))
+            score[left] += np.array([model.unknown.get(held.langs[o] or "", 0.0) for o in owner[left]])
+    return np.bincount(owner, score, len(n))
 
 
 def _score(batches, model: Shards):
     for batch in batches:
         lp, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         held, size = [], 0
-        for piece in _pieces(batch):
-            held.append(piece)
-            size += sum(map(len, piece[2]))
+        for at, langs, texts in _pieces(batch):
+            held.append(Stretch(at, langs, *_codes(texts)))
+            size += len(held[-1].codes)
             if size >= HELD or model.number == 1:
                 _pass(held, model, lp, n)
                 held, size = [], 0
@@ -254,13 +281,13 @@ def _score(batches, model: Shards):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp), pa.array(n)], names=[*batch.schema.names, "__lp", "__units"])
 
 
-def _pass(held, model: Shards, lp: np.ndarray, n: np.ndarray) -> None:
+def _pass(held: list[Stretch], model: Shards, lp: np.ndarray, n: np.ndarray) -> None:
     """Adds what all shards give to the texts held, a shard at a time."""
-    for at, _, texts in held:
-        n[at : at + len(texts)] = [len(t) for t in texts]
+    for x in held:
+        n[x.at : x.at + len(x.n)] = x.n
     for number in range(model.number if held else 0):
-        for at, langs, texts in held:
-            lp[at : at + len(texts)] += _part(langs, texts, model, number)
+        for x in held:
+            lp[x.at : x.at + len(x.n)] += _part(x, model, number)
 
 
 def _keyed(batches):
@@ -303,11 +330,14 @@ def _tables(path: str, number: int) -> tuple[Table, Table]:
     if (path, number) not in _TABLES:
         _TABLES.clear()
         store, root = fs.FileSystem.from_uri(path)
-        key, value, w = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, bool)
+        got: dict[bool, list] = {False: [(np.zeros(0, np.uint64), np.zeros(0, np.float32))], True: [(np.zeros(0, np.uint64), np.zeros(0, np.float32))]}
         if store.get_file_info(f"{root}/shard={number}").type != fs.FileType.NotFound:  # a shard, or the model, may be empty
-            t = dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_table(use_threads=False)
-            key, value, w = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy(), t.column("w").to_numpy()
-        _TABLES[path, number] = Table(key[~w], value[~w]), Table(key[w], value[w])
+            for t in dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_batches(batch_size=FILL, use_threads=False):
+                w = t.column("w").to_numpy(zero_copy_only=False)
+                key, value = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy()
+                for kind in (False, True):
+                    got[kind].append((key[w == kind], value[w == kind]))
+        _TABLES[path, number] = tuple(Table(*map(np.concatenate, zip(*got[kind], strict=True))) for kind in (False, True))
     return _TABLES[path, number]
 
 
