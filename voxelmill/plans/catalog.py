@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cells, neighbours, sequences
+from ..operators import cells, neighbours, ranges, sequences, statistics
 from . import adapters as A
 
 _Q: dict = {}
@@ -177,6 +177,112 @@ def priority_partition(spark, d):
     return t.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("rows_in"))
 
 
+@_query(f"""WITH {A.LP}, b AS (SELECT min(y) AS lo, max(y) AS hi FROM lp), n AS (SELECT least(CAST(floor((y - lo) / (hi - lo) * 64) AS BIGINT), 63) AS bin, count(*) AS n FROM lp, b GROUP BY ALL)
+SELECT k.bin, round(lo + k.bin * ((hi - lo) / 64), 6) AS low, round(CASE WHEN k.bin = 63 THEN hi ELSE lo + (k.bin + 1) * ((hi - lo) / 64) END, 6) AS high, coalesce(n.n, 0) AS n FROM (SELECT unnest(range(64)) AS bin) k CROSS JOIN b LEFT JOIN n ON n.bin = k.bin""")
+def dist_histogram64(spark, d):
+    return statistics.histogram(A.line_points(spark, d), "y", 64).withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+@_query("WITH e AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v ROWS UNBOUNDED PRECEDING) AS below, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM e) SELECT l_returnflag, min(v) AS q FROM c WHERE below >= total * 0.95::DOUBLE GROUP BY ALL")
+def weighted_p95(spark, d):
+    return statistics.weighted_quantile(A.table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "l_quantity", 0.95)
+
+
+_MOMENTS = [f"{f}_{a}" for a in "xyz" for f in ("min", "max", "mean")] + [f"c{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz")]
+_MOMENTS_SQL = ", ".join([f"round({'avg' if m[:4] == 'mean' else m[:3]}({m[-1]}), 6) AS {m}" if "_" in m else f"round(covar_pop({m[1]}, {m[2]}), 6) AS {m}" for m in _MOMENTS])
+
+
+@_query(f"WITH {A.EP} SELECT id % 7 AS label, count(*) AS n, {_MOMENTS_SQL} FROM ep GROUP BY 1")
+def component_stats(spark, d):
+    p = A.vec_points(spark, d)
+    return statistics.component_moments(p, p.withColumn("label", F.col("id") % 7)).withColumns({m: F.round(m, 6) for m in _MOMENTS})
+
+
+@_query(f"WITH {A.EV} SELECT count(*) FILTER (WHERE value > 50 AND event_type = 'click') AS hits, round(count(*) FILTER (WHERE value > 50 AND event_type = 'click') / nullif(count(*) FILTER (WHERE value > 50), 0), 9) AS precision, round(count(*) FILTER (WHERE value > 50 AND event_type = 'click') / nullif(count(*) FILTER (WHERE event_type = 'click'), 0), 9) AS recall FROM ev")
+def capacity_ratios(spark, d):
+    out = statistics.capacity(A.stream(spark, d), F.col("value") > 50, F.col("event_type") == "click")
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
+
+
+def _both_ways(spark, d, radius):
+    p = A.vec_points(spark, d)
+    near = neighbours.radius_pairs(p, radius)
+    return p, near.select(F.col("a").alias("id"), F.col("b").alias("nid"), "d2").unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("nid"), "d2"))
+
+
+@_query(f"WITH {A.EP}, n AS (SELECT a.id, {_D2} AS d2 FROM ep a JOIN ep b ON a.id <> b.id AND {_D2} <= 0.01::DOUBLE), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2 DESC) AS k FROM n) SELECT id, round(max(CASE WHEN k = 3 THEN d2 END), 9) AS third FROM r GROUP BY id HAVING count(*) >= 6")
+def neighbour_third_largest(spark, d):
+    return statistics.third_largest(_both_ways(spark, d, 0.1)[1], "d2", 6).withColumn("third", F.round("third", 9))
+
+
+@_query(f"WITH {A.EP}, n AS (SELECT a.id, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM ep a JOIN ep b ON a.id <> b.id AND {_D2} <= 0.01::DOUBLE), s AS (SELECT id, g, coalesce(lead(g) OVER w, first_value(g) OVER w + 360.0::DOUBLE) - g AS step FROM n WINDOW w AS (PARTITION BY id ORDER BY g)) SELECT id, round(max(step), 6) AS gap FROM s GROUP BY id")
+def cyclic_gap(spark, d):
+    p, near = _both_ways(spark, d, 0.1)
+    near = near.join(p.select("id", "x", "y"), "id").join(p.select(F.col("id").alias("nid"), F.col("x").alias("ox"), F.col("y").alias("oy")), "nid")
+    near = near.withColumn("angle", F.degrees(F.atan2(F.col("oy") - F.col("y"), F.col("ox") - F.col("x"))))
+    return statistics.cyclic_gap(near, "angle").withColumn("gap", F.round("gap", 6))
+
+
+@_query()
+def iterative_lof(spark, d):
+    from ..sources.folders import shared
+
+    shared(spark)
+    return statistics.iterative_outliers(A.vec_points(spark, d), 10, 1.5, 3, neighbours.outlier_factors)
+
+
+#: One box for each nation, in the range of the points.
+_BOX = "SELECT n_nationkey AS box, n_nationkey * 0.02::DOUBLE - 0.25::DOUBLE AS lx, n_nationkey * 0.02::DOUBLE - 0.235::DOUBLE AS ux, n_nationkey * 0.01::DOUBLE - 0.2::DOUBLE AS ly, n_nationkey * 0.01::DOUBLE AS uy FROM nation"
+
+
+def _boxes(spark, d):
+    k = F.col("n_nationkey")
+    return A.table(spark, d, "nation").select(k.alias("box"), (k * 0.02 - 0.25).alias("lx"), (k * 0.02 - 0.235).alias("ux"), (k * 0.01 - 0.2).alias("ly"), (k * 0.01).alias("uy"))
+
+
+_IN = "EXISTS (SELECT 1 FROM bx WHERE x >= lx AND x <= ux AND y >= ly AND y <= uy)"
+
+
+@_query(f"WITH {A.EP}, bx AS ({_BOX}) SELECT id FROM ep WHERE {_IN}")
+def box_semi(spark, d):
+    return ranges.inside_boxes(A.vec_points(spark, d), _boxes(spark, d), 0.05).select("id")
+
+
+@_query(f"WITH {A.EP}, bx AS ({_BOX}) SELECT id FROM ep WHERE NOT {_IN}")
+def box_anti(spark, d):
+    return ranges.outside_boxes(A.vec_points(spark, d), _boxes(spark, d), 0.05).select("id")
+
+
+_EB = "eb AS (SELECT id, " + ", ".join(f"{a} - 0.02::DOUBLE AS l{a}, {a} + 0.02::DOUBLE AS u{a}" for a in "xyz") + " FROM ep)"
+
+
+@_query(f"WITH {A.EP}, {_EB} SELECT a.id AS a, b.id AS b FROM eb a JOIN eb b ON a.id < b.id WHERE a.lx <= b.ux AND b.lx <= a.ux AND a.ly <= b.uy AND b.ly <= a.uy AND a.lz <= b.uz AND b.lz <= a.uz")
+def aabb_overlap(spark, d):
+    p = A.vec_points(spark, d)
+    boxes = p.select(F.col("id").alias("box"), *[(F.col(a) - 0.02).alias(f"l{a}") for a in "xyz"], *[(F.col(a) + 0.02).alias(f"u{a}") for a in "xyz"])
+    return ranges.overlapping_boxes(boxes, 0.05)
+
+
+@_query(f"WITH {A.EP}, s AS (SELECT n_nationkey AS seed, n_nationkey * 0.02::DOUBLE - 0.25::DOUBLE AS sx, n_regionkey * 0.1::DOUBLE - 0.2::DOUBLE AS sy FROM nation), n AS (SELECT id, seed, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM ep, s) SELECT id, seed, round(dist, 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, seed) AS k FROM n WHERE dist < 0.2::DOUBLE) WHERE k = 1")
+def nearest_seed(spark, d):
+    n = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"), (F.col("n_nationkey") * 0.02 - 0.25).alias("x"), (F.col("n_regionkey") * 0.1 - 0.2).alias("y"))
+    return ranges.nearest_seed(A.vec_points(spark, d), n, 0.2).withColumn("dist", F.round("dist", 9))
+
+
+@_query("SELECT k.label, count(l_linenumber) AS n FROM (SELECT unnest(range(10)) AS label) k LEFT JOIN lineitem ON l_linenumber = label GROUP BY 1")
+def label_domain(spark, d):
+    return ranges.domain_counts(A.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("label")), "label", 10)
+
+
+_B4, _AF = "(PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "(PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@_query(f"WITH {A.EV}, k AS (SELECT *, CASE WHEN event_type = 'click' THEN us END AS t, CASE WHEN event_type = 'click' THEN value END AS v FROM ev), c AS (SELECT event_id, us, last_value(t IGNORE NULLS) OVER p AS t0, last_value(v IGNORE NULLS) OVER p AS v0, first_value(t IGNORE NULLS) OVER f AS t1, first_value(v IGNORE NULLS) OVER f AS v1 FROM k WINDOW p AS {_B4}, f AS {_AF}) SELECT event_id, round(coalesce(CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (us - t0) / (t1 - t0) END, v0, v1), 6) AS lerp FROM c")
+def lerp_join(spark, d):
+    out = sequences.interpolated(A.stream(spark, d), A.by_user(), F.col("event_type") == "click", "us", "value")
+    return out.select("event_id", F.round("lerp", 6).alias("lerp"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
