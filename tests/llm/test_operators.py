@@ -192,3 +192,23 @@ def test_html(spark):
     site = [(i, "http://s.example/", f"<div><div class='x'>same everywhere</div><div class='y'>text {i}</div></div>") for i in range(8)]
     got = html_text.extract_text(spark.createDataFrame(site, "page_id long, url string, html string")).collect()
     assert all(q.text == f"text {q.page_id}" for q in got)
+
+
+def test_html_copies(spark):
+    def texts(site):
+        pages = [(i, f"http://c.example/{i % 3}?utm_source={i}", html) for i, html in enumerate(site)]
+        return {q.page_id: q.text for q in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+    def page(i, slug):
+        return f"<div class='x'>same everywhere</div><div id='post-{slug}'>text {i}<p class='lead'>lead {i}</p></div>"
+
+    slugs = "abcdefghij"
+    # Six copies of each of ten pages, whose text lies under a path of their own.
+    got = texts([page(i % 10, slugs[i % 10]) for i in range(60)])
+    assert got == {i: f"text {i % 10} lead {i % 10}" for i in range(60)}
+    # Copies of one page are most of the host's rows.
+    got = texts([page(0, "a")] * 90 + [page(i, "a") for i in range(1, 10)])
+    assert got == {i: f"text {max(0, i - 89)} lead {max(0, i - 89)}" for i in range(99)}
+    # The same page four times under four paths, and a node that few of the pages have.
+    got = texts([f"<div class='{c}'>one text</div>" for c in slugs[:4]] + [f"<div class='t'>text {i}</div>" for i in range(9)] + [f"<div class='t'>more {i}</div><div class='u'>rare</div>" for i in range(4)])
+    assert [got[i] for i in range(4)] == ["one text"] * 4 and got[13] == "more 0 rare"

@@ -2,7 +2,7 @@
 
 The DOMs of a host's pages are merged into a style tree: a node is a path of elements with their classes, ids and roles.
 A node's presentation tells menus, headers, footers, sidebars, notices, adverts, forms and comments. Its content is weighed
-by the entropy of its texts over the host's pages against the entropy of the pages: what is the same on most pages bears
+by the entropy of its texts over the host's distinct pages against the entropy of the pages: what is the same on most pages bears
 little. Every page then loses its branches of low importance, and the rest, inside its article where there is one, is
 its text.
 """
@@ -31,8 +31,9 @@ SCOPES = frozenset(("ul", "ol", "dl", "table", "div", "article", "section", "mai
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ARTICLE = frozenset(("article", "main"))
-#: A style node is of low importance if its entropy is below this share of that of the pages, on so many pages or more.
-LOW, PAGES = 0.2, 4
+#: A style node is of low importance if its entropy is below this share of that of the pages, on so many distinct pages or
+#: more, and on this share of the host's.
+LOW, PAGES, SHARE = 0.2, 4, 0.5
 
 
 class _Node:
@@ -144,31 +145,37 @@ def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) ->
 
 
 def _nodes(batches):
-    """(host, path, content): each style node of each page once, with a digest of its texts; path 0 is the page itself."""
+    """(host, path, page, content): each style node of each page once, with digests of the page's texts and of its own; path 0
+    is the page itself."""
     for batch in batches:
-        host, path, content = [], [], []
-        for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        host, path, page, content = [], [], [], []
+        for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             own: dict[int, list[str]] = {}
-            for p, text, _, weigh in blocks(page):
+            for p, text, _, weigh in blocks(html):
                 own.setdefault(0, []).append(text)
                 if weigh:
                     own.setdefault(p, []).append(text)
-            for p, texts in own.items():
+            digests = {p: xxhash.xxh64_intdigest("\n".join(texts)) >> 1 for p, texts in own.items()}
+            for p, digest in digests.items():
                 host.append(h)
                 path.append(p)
-                content.append(xxhash.xxh64_intdigest("\n".join(texts)) >> 1)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(content, pa.int64())], names=["host", "path", "content"])
+                page.append(digests[0])
+                content.append(digest)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string())] + [pa.array(x, pa.int64()) for x in (path, page, content)], names=["host", "path", "page", "content"])
 
 
-def low_nodes(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataFrame:
-    """(host, path): style nodes whose entropy is at most low times that of their host's pages."""
-    rows = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, content long")
+def low_nodes(pages: DataFrame, low: float = LOW, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    """(host, path): style nodes on `least` pages and a share of their host's or more, whose entropy is at most low times that
+    of the pages. Pages of one host with the same texts count once, so that copies are no evidence."""
+    rows = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, page long, content long")
+    # Copies that place the same texts differently still weigh as one page at a path.
+    rows = rows.groupBy("host", "path", "page").agg(F.min("content").alias("content"))
     n = rows.groupBy("host", "path", "content").count()
     e = n.groupBy("host", "path").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log2("count")).alias("s"))
     e = stored(e.select("host", "path", "n", (F.log2("n") - F.col("s") / F.col("n")).alias("h")), "op10-tree")
-    page = e.filter("path = 0").select(F.col("host").alias("__h"), F.col("h").alias("all"))
+    page = e.filter("path = 0").select(F.col("host").alias("__h"), F.col("h").alias("all"), F.col("n").alias("pages"))
     found = e.filter(F.col("path") != 0).filter(F.col("n") >= least).join(page, F.col("host") == F.col("__h"))
-    return found.filter((F.col("all") >= 1) & (F.col("h") <= low * F.col("all"))).select("host", "path")
+    return found.filter((F.col("n") >= share * F.col("pages")) & (F.col("all") >= 1) & (F.col("h") <= low * F.col("all"))).select("host", "path")
 
 
 def _extract(batches):
@@ -181,7 +188,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     Null html is empty and gives an empty text; pages with a null or odd url share one host without a name; repeated rows each
-    give a row, and weigh as pages of their own; other columns are ignored. The size of the table of low nodes is checked
+    give a row, and weigh as one page of their host; other columns are ignored. The size of the table of low nodes is checked
     before it is broadcast; a larger one joins by host.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
