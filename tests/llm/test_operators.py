@@ -212,3 +212,15 @@ def test_html_copies(spark):
     # The same page four times under four paths, and a node that few of the pages have.
     got = texts([f"<div class='{c}'>one text</div>" for c in slugs[:4]] + [f"<div class='t'>text {i}</div>" for i in range(9)] + [f"<div class='t'>more {i}</div><div class='u'>rare</div>" for i in range(4)])
     assert [got[i] for i in range(4)] == ["one text"] * 4 and got[13] == "more 0 rare"
+
+
+def test_html_names():
+    for open_, close in (("<body class='single no-sidebar'>", "</body>"), ("<body class='comments-open'>", "</body>"), ("<body class='search'>", "</body>"), ("<div class='content-with-sidebar'>", "</div>"), ("<main id='search'>", "</main>"),
+                         ("<div class='post hidden-print'>", "</div>"), ("<div title='not hidden'>", "</div>"), ("<div title='a class=ad b'>", "</div>"), ("<div data-x=1 aria-hidden='false'>", "</div>"),
+                         ("<div class='banner'><main>", "</main></div>"), ("<div id=search><div class='modal'><article class='comments'>", "</article></div></div>"), ("<div class='related'><article>", "</article></div>"), ("<section class='promo' role='main'>", "</section>")):
+        assert html_text.main_text(f"<html class='nav menu'>{open_}<p>a text</p>{close}</html>") == "a text", open_
+    for head in ("<header class='entry-header'>H</header>", "<div class='article-header'>H</div>", "<div class='header'>H</div>", "<header>H</header>"):
+        assert html_text.main_text(f"<article>{head}<p>a text</p></article>") == "H a text", head
+    for gone in ("<div class='big ad'>x</div>", "<div id='sidebar-2'>x</div>", "<div class='site-footer'>x</div>", "<div class=ad1>x</div>", "<p hidden>x</p>", "<p HIDDEN=''>x</p>", "<div role='search'>x</div>", "<header>x</header>", "<div class='cookie-banner'>x</div>", "<a class='share' href=/x>x</a>",
+                 "<div class='comments-area'><article class='comment'>x</article></div>"):
+        assert html_text.main_text(f"<body>{gone}<p>a text</p></body>") == "a text" if "article" not in gone else html_text.main_text(f"<article><p>a text</p>{gone}</article>") == "a text", gone

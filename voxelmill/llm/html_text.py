@@ -21,7 +21,16 @@ from .common import read, stored
 
 #: Presentation that is never main text.
 DROPPED = frozenset("script style head title noscript template iframe svg canvas object nav menu footer aside form button select textarea dialog audio video".split())
-ROLES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|respond|replies|disqus|search|login|complementary|contentinfo|form)(?:$|[\s_-]|\d)", re.I)
+#: A class, id or role (whole, but for a number at its end) that is never main text: a listed word, after a listed prefix or
+#: not, or a listed compound.
+ROLES = re.compile(
+    r"(?:(?:(?:site|global|top|main|primary|secondary)[-_]+)?"
+    r"(?:nav|navbar|navigation|menu|breadcrumbs?|(?P<head>header|masthead)|footer|sidebar|aside|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|(?P<reply>related|comments?|respond|replies|disqus)|search|login|complementary|contentinfo|form)"
+    r"|(?:nav|navbar|header|footer)[-_](?:nav|menu|links|widgets?)|(?:ads?|adverts?)[-_](?:banner|slot|unit|box|block|container|wrapper)|(?:cookies?|consent)[-_](?:banner|bar|notice|consent|popup|modal)"
+    r"|(?:share|sharing|social)[-_](?:bar|buttons?|icons|links|share)|(?:newsletter|login|search|subscribe)[-_](?:form|box|popup|modal|signup)"
+    r"|(?P<replies>related[-_](?:posts|articles|links|stories)|comments?[-_](?:area|list|section|form)))(?:[-_]?\d+)?",
+    re.I,
+)
 RAW = frozenset(("script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -29,37 +38,59 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset(("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"))
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMES = frozenset(("class", "id", "role"))
 _ARTICLE = frozenset(("article", "main"))
+_WHOLE = frozenset(("html", "body", "main", "article"))
 #: A style node is of low importance if its entropy is below this share of that of the pages, on so many distinct pages or
 #: more, and on this share of the host's.
 LOW, PAGES, SHARE = 0.2, 4, 0.5
 
 
 class _Node:
-    __slots__ = ("dropped", "inside", "key", "path", "plain", "tag")
-
-    def __init__(self, tag: str, attrs: str, up: _Node | None):
-        named = " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)) if "=" in attrs else ""
-        role = "main" in named.lower().split() or "articlebody" in attrs.lower()
-        self.tag = tag
-        self.inside = tag in _ARTICLE or role or (up.inside if up else False)
+    """An element. at: where its tag starts; named: it is dropped for its class, id or role (reply: as one of replies or teasers),
+    unless at is spared; holds: it is an article or the main part."""
+
+    __slots__ = ("at", "dropped", "holds", "inside", "key", "named", "path", "plain", "reply", "tag")
+
+    def __init__(self, tag: str, attrs: str, up: _Node | None, at: int = 0, spared: frozenset[int] = frozenset()):
+        names, hidden, main = [], False, False
+        for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+            name, value = name.lower(), a or b or c
+            hidden = hidden or name == "hidden"
+            if name in _NAMES and value:
+                names.append(value)
+                main = main or (name == "role" and "main" in value.lower().split())
+        named = " ".join(names)
+        body = "articlebody" in attrs.lower()
+        within = up.inside if up else False
+        self.tag, self.at = tag, at
+        self.inside = tag in _ARTICLE or "main" in named.lower().split() or body or within
+        self.holds = tag in _ARTICLE or main or body
         self.plain = not named
-        self.dropped = (up.dropped if up else False) or tag in DROPPED or (tag == "header" and not (up and up.inside)) or " hidden" in attrs or bool(named and ROLES.search(named))
+        self.named = self.reply = False
+        if named and not (tag in _WHOLE or main or body or at in spared):
+            # A header inside an article holds its headline.
+            found = [m for m in map(ROLES.fullmatch, named.split()) if m and not (within and m["head"])]
+            self.named, self.reply = bool(found), any(m["reply"] or m["replies"] for m in found)
+        self.dropped = (up.dropped if up else False) or tag in DROPPED or (tag == "header" and not within) or hidden or self.named
         self.key = tag + re.sub(r"\d+", "#", f".{named}" if named else "")
         self.path = xxhash.xxh64_intdigest(f"{up.path if up else 0}/{self.key}") >> 1
 
 
-def blocks(html: str | None) -> list[tuple[int, str, bool, bool]]:
+def blocks(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple[int, str, bool, bool]]:
     """(style path, text, inside an article, may be weighed) of the page's blocks in order, less what presentation drops.
 
-    Forgiving of unclosed and stray tags; every step moves on, and an unclosed comment or script takes the rest.
+    Forgiving of unclosed and stray tags; every step moves on, and an unclosed comment or script takes the rest. What holds an
+    article or the main part is not dropped for its name; replies and teasers, which may be articles too, only hold those
+    of a page that has no other. `spared` are the starts of tags that a first pass found so.
     """
     html = html or ""
     stack = [_Node("#", "", None)]
     out: list[tuple[int, str, bool, bool]] = []
     held: list[str] = []
     owner = stack[0]
+    holders: list[list[_Node]] = []
 
     def end_block() -> None:
         nonlocal held
@@ -130,11 +161,17 @@ def blocks(html: str | None) -> list[tuple[int, str, bool, bool]]:
                     break
         if attrs.endswith("/") and tag in ("svg", "path", "canvas"):
             continue
-        stack.append(_Node(tag, attrs, stack[-1]))
+        stack.append(_Node(tag, attrs, stack[-1], lt, spared))
+        if stack[-1].holds and not spared:
+            over = [x for x in stack if x.named]
+            if over or not stack[-1].dropped:
+                holders.append(over)
         if tag not in INLINE:
             owner = stack[-1]
     end_block()
-    return out
+    own = [x for x in holders if not any(node.reply for node in x)]
+    spare = frozenset(node.at for x in own or holders for node in x)
+    return blocks(html, spare) if spare else out
 
 
 def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
