@@ -224,3 +224,16 @@ def test_html_names():
     for gone in ("<div class='big ad'>x</div>", "<div id='sidebar-2'>x</div>", "<div class='site-footer'>x</div>", "<div class=ad1>x</div>", "<p hidden>x</p>", "<p HIDDEN=''>x</p>", "<div role='search'>x</div>", "<header>x</header>", "<div class='cookie-banner'>x</div>", "<a class='share' href=/x>x</a>",
                  "<div class='comments-area'><article class='comment'>x</article></div>"):
         assert html_text.main_text(f"<body>{gone}<p>a text</p></body>") == "a text" if "article" not in gone else html_text.main_text(f"<article><p>a text</p>{gone}</article>") == "a text", gone
+
+
+def test_near_vectors_of_odd_length(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(30, 64)).tolist()
+    odd = [r.normal(size=96).tolist(), r.normal(size=3).tolist(), *[[0.0] * 128] * 70, *[[float("nan")] * 128] * 70, *[[1.0, None] * 64] * 70]
+    data = [(i, v) for i, v in enumerate(base + base)] + [(1000 + i, v) for i, v in enumerate(odd)]
+    r.shuffle(order := list(range(len(data))))
+    table = spark.createDataFrame([data[i] for i in order], "vec_id long, embedding array<double>")
+    got = {q.vec_id: q for q in embeddings.near_vectors(table).collect()}
+    assert len(got) == len(data)
+    assert all(got[i].n_links == 1 and got[i].component_id == i % 30 for i in range(60))
+    assert all(got[1000 + i].n_links == 0 and got[1000 + i].kept for i in range(len(odd)))

@@ -26,11 +26,16 @@ MISS = 0.002
 BLOCK = 256
 
 
-def unit_rows(column) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that can link (others zero), and which rows those are."""
+def usual_size(vectors: DataFrame) -> int:
+    """The most frequent number of components of the vectors that can link, the smaller of equally frequent ones; 1 without any."""
+    good = vectors.filter("size(embedding) > 0 and forall(embedding, x -> abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    top = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return top["d"] if top else 1
+
+
+def unit_rows(column, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that can link (others zero), those of d components, and which rows those are."""
     lists = column.to_pylist()
-    sizes = {len(v) for v in lists if v}
-    d = max(sizes, default=1)
     x = np.zeros((len(lists), d))
     ok = np.zeros(len(lists), bool)
     for i, v in enumerate(lists):
@@ -68,13 +73,14 @@ def plan(n: int, d: int, cosine: float = COSINE) -> tuple[int, int, int]:
 
 
 def _encode(batches, rotations: np.ndarray, bits: int, tables: int):
-    per = rotations.shape[1] // bits
+    d = rotations.shape[1]
+    per = d // bits
     weights = (1 << np.arange(bits, dtype=np.int64))
     for batch in batches:
-        x, ok = unit_rows(batch.column("embedding"))
+        x, ok = unit_rows(batch.column("embedding"), d)
         ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[ok]
         x = x[ok]
-        if not len(ids) or x.shape[1] != rotations.shape[1]:
+        if not len(ids):
             continue
         signs = [(x @ r > 0) for r in rotations]
         keys = [signs[t // per][:, t % per * bits : t % per * bits + bits] @ weights for t in range(tables)]
@@ -116,10 +122,10 @@ def _near(batches, most: float):
         yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
 
 
-def _rerank(batches, cosine: float):
+def _rerank(batches, cosine: float, d: int):
     """Of each unit: (vec_id, links, to): links of a vector inside the unit, and a forest of them as to."""
     for t in groups(batches, "unit"):
-        x, _ = unit_rows(t.column("embedding"))
+        x, _ = unit_rows(t.column("embedding"), d)
         ids, b = t.column("vec_id").to_pylist(), t.column("b").to_numpy()
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
@@ -134,16 +140,16 @@ def _rerank(batches, cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors.
 
-    Vectors that are null, empty, zero, not finite, hold a null or have not the usual number of components (that of the sample)
-    link with nothing. Equal vectors link. vec_ids are unique; a row with null vec_id links with nothing. Other columns are
+    Vectors that are null, empty, zero, not finite, hold a null or have not the usual number of components (the most
+    frequent one of the table) link with nothing. Equal vectors link. vec_ids are unique; a row with null vec_id links with nothing. Other columns are
     ignored. The codes are a filter of stated recall; links found are exact.
     """
     own = vectors.select("vec_id", "embedding").filter("vec_id is not null")
     n = own.count()
-    pick = own.filter("embedding is not null").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").toArrow()
-    sample, ok = unit_rows(pick.column("embedding"))
+    d = usual_size(own)
+    pick = own.filter(F.size("embedding") == d).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").toArrow()
+    sample, ok = unit_rows(pick.column("embedding"), d)
     sample = sample[ok]
-    d = sample.shape[1]
     bits, tables, codes = plan(n, d, cosine)
     rotations = np.stack(learn(sample, codes))
     all_bits, share = codes * d, math.acos(cosine) / math.pi
@@ -158,7 +164,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS)
     inside = own.join(group, F.col("vec_id") == F.col("node")).select("vec_id", "embedding", F.col("component").alias("key"))
     dealt = block_units(inside, "key", "vec_id", F.lit(1), BLOCK).withColumn("unit", F.xxhash64("key", "bi", "bj"))
     dealt = dealt.select("unit", "vec_id", "embedding", "b", "bi", "bj").repartition("unit").sortWithinPartitions("unit")
-    found = stored(dealt.mapInArrow(lambda b: _rerank(b, cosine), "vec_id long, links long, to long"), "op2-links")
+    found = stored(dealt.mapInArrow(lambda b: _rerank(b, cosine, d), "vec_id long, links long, to long"), "op2-links")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = components(found.filter("to is not null").select(F.col("vec_id").alias("src"), F.col("to").alias("dst")))
     out = vectors.select("vec_id").join(links.withColumnRenamed("vec_id", "__v"), F.col("vec_id") == F.col("__v"), "left").join(classes, F.col("vec_id") == F.col("node"), "left")
