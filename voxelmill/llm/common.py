@@ -35,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str, column: str = "__row") -> DataFrame:
+    """docs, stored, with a number of its own for each row: ids may be null or repeat, and numbers must not change between reads."""
+    return stored(docs.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

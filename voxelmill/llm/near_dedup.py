@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_units, components, groups, read, removed, stored
+from .common import block_units, components, groups, numbered, read, removed, stored
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 8, 85
 #: A pair of Jaccard similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 32, below 4 in 100,000.
@@ -158,9 +158,21 @@ def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class, the one of the smallest doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """Pipeline stage: one document of each class, the one of the smallest doc_id (a null one last).
+
+    Classes are formed of rows, not of ids: rows with one doc_id, or with a null one, go only where their texts are near
+    to others. Blank texts link with nothing and stay.
+    """
+    rows = numbered(docs, "op9-rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    found = stored(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("class"), "kept"), "op9-classes")
+    several = found.filter("not kept").select("class").distinct()
+    members = found.join(several, "class", "left_semi").join(rows.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    members = stored(members.select("class", order.alias("m")), "op9-members")
+    best = members.groupBy("class").agg(F.min("m").alias("m")).select(F.col("m.__row").alias("__best"))
+    gone = members.select(F.col("m.__row").alias("__row")).join(best, F.col("__row") == F.col("__best"), "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 SQL = {
