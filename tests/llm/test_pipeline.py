@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from voxelmill.llm import near_dedup
+from voxelmill.llm import decontaminate, near_dedup
 
 pytest.importorskip("public_tokenizers")
 WORDS = "the of and to in that is was for it with as his on be at by had not are".split()
@@ -59,3 +59,25 @@ def test_distinct_documents(spark, rows):
     assert len(marks) == len(set(marks)) == len(want)
     assert all(len(set(marks) & one) == 1 for one in want)
     assert not near_dedup.distinct_documents(spark, frame(spark, []), "").collect()
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """A benchmark that is in a row with null id, in one of two rows with doc_id 3 and in one with an id of its own."""
+    at = tmp_path_factory.mktemp("tables")
+    items = [(1, " ".join(rows[7][1].split()[5:25])), (2, " ".join(rows[12][1].split()[5:15])), (3, rows[1][1]), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at), [t for _, t in items if t]
+
+
+def clean(rows, items):
+    windows = {tuple(w[i : i + 10]) for w in (t.lower().split() for t in items) for i in range(len(w) - 9)}
+    words = [(r[1] or "").lower().split() for r in rows]
+    return [r for r, w in zip(rows, words, strict=True) if not any(tuple(w[i : i + 10]) in windows for i in range(len(w)))]
+
+
+def test_clean_documents(spark, rows, folder):
+    got = decontaminate.clean_documents(spark, frame(spark, rows), folder[0])
+    want = {r[4] for r in clean(rows, folder[1])}
+    assert {0, 6, 8, 9, 13} <= want and not want & {1, 7, 12}
+    assert sorted(r.mark for r in got.collect()) == sorted(want)

@@ -114,11 +114,12 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without an occurrence of a benchmark window."""
-    from .common import read
+    """Pipeline stage: documents without an occurrence of a benchmark window; rows with one doc_id, or a null one, each for itself."""
+    from .common import numbered, read
 
-    found = decontaminate(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    rows = numbered(docs, "op1-rows")
+    found = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(found, "__row", "left_anti").select(*docs.columns)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
