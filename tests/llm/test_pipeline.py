@@ -1,10 +1,12 @@
 """The pipeline's stages against brute force: null and repeated ids, copies, ties."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
-from voxelmill.llm import decontaminate, near_dedup
+from voxelmill.llm import decontaminate, near_dedup, quality
 
 pytest.importorskip("public_tokenizers")
 WORDS = "the of and to in that is was for it with as his on be at by had not are".split()
@@ -81,3 +83,53 @@ def test_clean_documents(spark, rows, folder):
     want = {r[4] for r in clean(rows, folder[1])}
     assert {0, 6, 8, 9, 13} <= want and not want & {1, 7, 12}
     assert sorted(r.mark for r in got.collect()) == sorted(want)
+
+
+def kneser_ney(texts, order=5):
+    """log-probability of a text by an interpolated modified Kneser-Ney model, counted in plain Python."""
+    pad = "\x02" * (order - 1)
+    raw = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        for i in range(len(pad), len(pad + t)):
+            for m in range(1, order + 1):
+                raw[m][(pad + t)[i - m + 1 : i + 1]] += 1
+    counts = {order: raw[order]}
+    for m in range(1, order):
+        before = defaultdict(set)
+        for g in raw[m + 1]:
+            before[g[1:]].add(g[0])
+        counts[m] = {g: raw[m][g] if g[0] == "\x02" else len(x) for g, x in before.items()}
+    parts = {}
+    for m, c in counts.items():
+        t = [sum(n == k for n in c.values()) for k in range(5)]
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
+        d = [0.0] + [min(max(k - (k + 1) * y * t[k + 1] / t[k] if t[k] and y is not None else 0.5, 0.1), k - 0.05) for k in (1, 2, 3)]
+        total, off = Counter(), Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            off[g[:-1]] += d[min(n, 3)]
+        parts[m] = c, d, total, off
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        c, d, total, off = parts[len(g)]
+        h, n = g[:-1], c.get(g, 0)
+        if h not in total:
+            return p(g[1:])
+        return (n - d[min(n, 3)] if n else 0) / total[h] + off[h] / total[h] * p(g[1:])
+
+    return lambda t: sum(math.log(p((pad + t)[i - len(pad) : i + 1])) for i in range(len(pad), len(pad + t)))
+
+
+def test_perplexity(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.choice((1, 1, 2, 3, 12)))) for _ in range(150)]
+    texts = [quality.units(t) for t in texts]
+    known = kneser_ney(texts)
+    model = quality.shards_of(quality.train(quality.counted(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))), 500)
+    asked = [*texts[:30], "the", "th", "zq the", "xyz"]
+    got = quality.score(spark.createDataFrame([(i, "en", t) for i, t in enumerate(asked)], "doc_id long, lang string, text string"), model).collect()
+    for q in got:
+        assert q["__units"] == len(asked[q.doc_id])
+        assert q["__lp"] == pytest.approx(known(asked[q.doc_id]), abs=1e-3), asked[q.doc_id]

@@ -140,9 +140,10 @@ def train(top: DataFrame) -> DataFrame:
     the context's weight on the lower order), value."""
     counts = {ORDER: top}
     for m in range(ORDER - 1, 0, -1):
-        # Continuation counts; an n-gram that opens a text has no other before it and keeps its own count.
-        higher = counts[m + 1].select("lang", F.expr(f"right(g, {m})").alias("g"))
-        counts[m] = stored(higher.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n")), "op3-counts")
+        # Continuation counts; an n-gram that opens a text has start marks only before it and keeps its own count.
+        opens = F.expr("left(g, 2)") == START * 2
+        higher = counts[m + 1].select("lang", F.expr(f"right(g, {m})").alias("g"), F.when(opens, F.col("n")).otherwise(F.lit(1)).alias("n"))
+        counts[m] = stored(higher.groupBy("lang", "g").agg(F.sum("n").alias("n")), "op3-counts")
     model, lower = None, None
     for m in range(1, ORDER + 1):
         c = counts[m]
