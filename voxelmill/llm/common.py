@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +18,12 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of its own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset a session on one machine gets a folder of its own; a cluster,
+    whose executors couldn't see it, gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxelmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -47,6 +53,13 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trimmed() -> None:
+    """Gives memory that Python has freed back to the system: workers outlive their tasks, and the next stage needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(text):
     """A-Z in lower case and nothing else; Spark's own lower() is quicker and equal for plain ASCII."""
     c = F.coalesce(text, F.lit(""))
@@ -77,6 +90,29 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of many whole groups, from batches that are sorted by the integer keys, with the group's number of each row; the
+    last group of a batch waits for the next one."""
+    held: pa.Table | None = None
+
+    def numbers(t: pa.Table) -> np.ndarray:
+        columns = np.stack([t.column(k).to_numpy().astype(np.int64) for k in keys])
+        return np.concatenate([[0], np.cumsum((columns[:, 1:] != columns[:, :-1]).any(axis=0))])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pa.Table.from_batches([batch])
+        held = (pa.concat_tables([held, own]) if held is not None else own).combine_chunks()
+        g = numbers(held)
+        cut = int(np.searchsorted(g, g[-1]))
+        if cut:
+            yield held.slice(0, cut).combine_chunks(), g[:cut]
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks(), numbers(held)
+
+
 def block_units(rows: DataFrame, key: str, row: str, weight, limit: int) -> DataFrame:
     """Cuts each key that has two rows or more into blocks of about `limit` weight, and deals rows to units of two
     blocks (bi <= bj) so that any two rows of a key meet in a unit and no unit grows with its key.

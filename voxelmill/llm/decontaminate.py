@@ -1,16 +1,16 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions only.
 
-A window (ten consecutive item words, or a whole shorter item) is a set of positioned shingles of three words. One pass
-over the texts finds every position that holds a benchmark shingle, words compared exactly, and keeps those positions
-as one short row a document. Their counts over the whole corpus order shingles by rarity. Containment needs all shingles
-of a window, so its necessary prefix is one token, the rarest; documents join windows on that token alone. Offset and
-document length bound where the window can lie, and all its shingles in consecutive places verify it. The benchmark is
-the query set: it's taken in blocks of a checked size, each broadcast, so that no text is ever shuffled.
+A window (ten consecutive item words, or a whole shorter item) is a set of positioned shingles of three words. The words of
+the whole corpus are counted, and shingles are ordered by rarity: that of their rarest word, which bounds how often they can
+occur. Containment needs all shingles of a window, so its necessary prefix is one token, the rarest; a window with a word
+that no document holds is nowhere and has none. Positions of the texts join the prefix tokens alone, the token's offset and
+the document's length bound where the window can lie, and the words there, compared with the whole window, verify it. The
+benchmark is the query set: its prefixes are taken in blocks of a checked size, each broadcast, so that no text is ever shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, stored
@@ -31,10 +31,6 @@ def _shingle(array, at, k: int):
     return F.xxhash64(F.lit(k), *[F.get(array, at + i) for i in range(k)])
 
 
-def _grams(array, k: int):
-    return F.transform(F.sequence(F.lit(0), F.size(array) - k), lambda i: F.struct(i.alias("off"), _shingle(array, i, k).alias("key")))
-
-
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows (w array, items array of item_id strings). Items without words have none."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("a")).filter("size(a) > 0")
@@ -43,21 +39,37 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _places(docs: DataFrame, grams: DataFrame, sizes: list[int], blocks: int) -> DataFrame:
-    """(doc_id, row, n_words, hits): hits are position << 32 | gram of every benchmark shingle in a document."""
+def prefixes(docs: DataFrame, wins: DataFrame, shingle: int) -> DataFrame:
+    """(w, items, k, off, gkey): every window that can occur, with its rarest shingle (of k words) at the offset off."""
+    wins = wins.withColumn("k", F.least(F.size("w"), F.lit(shingle)))
+    known = wins.select(F.explode("w").alias("word")).distinct()
+    counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times")).join(known, "word")
+    at = wins.select("w", "items", "k", F.posexplode("w").alias("at", "word")).join(counts, "word", "left")
+    times = F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("times", F.lit(0)).alias("n")))), lambda x: x["n"])
+    own = at.groupBy("w", "items", "k").agg(times.alias("times")).filter(~F.array_contains("times", F.lit(0).cast("long")))
+    # A total order of all tokens: the bound on their count, then their key.
+    tokens = lambda k: F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(F.array_min(F.slice("times", i + 1, k)).alias("n"), _shingle(F.col("w"), i, k).alias("gkey"), i.alias("off")))
+    keys = [F.when(F.col("k") == k, tokens(k)) for k in range(1, shingle + 1)]
+    return own.withColumn("p", F.array_min(F.coalesce(*keys))).select("w", "items", "k", "p.off", "p.gkey")
+
+
+def _found(docs: DataFrame, prefix: DataFrame, sizes: list[int], blocks: int) -> DataFrame:
+    """(doc_id, row, n_words, span, items): one row for each occurrence of a window, and one without a span a document."""
     base = docs.select("doc_id", words(F.col("text")).alias("a"), F.monotonically_increasing_id().alias("row"))
-    at = base.select("doc_id", "row", "a", F.posexplode_outer("a").alias("p", "first"))
-    at = at.withColumn("p", F.coalesce("p", F.lit(0)))
+    at = base.select("doc_id", "row", "a", F.posexplode_outer("a").alias("p", "first")).withColumn("p", F.coalesce("p", F.lit(0)))
     keys = [F.when(F.col("p") + k <= F.size("a"), _shingle(F.col("a"), F.col("p"), k)) for k in sizes]
     keyed = at.withColumn("key", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)) if keys else F.lit(None).cast("long"))
-    found = None
+    out = None
+    start = F.col("p") - F.col("off")
     for b in range(blocks):
-        mine = grams.filter(F.pmod("gkey", F.lit(blocks)) == b).select("gkey", "shingle", "g").distinct()
-        same = (F.col("key") == F.col("gkey")) & (F.slice("a", F.col("p") + 1, F.size("shingle")) == F.col("shingle"))
-        hit = keyed.join(F.broadcast(mine), same, "left").filter("g is not null or p = 0")
-        hit = hit.select("doc_id", "row", F.size("a").alias("n"), (F.shiftleft(F.col("p").cast("long"), 32) + F.col("g")).alias("hit"))
-        found = hit if found is None else found.unionByName(hit)
-    return found.groupBy("doc_id", "row").agg(F.max("n").cast("long").alias("n_words"), F.collect_set("hit").alias("hits"))
+        mine = prefix.filter(F.pmod("gkey", F.lit(blocks)) == b).select("gkey", "off", "w", "items")
+        fits = (start >= 0) & (start + F.size("w") <= F.size("a"))
+        same = (F.col("key") == F.col("gkey")) & fits & (F.slice("a", F.when(fits, start + 1).otherwise(1), F.size("w")) == F.col("w"))
+        hit = keyed.join(F.broadcast(mine), same, "left").filter("off is not null or p = 0")
+        span = F.when(F.col("off").isNotNull(), F.struct(start.alias("s"), (start + F.size("w")).alias("e")))
+        hit = hit.select("doc_id", "row", F.size("a").cast("long").alias("n_words"), span.alias("span"), "items")
+        out = hit if out is None else out.unionByName(hit)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -67,42 +79,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     documents of their own (one output row for each input row); other columns are ignored, whatever their names.
     An empty benchmark leaves every document clean. A null item_id counts as no item but its windows still hit.
     """
-    wins = windows(benchmark, window).select("w", "items", F.least(F.size("w"), F.lit(shingle)).alias("k"))
-    by_k = [F.when(F.col("k") == k, _grams(F.col("w"), k)) for k in range(1, shingle + 1)]
-    grams = wins.select("w", "items", "k", F.explode(F.coalesce(*by_k)).alias("g")).select("w", "items", "k", "g.off", F.slice("w", F.col("g.off") + 1, F.col("k")).alias("shingle"), F.col("g.key").alias("gkey"))
-    ids = grams.select("shingle").distinct().withColumn("g", F.row_number().over(Window.orderBy("shingle")).cast("long"))
-    grams = stored(grams.join(ids, "shingle"), "op1-grams")
-    sizes = sorted(r.k for r in grams.select("k").distinct().collect())  # at most `shingle` values
-    bytes_ = grams.agg(F.sum(F.octet_length(F.concat_ws(" ", "w")) + 100)).first()[0] or 0
-    blocks = max(1, -(-int(bytes_) // block_bytes))
-    places = stored(_places(docs, grams, sizes, blocks), "op1-places")
-
-    one = places.select("doc_id", "row", "n_words", "hits", F.explode("hits").alias("hit"))
-    g, p = F.col("hit").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("hit", 32)
-    counts = one.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("df"))
-    # A window with a shingle that no document holds is nowhere; else its rarest shingle is its prefix.
-    all_g = F.transform(F.array_sort(F.collect_list(F.struct("off", "g"))), lambda x: x["g"]).alias("all")
-    rare = grams.join(counts, "g", "left").groupBy("w", "items").agg(F.min(F.struct("df", "off", "g")).alias("m"), F.min(F.coalesce("df", F.lit(0))).alias("least"), all_g)
-    rare = stored(rare.filter("least > 0").select(F.size("w").alias("len"), "items", "all", F.col("m.off").alias("off"), F.col("m.g").alias("wg")), "op1-prefix")
-    spans = None
-    for b in range(blocks):
-        start = p - F.col("off")
-        fits = (g == F.col("wg")) & (start >= 0) & (start + F.col("len") <= F.col("n_words"))
-        near = one.join(F.broadcast(rare.filter(F.pmod("wg", F.lit(blocks)) == b)), fits)
-        needs = F.transform("all", lambda x, o: F.shiftleft((start + o).cast("long"), 32) + x)
-        near = near.filter(F.size(F.array_intersect("hits", needs)) == F.size(F.array_distinct(needs)))
-        near = near.select("doc_id", "row", F.struct(start.alias("s"), (start + F.col("len")).alias("e")).alias("span"), "items")
-        spans = near if spans is None else spans.unionByName(near)
-    spans = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    prefix = stored(prefixes(docs, windows(benchmark, window), shingle), "op1-prefix")
+    sizes = sorted(r.k for r in prefix.select("k").distinct().collect())  # at most `shingle` values
+    bytes_ = prefix.agg(F.sum(F.octet_length(F.concat_ws(" ", "w")) + F.octet_length(F.concat_ws(" ", "items")) + 200)).first()[0] or 0
+    found = _found(docs, prefix, sizes, max(1, -(-int(bytes_) // block_bytes)))
+    found = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit")),
         lambda s, x: F.struct(F.greatest(s["end"], x["e"]).cast("long").alias("end"), (s["hit"] + F.greatest(x["e"] - F.greatest(x["s"], s["end"]), F.lit(0))).cast("long").alias("hit")),
         lambda s: s["hit"],
     )
-    spans = spans.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), covered.alias("hit"), "items")
-    out = places.select("doc_id", "row", "n_words").join(spans, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("hit", F.lit(0).cast("long")))
+    out = found.select("doc_id", "row", "n_words", covered.alias("n_hit"), "items")
     return out.select("doc_id", "row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
