@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, shared_path
+from .common import read, shared_root, stored
 
 LIMIT = 4096
 #: Most word counts that one worker remembers; beyond it words are encoded afresh.
@@ -85,31 +85,40 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs; cache: path of the table of counts, made if missing.
 
     Content is normalised to the text itself with null as the empty text, so that counts are those of the raw text. Empty
-    text has no tokens. Repeated texts are encoded once. Other columns are ignored. A cache that lacks nothing stays as it is.
+    text has no tokens. Repeated texts are encoded once, and none that the cache holds. Rows with one doc_id each give a row;
+    other columns are ignored; an empty table gives an empty result. A cache that lacks nothing stays as it is. Runs may
+    share a cache: two that append the same digest at once append the same count.
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
     text = F.coalesce("text", F.lit(""))
-    at = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    schema = "digest binary, n_tokens long, version string"
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    have = spark.read.schema(schema).parquet(cache).filter(F.col("version") == version).select("digest", "n_tokens") if there else None
     rows = docs.select(text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    fresh = rows.join(have.select("digest"), "digest", "left_anti") if there else rows
+    have = cached(spark, cache, version)
+    # One text of each digest that lacks a count: partial aggregation before the shuffle, so that copies weigh nothing.
+    fresh = rows if have is None else rows.join(have, "digest", "left_anti")
     fresh = fresh.groupBy("digest").agg(F.first("text").alias("text"))
-    new = fresh.mapInArrow(lambda b: _counts(b, tokenizer), "digest binary, n_tokens long")
-    new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    have = spark.read.schema(schema).parquet(cache).filter(F.col("version") == version)
-    # Two runs may have appended the same digest at once.
-    have = have.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    new = stored(fresh.mapInArrow(lambda b: _counts(b, tokenizer), "digest binary, n_tokens long"), "op7-new")
+    if not new.isEmpty():
+        new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
+    known = new if have is None else have.unionByName(new)
+    known = stored(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "op7-known")
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    out = keyed.join(have, "digest")
+    out = keyed.join(known, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def cached(spark, cache: str, version: str) -> DataFrame | None:
+    """(digest, n_tokens) of the version in the cache as it is now; None if there is no cache."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("digest binary, n_tokens long, version string").parquet(cache).filter(F.col("version") == version).select("digest", "n_tokens")
+
+
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "op7-cache"))
+    # A place of its own below the shared folder: later runs, on these or on other tables, find what earlier ones counted.
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), f"{shared_root(spark)}/token-counts")
 
 
 SQL: dict[str, str] = {}
