@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index.
 
-Each rule's regex is parsed into a Boolean query over trigrams that any match must hold. Every batch of documents is a
-shard of the index: postings list which of its documents hold each trigram that some query needs, queries intersect and
-unite postings, and the rule's regex runs over the candidates alone. A rule without mandatory trigrams scans them all.
-Shards are independent, so nothing is shuffled and a lost task is only its own shard.
+Each rule's regex is parsed into a Boolean query over trigrams that any match must hold. The index is a stored table of
+postings (trigram, key of the text) over all distinct texts, of the trigrams that some query names. Queries are evaluated on
+the postings: those of one text are brought together, all trigrams of an alternative intersect, alternatives unite, and the
+rules left are the text's candidates. Their regexes run over the texts that hold the candidates; rules without mandatory
+trigrams scan every text. Equal texts have one set of postings; a key that two texts share only adds candidates.
 """
 
 from __future__ import annotations
@@ -17,8 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
+
+#: Bytes of text that are cut into trigrams at a time; most candidates (of some 100 bytes in memory) that are broadcast.
+BYTES, SMALL = 1 << 21, 250_000
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,7 @@ MORE = (
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
 )
 
@@ -108,43 +114,90 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return query
 
 
-class Index:
-    """Rules with their queries; scan() takes a shard of texts."""
+class Rules:
+    """Rules with their queries, and the trigrams that the queries name."""
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern)) for r in rules]
         self.trigrams = sorted({t for *_, q in self.rules for any_ in q for all_ in any_ for t in all_})
+        self.free = [n for n, (*_, q) in enumerate(self.rules) if not q]
+        coded = [int.from_bytes(t.encode(), "big") for t in self.trigrams]  # of ASCII: three bytes
+        self.number = np.zeros(1 << 24, np.int16)
+        self.number[coded] = np.arange(1, len(coded) + 1)
+
+    def holds(self, found, n: int):
+        """Condition on `found`, the array of a text's trigrams: the query of rule n."""
+        every = None
+        for any_ in self.rules[n][2]:
+            some = None
+            for all_ in any_:
+                one = F.size(F.array_intersect(found, F.array(*[F.lit(t) for t in sorted(all_)]))) == len(all_)
+                some = one if some is None else some | one
+            every = some if every is None else every & some
+        return every
+
+    def postings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a trigram, number of the text): each trigram of the queries once for a text that holds it."""
+        raw = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+        flat = np.frombuffer(b"\n\n".join(raw), np.uint8)
+        if len(flat) < 3:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code = flat[:-2].astype(np.int32) << 16
+        code |= flat[1:-1].astype(np.int32) << 8
+        code |= flat[2:]
+        number = self.number[code]
+        at = np.flatnonzero(number)
+        start = np.cumsum([0, *(len(r) + 2 for r in raw)])
+        both = np.unique((np.searchsorted(start, at, "right") - 1) * 4096 + number[at] - 1)
+        return both % 4096, both // 4096
+
+    def scan(self, text: str, rules) -> list[tuple[int, int, int]]:
+        """(start, number of the rule, end) of the rules' matches, sorted."""
+        found = []
+        for n in rules:
+            rule, regex, _ = self.rules[n]
+            found += [(m.start(), n, m.end()) for m in regex.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        return sorted(found)
+
+
+def _index(batches, rules: tuple[Rule, ...]):
+    made = Rules(rules)
+    for batch in batches:
+        texts, keys = batch.column("text"), batch.column("key").to_numpy()
+        size, low = np.cumsum(np.asarray(texts.value_lengths() if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts))), 0
+        while low < len(keys):
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + BYTES, "right")))
+            number, at = made.postings(texts.slice(low, high - low).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(made.trigrams, object)[number], pa.string()), pa.array(keys[low:high][at])], names=["trigram", "key"])
+            low = high
+
 
-    def candidates(self, texts: list[str]) -> list[np.ndarray]:
-        low = [t.lower() for t in texts]
-        postings = {t: np.fromiter((t in x for x in low), bool, len(low)) for t in self.trigrams}
-        out = []
-        for _, _, query in self.rules:
-            mine = np.ones(len(texts), bool)
-            for any_ in query:
-                mine &= np.logical_or.reduce([np.logical_and.reduce([postings[t] for t in all_]) for all_ in any_])
-            out.append(np.flatnonzero(mine))
-        return out
-
-    def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(start, number of the rule, end) of every text, sorted."""
-        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for n, ((rule, regex, _), mine) in enumerate(zip(self.rules, self.candidates(texts), strict=True)):
-            for i in mine:
-                found[i] += [(m.start(), n, m.end()) for m in regex.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-        return [sorted(x) for x in found]
+def index(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The stored inverted index of the columns text (not null) and key: postings (trigram, key), in order of trigrams."""
+    rows = texts.select("text", "key").mapInArrow(lambda b: _index(b, rules), "trigram string, key long")
+    return stored(rows.distinct().sortWithinPartitions("trigram", "key"), "op8-postings")
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, rules): the numbers of the rules whose query the postings of a key fulfil, where there is one."""
+    made = Rules(rules)
+    found = postings.groupBy("key").agg(F.collect_set("trigram").alias("found"))  # no more than the queries name
+    asked = [F.when(made.holds(F.col("found"), n), F.lit(n)) for n, (*_, q) in enumerate(made.rules) if q]
+    if not asked:
+        return found.select("key", F.array().cast("array<int>").alias("rules")).limit(0)
+    return found.select("key", F.array_compact(F.array(*asked)).alias("rules")).filter(F.size("rules") > 0)
 
 
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
 def _scan(batches, rules: tuple[Rule, ...]):
-    index = Index(rules)
+    made = Rules(rules)
     named = lambda spans: ",".join(f"{rules[n].kind}:{a}:{b}" for a, n, b in spans)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            found = index.scan([t or "" for t in part.column("text").to_pylist()])
+            found = [made.scan(t, made.free + (r or [])) for t, r in zip(part.column("text").to_pylist(), part.column("rules").to_pylist(), strict=True)]
             counts = [pa.array([sum(n == k for _, n, _ in x) for x in found], pa.int64()) for k in range(len(BASE))]
             base = pa.array([named(s for s in x if s[1] < len(BASE)) for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, base, pa.array([named(x) for x in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
@@ -154,15 +207,17 @@ def scan_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """doc_id, counts, base_spans and spans (kind:start:end, code points) of every row of docs.
 
     Null text is empty and holds nothing; rows with one doc_id each give a row; other columns are ignored; spans of different
-    kinds may overlap and all stay. Times are linear in the text for every rule.
+    kinds may overlap and all stay; an empty table gives an empty result. Every regex moves on with each step, so times are
+    linear in the text. The size of the table of candidates is checked before it is broadcast; a larger one joins by key.
     """
     rules = (*BASE, *more)
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _scan(b, rules), _SCHEMA)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    asked = stored(candidates(index(own, rules), rules), "op8-candidates")
+    asked = F.broadcast(asked) if asked.count() <= SMALL else asked
+    return own.join(asked, "key", "left").select("doc_id", "text", "rules").mapInArrow(lambda b: _scan(b, rules), _SCHEMA)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     out = scan_secrets(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
