@@ -1,10 +1,11 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into a style tree: a node is a path of elements with their classes, ids and roles.
-A node's presentation tells menus, headers, footers, sidebars, notices, adverts, forms and comments. Its content is weighed
-by the entropy of its texts over the host's distinct pages against the entropy of the pages: what is the same on most pages bears
-little. Every page then loses its branches of low importance, and the rest, inside its article where there is one, is
-its text.
+Over the host's distinct pages a node has an entropy of content (its texts) and one of presentation (the sequence of the
+elements that it holds), both against the entropy of the pages: a node that reads the same and is laid out the same on most
+pages is of low importance, inside an article as outside. What names itself a menu, header, footer, sidebar, notice, advert,
+form or comments, by its element or its class, id or role, is of none; such parts may differ from page to page. Every page
+loses these branches, and the rest, inside its article where there is one, is its text.
 """
 
 from __future__ import annotations
@@ -37,13 +38,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that the start of one of these ends.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset(("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"))
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Nothing is taken back once it has matched, so a tag is read in one pass; quotes hold a value only behind an equals sign.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""")
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _NAMES = frozenset(("class", "id", "role"))
 _ARTICLE = frozenset(("article", "main"))
 _WHOLE = frozenset(("html", "body", "main", "article"))
-#: A style node is of low importance if its entropy is below this share of that of the pages, on so many distinct pages or
-#: more, and on this share of the host's.
+#: A style node is of low importance if its entropies of content and of presentation are at most this share of that of the pages,
+#: on so many distinct pages or more, and on this share of the host's.
 LOW, PAGES, SHARE = 0.2, 4, 0.5
 
 
@@ -51,7 +54,7 @@ class _Node:
     """An element. at: where its tag starts; named: it is dropped for its class, id or role (reply: as one of replies or teasers),
     unless at is spared; holds: it is an article or the main part."""
 
-    __slots__ = ("at", "dropped", "holds", "inside", "key", "named", "path", "plain", "reply", "tag")
+    __slots__ = ("at", "dropped", "holds", "inside", "key", "mark", "named", "owner", "path", "reply", "tag")
 
     def __init__(self, tag: str, attrs: str, up: _Node | None, at: int = 0, spared: frozenset[int] = frozenset()):
         names, hidden, main = [], False, False
@@ -64,12 +67,13 @@ class _Node:
         named = " ".join(names)
         body = "articlebody" in attrs.lower()
         within = up.inside if up else False
-        self.tag, self.at = tag, at
+        self.tag, self.at, self.mark = tag, at, 0
         self.inside = tag in _ARTICLE or "main" in named.lower().split() or body or within
         self.holds = tag in _ARTICLE or main or body
-        self.plain = not named
+        self.owner = self if tag not in INLINE or up is None else up.owner
         self.named = self.reply = False
-        if named and not (tag in _WHOLE or main or body or at in spared):
+        # The name of a heading inside an article is a place to jump to.
+        if named and not (tag in _WHOLE or main or body or at in spared or (within and tag in HEADINGS)):
             # A header inside an article holds its headline.
             found = [m for m in map(ROLES.fullmatch, named.split()) if m and not (within and m["head"])]
             self.named, self.reply = bool(found), any(m["reply"] or m["replies"] for m in found)
@@ -78,10 +82,11 @@ class _Node:
         self.path = xxhash.xxh64_intdigest(f"{up.path if up else 0}/{self.key}") >> 1
 
 
-def blocks(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple[int, str, bool, bool]]:
-    """(style path, text, inside an article, may be weighed) of the page's blocks in order, less what presentation drops.
+def blocks(html: str | None, spared: frozenset[int] = frozenset(), shapes: dict[int, list[str]] | None = None) -> list[tuple[int, str, bool, bool]]:
+    """(style path, text, inside an article, may be weighed) of the page's blocks in order, less what names drop. Headings of an
+    article aren't weighed. shapes gets the elements that each style path holds, equal neighbours once.
 
-    Forgiving of unclosed and stray tags; every step moves on, and an unclosed comment or script takes the rest. What holds an
+    Forgiving of unclosed and stray tags; time is linear in the page, and what ends within a tag, a comment or a script ends there. What holds an
     article or the main part is not dropped for its name; replies and teasers, which may be articles too, only hold those
     of a page that has no other. `spared` are the starts of tags that a first pass found so.
     """
@@ -90,23 +95,29 @@ def blocks(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple
     out: list[tuple[int, str, bool, bool]] = []
     held: list[str] = []
     owner = stack[0]
-    holders: list[list[_Node]] = []
+    # Named elements around articles: around any, and around those that no reply or teaser holds.
+    around: tuple[set[int], set[int]] = set(), set()
+    opened: dict[str, int] = {}
+    holders = named = replies = 0  # how many there were, and how many of the stack are
 
     def end_block() -> None:
         nonlocal held
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                bare = owner.plain and owner.inside and owner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "article", "main")
-                out.append((owner.path, text, owner.inside, not bare))
+                out.append((owner.path, text, owner.inside, not (owner.inside and owner.tag in HEADINGS)))
             held = []
 
     def pop(to: int) -> None:
-        nonlocal owner
+        nonlocal owner, named, replies
         if any(n.tag not in INLINE for n in stack[to:]):
             end_block()
+        for node in stack[to:]:
+            opened[node.tag] -= 1
+            named -= node.named
+            replies -= node.reply
         del stack[to:]
-        owner = next((n for n in reversed(stack) if n.tag not in INLINE), stack[0])
+        owner = stack[-1].owner
 
     at, n = 0, len(html)
     while at < n:
@@ -123,9 +134,12 @@ def blocks(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple
             continue
         m = _TAG.match(html, lt)
         if not m:
-            if html[lt + 1 : lt + 2] in ("!", "?", "/"):
+            after = html[lt + 1 : lt + 2]
+            if after in ("!", "?", "/"):
                 end = html.find(">", lt)
                 at = n if end < 0 else end + 1
+            elif after.isascii() and after.isalpha():
+                break  # the page ends within this tag
             else:
                 if not stack[-1].dropped:
                     held.append("<")
@@ -135,7 +149,7 @@ def blocks(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple
         if tag not in INLINE:
             end_block()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
                     pop(k)
                     break
@@ -149,29 +163,42 @@ def blocks(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple
             stop = html.find(">", end.end()) if end else -1
             at = stop + 1 if stop >= 0 else n
             continue
-        if tag not in INLINE:
+        ends = ("p", *CLOSED_BY.get(tag, ()))
+        if tag not in INLINE and any(opened.get(x) for x in ends):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" and (tag != "p" or True):
-                    pop(k)
-                    break
-                if stack[k].tag in CLOSED_BY.get(tag, ()):
+                if stack[k].tag in ends:
                     pop(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
         if attrs.endswith("/") and tag in ("svg", "path", "canvas"):
             continue
-        stack.append(_Node(tag, attrs, stack[-1], lt, spared))
-        if stack[-1].holds and not spared:
-            over = [x for x in stack if x.named]
-            if over or not stack[-1].dropped:
-                holders.append(over)
+        up = stack[-1]
+        node = _Node(tag, attrs, up, lt, spared)
+        stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
+        named += node.named
+        replies += node.reply
+        if shapes is not None and not node.dropped and (held_ := shapes.setdefault(up.path, []))[-1:] != [node.key]:
+            held_.append(node.key)
+        if node.holds and not spared and (named or not node.dropped):
+            clear = 0 if replies else 1
+            holders |= 1 << clear
+            for x in reversed(stack):  # each element is taken once at most for either set
+                if x.mark >> clear & 1:
+                    break
+                x.mark |= 1 << clear
+                if x.named:
+                    around[clear].add(x.at)
         if tag not in INLINE:
-            owner = stack[-1]
+            owner = node
     end_block()
-    own = [x for x in holders if not any(node.reply for node in x)]
-    spare = frozenset(node.at for x in own or holders for node in x)
-    return blocks(html, spare) if spare else out
+    spare = frozenset(around[1] if holders & 2 else around[0])
+    if not spare:
+        return out
+    if shapes is not None:
+        shapes.clear()
+    return blocks(html, spare, shapes)
 
 
 def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
@@ -182,42 +209,44 @@ def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) ->
 
 
 def _nodes(batches):
-    """(host, path, page, content): each style node of each page once, with digests of the page's texts and of its own; path 0
-    is the page itself."""
+    """(host, path, page, content, shape): each style node of each page once, with digests of the page's texts, of its own and of the
+    elements that it holds; path 0 is the page itself."""
+    names = ["host", "path", "page", "content", "shape"]
     for batch in batches:
-        host, path, page, content = [], [], [], []
-        for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        rows = []
+        for h, html in zip(batch.column("host"), batch.column("html"), strict=True):
             own: dict[int, list[str]] = {}
-            for p, text, _, weigh in blocks(html):
+            shapes: dict[int, list[str]] = {}
+            for p, text, _, weigh in blocks(html.as_py(), shapes=shapes):
                 own.setdefault(0, []).append(text)
                 if weigh:
                     own.setdefault(p, []).append(text)
-            digests = {p: xxhash.xxh64_intdigest("\n".join(texts)) >> 1 for p, texts in own.items()}
-            for p, digest in digests.items():
-                host.append(h)
-                path.append(p)
-                page.append(digests[0])
-                content.append(digest)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string())] + [pa.array(x, pa.int64()) for x in (path, page, content)], names=["host", "path", "page", "content"])
+            digest = lambda x: xxhash.xxh64_intdigest("\n".join(x)) >> 1
+            page = digest(own.get(0, ()))
+            rows += [(h.as_py(), p, page, digest(texts), digest(shapes.get(p, ()))) for p, texts in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n != "host" else pa.string()) for c, n in zip(zip(*rows, strict=True) if rows else [[]] * 5, names, strict=True)], names=names)
 
 
 def low_nodes(pages: DataFrame, low: float = LOW, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, path): style nodes on `least` pages and a share of their host's or more, whose entropy is at most low times that
-    of the pages. Pages of one host with the same texts count once, so that copies are no evidence."""
-    rows = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, page long, content long")
+    """(host, path): style nodes on `least` pages and a share of their host's or more, whose entropies of content and of presentation
+    are at most low times that of the pages. Pages of one host with the same texts count once, so that copies are no evidence."""
+    rows = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, page long, content long, shape long")
     # Copies that place the same texts differently still weigh as one page at a path.
-    rows = rows.groupBy("host", "path", "page").agg(F.min("content").alias("content"))
-    n = rows.groupBy("host", "path", "content").count()
-    e = n.groupBy("host", "path").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log2("count")).alias("s"))
-    e = stored(e.select("host", "path", "n", (F.log2("n") - F.col("s") / F.col("n")).alias("h")), "op10-tree")
+    rows = rows.groupBy("host", "path", "page").agg(F.min(F.struct("content", "shape")).alias("m")).select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("m.content").alias("d")), F.struct(F.lit(1).alias("of"), F.col("m.shape").alias("d")))).alias("x"))
+    n = rows.groupBy("host", "path", "x.of", "x.d").count()
+    e = n.groupBy("host", "path", "of").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log2("count")).alias("s"))
+    h = F.log2("n") - F.col("s") / F.col("n")
+    e = e.groupBy("host", "path").agg(F.max("n").alias("n"), F.max(F.when(F.col("of") == 0, h)).alias("h"), F.max(F.when(F.col("of") == 1, h)).alias("shape"))
+    e = stored(e, "op10-tree")
     page = e.filter("path = 0").select(F.col("host").alias("__h"), F.col("h").alias("all"), F.col("n").alias("pages"))
     found = e.filter(F.col("path") != 0).filter(F.col("n") >= least).join(page, F.col("host") == F.col("__h"))
-    return found.filter((F.col("n") >= share * F.col("pages")) & (F.col("all") >= 1) & (F.col("h") <= low * F.col("all"))).select("host", "path")
+    both = (F.col("h") <= low * F.col("all")) & (F.col("shape") <= low * F.col("all"))
+    return found.filter((F.col("n") >= share * F.col("pages")) & (F.col("all") >= 1) & both).select("host", "path")
 
 
 def _extract(batches):
     for batch in batches:
-        text = [main_text(h, frozenset(x or ())) for h, x in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
+        text = [main_text(h.as_py(), frozenset(x or ())) for h, x in zip(batch.column("html"), batch.column("low").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
