@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +35,54 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Most rows and bytes of an Arrow batch. Whole texts go to Python; with Spark's 10,000 rows a batch of them may take a third of an
+#: executor, in the JVM and in the worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH; lower ones stay."""
+    for key, most in BATCH.items():
+        with contextlib.suppress(Exception):  # a version of Spark may lack one
+            now = spark.conf.get(key)
+            if not now.isdigit() or not 0 < int(now) <= most:
+                spark.conf.set(key, str(most))
+
+
+#: What pipeline stages have stored and not yet removed, by the names of the folders; those of a stage that is running.
+_LEFT: list[str] = []
+_RUNNING: list[list[str]] = []
+#: Most rows of a few numbers (some 100 bytes each in memory) that are broadcast; a larger table joins by a shuffle.
+SMALL = 250_000
+
+
+def stage(f):
+    """Marks a pipeline stage. Once it begins, the result of the one before it is written, so what earlier stages have stored
+    goes, but for tables that its documents are read from."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded(spark)
+        files = docs.inputFiles()
+        for path in [p for p in _LEFT if not any(p.rpartition("/")[2] in x for x in files)]:
+            deleted(spark, path)
+            _LEFT.remove(path)
+        _RUNNING.append([])
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _LEFT.extend(_RUNNING.pop())
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    bounded(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _RUNNING:
+        _RUNNING[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +91,21 @@ def numbered(docs: DataFrame, name: str, column: str = "__row") -> DataFrame:
     return stored(docs.withColumn(column, F.monotonically_increasing_id()), name)
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a stored() table that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            deleted(df.sparkSession, path)
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The stored table df, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def trimmed() -> None:
@@ -133,7 +188,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a partial aggregate and a join, until the edges stay as they
     are. Nothing is collected but one count and one checksum a round; each round's edges are a stored table.
     """
-    spark = edges.sparkSession
     now = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
     now = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
@@ -145,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(first, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = stored(small.filter("u <> v").distinct(), "edges")
         got = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        removed(spark, now)
+        removed(now)
         now = after
         if got == mark:
             break
@@ -155,4 +209,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
+from .common import lower_ascii, numbered, read, small, stage, stored
 
 #: Separators of the contract: all of ASCII but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,19 +95,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from .common import read
-
     out = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@stage
 def clean_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without an occurrence of a benchmark window; rows with one doc_id, or a null one, each for itself."""
-    from .common import numbered, read
-
     rows = numbered(docs, "op1-rows")
     found = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(found, "__row", "left_anti").select(*docs.columns)
+    return rows.join(small(stored(found, "op1-gone")), "__row", "left_anti").select(*docs.columns)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

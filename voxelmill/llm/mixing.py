@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, read, stored
+from .common import groups, numbered, read, small, stage, stored
 
 #: Weights by the source's rank, repeating; total of the targets against all sizes; most copies of a document.
 WEIGHTS, BUDGET, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -129,13 +129,14 @@ def op4_mix(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@stage
 def mixed_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it."""
-    plan = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("dup").alias("__dup"), "copies")
-    own = docs.withColumn("__n", size_of(F.col("text"))).withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")) & (F.col("__k") == F.col("__dup"))
-    out = own.join(plan.withColumnRenamed("copies", "__copies"), on)
-    return out.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """Pipeline stage: every document as often as the mix takes it; rows with one doc_id, or a null one, each for itself."""
+    rows = numbered(docs, "op4-rows")
+    plan = mix(rows.select(F.col("__row").alias("doc_id"), "source", "text")).filter("copies > 0")
+    plan = stored(plan.select(F.col("doc_id").alias("__row"), F.col("copies").cast("int").alias("__copies")), "op4-copies")
+    out = rows.join(small(plan), "__row")
+    return out.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 SQL: dict[str, str] = {}

@@ -15,12 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_units, components, groups, numbered, read, removed, stored
+from .common import block_units, components, groups, numbered, read, removed, small, stage, stored, trimmed
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 8, 85
 #: A pair of Jaccard similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 32, below 4 in 100,000.
-#: Most shingles and members in a block of a bucket; most document ids that a membership table broadcasts.
-BLOCK_SHINGLES, BLOCK_DOCS, SMALL = 1_000_000, 256, 2_000_000
+#: Most shingles and members in a block of a bucket; rows of a batch that are signed at a time.
+BLOCK_SHINGLES, BLOCK_DOCS, STEP = 256_000, 256, 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 
@@ -68,21 +68,24 @@ def signature(keys: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
 
 
 def _sign(batches):
-    for batch in batches:
-        n, sets, bands = [], [], []
-        for text in batch.column("text").to_pylist():
-            keys = shingles(text)
-            n.append(len(keys))
-            sets.append(xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None)
-            bands.append(np.frombuffer(b"".join(xxhash.xxh3_64_digest(r.tobytes(), seed=i) for i, r in enumerate(signature(keys).reshape(BANDS, ROWS))), ">i8").tolist() if len(keys) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "set", "bands"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, STEP):
+            batch = whole.slice(at, STEP)
+            n, sets, bands = [], [], []
+            for text in batch.column("text"):
+                keys = shingles(text.as_py())
+                n.append(len(keys))
+                sets.append(xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None)
+                bands.append(np.frombuffer(b"".join(xxhash.xxh3_64_digest(r.tobytes(), seed=i) for i, r in enumerate(signature(keys).reshape(BANDS, ROWS))), ">i8").astype(np.int64) if len(keys) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "set", "bands"])
+    trimmed()
 
 
 def _linked(table: pa.Table):
     """A forest of the links in one unit: pairs of Jaccard similarity of PERCENT or more, on full sets."""
     ids, b = table.column("doc_id").to_pylist(), table.column("b").to_pylist()
     apart = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
-    keys = [shingles(t) for t in table.column("text").to_pylist()]
+    keys = [shingles(t.as_py()) for t in table.column("text")]
     size = np.array([len(k) for k in keys], np.int64)
     root = list(range(len(ids)))
 
@@ -121,42 +124,51 @@ def _verify(batches):
         links = list(_linked(table))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["src", "dst"])
+    trimmed()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Documents link at 100 * intersection >= 85 * union of their shingle sets; equal sets always do. Null and blank texts have
-    no shingles and link with nothing. Rows with one doc_id are one document when classes are formed; each gives a row. A null
-    doc_id has no class but its own row, kept. Other columns are ignored. An empty table gives an empty result.
+    no shingles and link with nothing: such a row is its own class. Sets that share a doc_id are one document when classes
+    are formed; each row gives a row. A null doc_id has no class but its own row, kept. Other columns are ignored. An empty
+    table gives an empty result. Copies meet in their set, by partial aggregation, and never as links.
     """
     signed = docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n long, set binary, bands array<long>")
     signed = stored(signed, "op9-signed")
-    reps = signed.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = stored(reps, "op9-sets")
-    rows = reps.select("rep", "n", F.explode("bands").alias("key")).withColumn("weight", F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS)))
-    dealt = block_units(rows, "key", "rep", F.col("weight"), BLOCK_SHINGLES)
-    one = dealt.filter("nb = 1").groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("members")).dropDuplicates(["members"])
-    one = one.select(F.xxhash64("members").alias("unit"), F.explode("members").alias("rep"), F.lit(0).alias("b"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
-    hot = dealt.filter("nb > 1").select(F.xxhash64("key", "bi", "bj").alias("unit"), "rep", "b", "bi", "bj")
-    members = stored(one.unionByName(hot), "op9-units")
-    n = members.count()
-    side = F.broadcast(members) if n <= SMALL else members
-    texts = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("rep"))
-    # A doc_id of several rows: the text whose set stands in the class may be any of them, so all come along.
+    good = signed.filter("set is not null and doc_id is not null")
+    reps = stored(good.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "op9-sets")
+    rows = reps.select("set", "n", F.explode("bands").alias("key")).withColumn("weight", F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS)))
+    rows = rows.withColumn("member", F.xxhash64("set")).select("member", "key", "weight")
+    dealt = block_units(rows, "key", "member", F.col("weight"), BLOCK_SHINGLES)
+    one = dealt.filter("nb = 1").groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("members")).dropDuplicates(["members"])
+    one = one.select(F.xxhash64("members").alias("unit"), F.explode("members").alias("member"), F.lit(0).alias("b"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
+    hot = dealt.filter("nb > 1").select(F.xxhash64("key", "bi", "bj").alias("unit"), "member", "b", "bi", "bj")
+    of = reps.select(F.xxhash64("set").alias("member"), "rep", F.col("n").alias("size"))
+    members = stored(one.unionByName(hot).join(of, "member"), "op9-units")
+    # A doc_id of several rows brings all its texts; what is not the set's own finds its own set in the same unit or another.
+    texts = docs.select("doc_id", "text").join(small(members), F.col("doc_id") == F.col("rep"))
     units = texts.select("unit", "doc_id", "text", "b", "bi", "bj").repartition("unit").sortWithinPartitions("unit")
     links = stored(units.mapInArrow(_verify, "src long, dst long"), "op9-links")
-    same = signed.filter("set is not null").join(reps.select("set", "rep"), "set").filter("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    # Sets that one doc_id holds: an edge from each to the least of them.
+    own = good.select("doc_id", "set").join(reps.select("set", "rep"), "set").groupBy("doc_id", "rep").agg(F.count(F.lit(1)).alias("__n"))
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
+    same = own.join(several, "doc_id").filter("rep <> least").select(F.col("rep").alias("src"), F.col("least").alias("dst"))
     found = components(links.unionByName(same))
-    out = signed.join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("class"))
+    classes = stored(classes, "op9-classes")
+    removed(reps, members, links)
+    out = signed.select("doc_id", "n", "set").join(classes, "set", "left")
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class")), F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@stage
 def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class, the one of the smallest doc_id (a null one last).
 
@@ -165,14 +177,14 @@ def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = numbered(docs, "op9-rows")
     found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    found = stored(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("class"), "kept"), "op9-classes")
+    found = stored(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("class"), "kept"), "op9-rows-classes")
     several = found.filter("not kept").select("class").distinct()
     members = found.join(several, "class", "left_semi").join(rows.select("__row", "doc_id"), "__row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     members = stored(members.select("class", order.alias("m")), "op9-members")
     best = members.groupBy("class").agg(F.min("m").alias("m")).select(F.col("m.__row").alias("__best"))
     gone = members.select(F.col("m.__row").alias("__row")).join(best, F.col("__row") == F.col("__best"), "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(small(stored(gone, "op9-gone")), "__row", "left_anti").select(*docs.columns)
 
 
 SQL = {

@@ -4,8 +4,9 @@ Units are the characters of a text with white space made one space and every rep
 so that junk symbols, capitals, tables and stuttering all surprise the model. One model for each language is counted over
 all trusted documents: highest-order counts come from the texts, lower orders count distinct continuations, three discounts
 an order come from counts of counts, and probabilities are interpolated order by order in SQL. The model is cut into
-shards of bounded size by the last unit of the context, so that a position needs one shard only; stretches of texts of
-bounded size pass the shards one after another inside one task and gather log-probability. A document's perplexity is held
+shards of bounded size by the last two units of the context, so that a position needs one shard only (n-grams of one and two
+units, as few as the alphabet allows, are in all of them); stretches of texts of bounded size join the shards' counts one
+after another inside one task and gather log-probability. A row for each position in a shuffle would be many times the text. A document's perplexity is held
 against a quantile of the trusted documents' perplexities in its language. Those are held out: trusted texts fall into two
 folds by their content, so that copies share one, and each fold is scored by a model of the other.
 """
@@ -23,17 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, shared_path, stored
+from .common import read, shared_path, small, stage, stored, trimmed
 
 ORDER = 5
 #: Texts of a few units say little: so many units at the language's mean are added to each.
 PRIOR_UNITS = 40
 #: A document is rejected above MARGIN times the QUANTILE of trusted perplexities of its language.
 QUANTILE, MARGIN = 0.995, 1.05
-#: Most rows of a shard, each a n-gram or a context; most document ids that are broadcast.
-SHARD_ROWS, SMALL = 1_500_000, 2_000_000
+#: Most rows of a shard, each a n-gram or a context.
+SHARD_ROWS = 1_000_000
 #: Rows taken from a batch at a time, and characters of text that pass the shards together.
-STEP, HELD = 256, 8_000_000
+STEP, HELD = 256, 6_000_000
 #: Keys that are put into a table at a time.
 FILL = 1 << 18
 START, MARK = "\x02", "\x01"
@@ -226,8 +227,10 @@ def _keys(langs: list[str], grams: list[str]) -> np.ndarray:
     return out
 
 
-def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
-    return codes.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(shards)
+def _shard_of(last: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of the contexts that end with these two units."""
+    both = (before.astype(np.uint64) * np.uint64(1 << 21) + last.astype(np.uint64)) % np.uint64(2147483647)
+    return both * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(shards)
 
 
 @dataclass
@@ -249,7 +252,7 @@ def _part(held: Stretch, model: Shards, number: int) -> np.ndarray:
     real[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
     where = np.flatnonzero(real)
     if model.number > 1:
-        where = where[_shard_of(codes[where - 1], model.number) == number]
+        where = where[_shard_of(codes[where - 1], codes[where - 2], model.number) == number]
     owner = np.searchsorted(starts, where, "right") - 1
     seed = np.array([_seed(x) for x in held.langs], np.uint64)[owner]
     c = codes.astype(np.uint64) + np.uint64(1)
@@ -269,6 +272,14 @@ def _part(held: Stretch, model: Shards, number: int) -> np.ndarray:
 
 
 def _score(batches, model: Shards):
+    try:
+        yield from _scored(batches, model)
+    finally:  # workers go on to other stages
+        _TABLES.clear()
+        trimmed()
+
+
+def _scored(batches, model: Shards):
     for batch in batches:
         lp, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         held, size = [], 0
@@ -312,14 +323,16 @@ def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
     spark = model.sparkSession
     shards = max(1, -(-model.count() // shard_rows))
     unknown = {r.lang: r.value for r in model.filter("g = '' and kind = 'p'").collect()}  # one row a language
-    # Contexts go by their last unit, n-grams by the one before their last; what has no context goes to all.
-    by = F.when(F.col("kind") == "w", F.expr("right(g, 1)")).otherwise(F.expr("substring(g, length(g) - 1, 1)"))
-    home = F.ascii(by).cast("long") * 2654435761 % (1 << 32) % shards
+    # Contexts go by their last two units, n-grams by the two before their last; what has a shorter context goes to all.
+    context = F.when(F.col("kind") == "w", F.col("g")).otherwise(F.expr("left(g, length(g) - 1)"))
+    last, before = F.ascii(F.expr("right(context, 1)")).cast("long"), F.ascii(F.expr("substring(context, length(context) - 1, 1)")).cast("long")
+    home = (before * (1 << 21) + last) % 2147483647 * 2654435761 % (1 << 32) % shards
     everywhere = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-    shard = F.explode(F.when((F.length("g") < 2) & (F.col("kind") == "p"), everywhere).otherwise(F.array(home)))
+    shard = F.explode(F.when(F.length("context") < 2, everywhere).otherwise(F.array(home)))
+    model = model.withColumn("context", context)
     own = model.filter(F.col("g") != "").select("lang", "g", (F.col("kind") == "w").alias("w"), "value", shard.alias("shard"))
     path = shared_path(spark, "op3-shards")
-    own.mapInArrow(_keyed, "w boolean, key long, value float, shard long").write.partitionBy("shard").parquet(path)
+    own.mapInArrow(_keyed, "w boolean, key long, value float, shard long").repartition(shards, "shard").write.partitionBy("shard").parquet(path)
     return Shards(path, shards, unknown)
 
 
@@ -353,12 +366,12 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
 
     Trusted documents are those labelled quality 1 and not toxic; all of them train the model and, held out, set the
     thresholds. Documents of a language whose trusted texts fill less than two folds have no threshold and are accepted, as
-    are texts without a word (perplexity null). Null lang is a language of its own. doc_ids may repeat: each row is judged by its own text, labels are taken once.
+    are texts without a word (perplexity null). A null lang and an empty one are one language, of no name. doc_ids may repeat: each row is judged by its own text, labels are taken once.
     Columns of docs are kept; with no labels all documents are accepted.
     """
     ids = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__id")).distinct()
     ids = stored(ids, "op3-trusted")
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+    ids = small(ids)
     trusted = docs.select("doc_id", "lang", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
     # A fold is a language of its own to the counts and to the held-out models; both folds together make the whole model.
     trusted = trusted.select(F.coalesce("lang", F.lit("")).alias("__lang"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("__fold"), "text")
@@ -388,6 +401,7 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
     return judge(docs, read(spark, sf_dir, "labels")).select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "accepted")
 
 
+@stage
 def accepted_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier doesn't reject."""
     return judge(docs, read(spark, sf_dir, "labels")).filter("accepted").select(*docs.columns)

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read, small, stored
 
-#: Bytes of text that are cut into trigrams at a time; most candidates (of some 100 bytes in memory) that are broadcast.
-BYTES, SMALL = 1 << 21, 250_000
+#: Bytes of text that are cut into trigrams at a time.
+BYTES = 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -213,8 +213,7 @@ def scan_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     rules = (*BASE, *more)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     asked = stored(candidates(index(own, rules), rules), "op8-candidates")
-    asked = F.broadcast(asked) if asked.count() <= SMALL else asked
-    return own.join(asked, "key", "left").select("doc_id", "text", "rules").mapInArrow(lambda b: _scan(b, rules), _SCHEMA)
+    return own.join(small(asked), "key", "left").select("doc_id", "text", "rules").mapInArrow(lambda b: _scan(b, rules), _SCHEMA)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

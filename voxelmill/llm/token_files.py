@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, shared_path
+from .common import read, shared_path, stage
 
 LENGTH, BATCH = 2048, 64
 #: Most words whose ids a worker remembers.
@@ -221,6 +221,7 @@ def op6_token_files(spark, sf_dir: str) -> DataFrame:
     return token_files(spark, read(spark, sf_dir, "documents"))
 
 
+@stage
 def pipeline_files(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the documents as token files, and what the files hold of each."""
     return token_files(spark, docs)
