@@ -1,14 +1,18 @@
 """Exact neighbours of points: within a radius, the k nearest, and what builds on them.
 
-Points meet through cells as wide as the radius, so a join on 27 cells is exact. The k nearest are found in rings of cells
-that widen until k points are surely inside; no pair beyond them is made.
+Points meet through cells as wide as the radius, so a join on the cells around is exact. The k nearest are found in cells of a
+size that fits the place; no pair beyond them is made.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared
+from . import graphs
 from .cells import AXES, CELL, with_cells
 
 
@@ -18,13 +22,16 @@ def _distance2(a: str = "", b: str = "o"):
 
 
 def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b, d2) with a < b: pairs of (id, x, y, z) at most radius apart, the boundary included."""
-    own = with_cells(points, radius)
-    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    sent = own.withColumn("dx", step).withColumn("dy", step).withColumn("dz", step)
-    sent = sent.select(F.col("id").alias("oid"), *[F.col(a).alias(f"o{a}") for a in AXES], *[(F.col(f"i{a}") + F.col(f"d{a}")).alias(f"i{a}") for a in AXES])
-    near = own.join(sent, CELL).filter("id < oid").withColumn("d2", _distance2())
-    return near.filter(F.col("d2") <= radius * radius).select(F.col("id").alias("a"), F.col("oid").alias("b"), "d2")
+    """(a, b, d2) with a < b: pairs of (id, x, y, z) at most radius apart, the boundary included. One side goes to its own cell and 13
+    of the 26 around it, so that two cells meet once."""
+    own = with_cells(points.select("id", *AXES), radius)
+    half = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+    moves = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES, strict=True)]) for o in half])
+    sent = own.select(F.col("id").alias("oid"), *[F.col(a).alias(f"o{a}") for a in AXES], *CELL, F.explode(moves).alias("m"))
+    same = (F.col("m.dx") == 0) & (F.col("m.dy") == 0) & (F.col("m.dz") == 0)
+    sent = sent.select("oid", *[f"o{a}" for a in AXES], same.alias("same"), *[(F.col(f"i{a}") + F.col(f"m.d{a}")).alias(f"i{a}") for a in AXES])
+    near = own.join(sent, CELL).filter("not same OR id < oid").withColumn("d2", _distance2())
+    return near.filter(F.col("d2") <= radius * radius).select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"), "d2")
 
 
 def radius_counts(points: DataFrame, radius: float) -> DataFrame:
@@ -34,69 +41,107 @@ def radius_counts(points: DataFrame, radius: float) -> DataFrame:
     return points.select("id").join(both.groupBy("id").agg(F.count(F.lit(1)).alias("near")), "id", "left").fillna(0, ["near"])
 
 
-def nearest(points: DataFrame, k: int, size: float | None = None) -> DataFrame:
+def _checked(points: DataFrame) -> DataFrame:
+    """(id, x, y, z) in double precision; a coordinate that is null or not finite is refused."""
+    ok = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))
+    return points.select("id", *[F.when(ok(c), c + 0.0).otherwise(F.raise_error(F.lit("a coordinate is missing or not finite"))).alias(a) for a in AXES for c in (F.col(a).cast("double"),)])
+
+
+def _at_levels(rows: DataFrame, levels, low: dict[str, float], wide: float) -> DataFrame:
+    """rows once for each level: cells whose side is the cloud's, halved level times."""
+    out = rows.withColumn("level", F.explode(levels))
+    return out.withColumns({f"i{a}": F.floor((F.col(a) - low[a]) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))) for a in AXES})
+
+
+def nearest(points: DataFrame, k: int) -> DataFrame:
     """(id, nid, rank, dist): the k nearest other rows of each (id, x, y, z), ties by id; all there are if fewer.
 
-    Starts with cells that hold about k points on average; points whose k-th distance may reach beyond the ring of cells
-    that was searched go on with cells twice as wide, until none is left.
+    Points at one place are searched for once, and a place offers its k + 1 lowest ids only. Each place looks in the 27 cells
+    around it, of the finest of the halved grids in which its own cell holds a few points, so a far outlier makes its own
+    search coarse and no other. What the k-th distance may reach beyond goes on with cells as wide as that distance; few
+    rounds, each a checkpoint. A pair beyond the cells is never made.
     """
-    box = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
-    wide = max([box[a] or 0.0 for a in AXES], default=0.0) or 1.0
-    size = size or wide / max(1.0, (box.n / max(k, 1)) ** (1 / 3))
-    left, done = points, None
+    spark = points.sparkSession
+    shared(spark)
+    w = Window.partitionBy(*AXES).orderBy("id")
+    rows = _checked(points).withColumns({"place": F.first("id").over(w), "turn": F.row_number().over(w)}).checkpoint()
+    box = rows.agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"l{a}") for a in AXES], *[F.max(a).alias(f"u{a}") for a in AXES]).first()
+    low = {a: box[f"l{a}"] or 0.0 for a in AXES}
+    wide = max([(box[f"u{a}"] or 0.0) - low[a] for a in AXES]) * (1 + 1e-9) or 1.0
+    deepest = min(30, max(1, math.ceil(math.log2(max(2, box.n / k)) / 3) + 4))
+    few = max(2, k // 4)
+    offered = rows.filter(F.col("turn") <= k + 1)
+    every = F.sequence(F.lit(0), F.lit(deepest))
+    grid = _at_levels(offered, every, low, wide)
+    full = grid.groupBy("level", *CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= few)
+    asked = grid.filter("turn = 1").join(full, ["level", *CELL], "left").groupBy("place", *AXES).agg(F.coalesce(F.max(F.when(F.col("n").isNotNull(), F.col("level"))), F.lit(0)).alias("level"))
+    done = None
     while True:
-        others = with_cells(points, size).select(F.col("id").alias("nid"), *[F.col(a).alias(f"o{a}") for a in AXES], *CELL)
-        step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        asked = with_cells(left, size).withColumn("dx", step).withColumn("dy", step).withColumn("dz", step)
-        asked = asked.select("id", *AXES, *[(F.col(f"i{a}") + F.col(f"d{a}")).alias(f"i{a}") for a in AXES])
-        near = asked.join(others, CELL).filter("id <> nid").withColumn("dist", F.sqrt(_distance2()))
-        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nid"))).filter(F.col("rank") <= k)
-        near = near.select("id", "nid", "rank", "dist")
-        whole = size >= wide
-        sure = None if whole else near.filter((F.col("rank") == k) & (F.col("dist") <= size)).select("id")
-        part = near if whole else near.join(sure, "id", "left_semi")
+        there = asked.withColumns({f"i{a}": F.floor((F.col(a) - low[a]) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))) for a in AXES})
+        for a in AXES:
+            there = there.withColumn("__d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"i{a}", F.col(f"i{a}") + F.col("__d")).drop("__d")
+        others = _at_levels(offered.select(F.col("id").alias("nid"), *AXES), every, low, wide).withColumnsRenamed({a: f"o{a}" for a in AXES})
+        near = there.join(others, ["level", *CELL]).withColumn("dist", F.sqrt(_distance2()))
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("dist", "nid"))).filter(F.col("rank") <= k + 1)
+        last = near.groupBy("place").agg(F.max("rank").alias("found"), F.max("dist").alias("reach"), F.first("level").alias("level"))
+        sure = (F.col("level") == 0) | ((F.col("found") == k + 1) & (F.col("reach") <= F.lit(wide) / F.pow(F.lit(2.0), F.col("level"))))
+        near = near.select("place", "nid", "dist").join(last.withColumn("sure", sure), "place").checkpoint()
+        part = near.filter("sure").select("place", "nid", "dist")
         done = part if done is None else done.unionByName(part)
-        if whole:
-            return done
-        left = left.join(sure, "id", "left_anti")
-        if size * 2 < wide and left.isEmpty():
-            return done
-        size *= 2
+        left = near.filter("not sure").groupBy("place").agg(F.first("level").alias("level"), F.first("found").alias("found"), F.first("reach").alias("reach"))
+        if left.isEmpty():
+            break
+        # With k neighbours known none is farther than the last of them; with fewer the cells are made four times as wide.
+        fits = F.floor(F.log2(F.lit(wide) / F.greatest("reach", F.lit(1e-300)))).cast("int")
+        coarser = F.when(F.col("found") == k + 1, F.least(fits, F.col("level") - 1)).otherwise(F.col("level") - 2)
+        asked = rows.filter("turn = 1").select("place", *AXES).join(left.select("place", F.greatest(coarser, F.lit(0)).alias("level")), "place")
+        every = F.array(*[F.lit(r.level) for r in left.select(F.greatest(coarser, F.lit(0)).alias("level")).distinct().collect()])  # 31 at most
+    out = rows.select("id", "place").join(done, "place").filter("id <> nid")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nid"))).filter(F.col("rank") <= k)
+    return out.select("id", "nid", "rank", "dist")
 
 
 def mean_distances(points: DataFrame, k: int) -> DataFrame:
-    return nearest(points, k).groupBy("id").agg(F.avg("dist").alias("mean_dist"))
+    """(id, mean_dist) to the k nearest others, a checkpoint; k rows or fewer are refused."""
+    if points.count() <= k:
+        raise ValueError(f"{k} neighbours need more than {k} points")
+    return nearest(points, k).groupBy("id").agg(F.avg("dist").alias("mean_dist")).checkpoint()
 
 
 def statistical_outliers(distances: DataFrame, ratio: float) -> DataFrame:
-    """(id, mean_dist) with keep: at most the mean plus ratio sample deviations of all mean distances."""
-    limit = distances.agg((F.avg("mean_dist") + F.stddev_samp("mean_dist") * ratio).alias("limit"))
+    """(id, mean_dist) with keep: at most the mean plus ratio sample deviations of all mean distances. Stored distances can be judged
+    again with another ratio."""
+    limit = distances.agg((F.avg("mean_dist") + F.coalesce(F.stddev_samp("mean_dist"), F.lit(0.0)) * ratio).alias("limit"))
     return distances.join(F.broadcast(limit)).withColumn("keep", F.col("mean_dist") <= F.col("limit")).drop("limit")  # one row
 
 
 def outlier_factors(points: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """(id, k, lof): local outlier factors for each k from one search of the largest."""
-    near = nearest(points, max(ks))
+    """(id, k, lof): local outlier factors for each k from one search of the largest, which is a checkpoint."""
+    if points.count() <= max(ks):
+        raise ValueError(f"{max(ks)} neighbours need more than {max(ks)} points")
+    near = nearest(points, max(ks)).checkpoint()
     near = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")
     kdist = near.filter("rank = k").select(F.col("id").alias("nid"), "k", F.col("dist").alias("kdist"))
     reach = near.join(kdist, ["nid", "k"]).withColumn("reach", F.greatest("dist", "kdist"))
-    density = reach.groupBy("id", "k").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
+    density = reach.groupBy("id", "k").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd")).checkpoint()
     other = density.select(F.col("id").alias("nid"), "k", F.col("lrd").alias("olrd"))
     mean = near.join(other, ["nid", "k"]).groupBy("id", "k").agg(F.avg("olrd").alias("m"))
     return mean.join(density, ["id", "k"]).select("id", "k", (F.col("m") / F.col("lrd")).alias("lof"))
 
 
 def components(points: DataFrame, radius: float) -> DataFrame:
-    """(id, label): smallest id that links of at most radius reach. Rounds of least labels with pointer jumps, each written
-    to the checkpoint folder, until none changes."""
-    pairs = radius_pairs(points, radius)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    now = points.select("id", F.col("id").alias("label")).checkpoint()
-    while True:
-        seen = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = now.join(seen, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = now.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label").select("id", "old", F.least("label", "far").alias("label")).checkpoint()
-        if step.filter("old <> label").isEmpty():
-            return step.select("id", "label")
-        now = step.select("id", "label")
+    """(id, label): smallest id that links of at most radius reach."""
+    links = radius_pairs(points, radius).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return graphs.labelled(points.select("id"), "id", links).withColumnRenamed("component", "label")
+
+
+def nested_components(points: DataFrame, radii: tuple[float, ...]) -> DataFrame:
+    """(id, radius, label) for rising radii: pairs are made once, for the greatest; a component lies in one of the next radius."""
+    shared(points.sparkSession)
+    pairs = radius_pairs(points, max(radii)).checkpoint()
+    out = None
+    for r in radii:
+        links = pairs.filter(F.col("d2") <= r * r).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        part = graphs.labelled(points.select("id"), "id", links).select("id", F.lit(r).alias("radius"), F.col("component").alias("label"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession) -> None:
-    """Lets checkpoint() write to the folder in spark.checkpoint.dir; to one of its own only where that is unset."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelmill-"))
+    """Lets checkpoint() write to the folder in spark.checkpoint.dir. Where that is unset a session on one machine gets a folder of its
+    own; a cluster, whose executors couldn't see it, gets an error."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="voxelmill-"))
+
+
+def path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    shared(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"

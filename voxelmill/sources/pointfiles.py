@@ -126,6 +126,13 @@ class Range(InputPartition):
     last: int
 
 
+@dataclass
+class TextRange(Range):
+    """row: the number of the first line of the range."""
+
+    row: int
+
+
 class PointReader(DataSourceReader):
     def __init__(self, path: str, header: Header, split: int):
         self.path, self.header, self.split = path, header, split
@@ -135,19 +142,53 @@ class PointReader(DataSourceReader):
         store, at = _open(self.path)
         size = store.get_file_info(at).size
         if h.text:
-            return [Range(p, min(p + self.split, size)) for p in range(h.start, size, self.split)] or [Range(h.start, h.start)]
-        if size - h.start < h.rows * h.dtype.itemsize:
+            return self._text_ranges(store, at, size)
+        end = h.start + h.rows * h.dtype.itemsize
+        if size < end:
             raise ValueError("the payload is shorter than its header says")
+        with store.open_input_file(at) as f:
+            for p in range(end, size, 1 << 20):
+                if f.read_at(1 << 20, p).strip(b"\0"):
+                    raise ValueError("something other than zeros follows the payload")
         step = max(1, self.split // h.dtype.itemsize)
         return [Range(r, min(r + step, h.rows)) for r in range(0, h.rows, step)] or [Range(0, 0)]
 
+    def _text_ranges(self, store, at: str, size: int) -> list:
+        """Ranges of bytes with the number of the first row of each: lines are counted here once, in one pass that keeps nothing, so that
+        rows have their place and a file of too few or too many is refused."""
+        h, out, row = self.header, [], 0
+        with store.open_input_file(at) as f:
+            held = b""
+            for p in range(h.start, size, self.split):
+                last = min(p + self.split, size)
+                # Lines that start in the range: the first byte starts one if the byte before it ends one.
+                data = held[-1:] + f.read_at(last - p, p) if p > h.start else b"\n" + f.read_at(last - p, p)
+                n = sum(1 for line in data.split(b"\n")[1:-1] if line.strip())
+                tail = data.rpartition(b"\n")[2]
+                if b"\n" in data and tail:
+                    n += bool(self._rest(f, tail, last).strip())
+                out.append(TextRange(p, last, row))
+                row, held = row + n, data
+        if row != h.rows:
+            raise ValueError(f"the header says {h.rows} rows, there are {row}")
+        return out or [TextRange(h.start, h.start, 0)]
+
+    @staticmethod
+    def _rest(f, tail: bytes, at: int) -> bytes:
+        """A line that begins with tail, as far as a byte that isn't blank."""
+        while not tail.strip() and b"\n" not in tail and (more := f.read_at(1 << 12, at)):
+            tail, at = more.partition(b"\n")[0], at + len(more)
+            if b"\n" in more:
+                break
+        return tail
+
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         h = self.header
         store, at = _open(self.path)
         with store.open_input_file(at) as f:
             rows = _text(f, h, part) if h.text else np.frombuffer(f.read_at((part.last - part.first) * h.dtype.itemsize, h.start + part.first * h.dtype.itemsize), h.dtype)
         for k in range(0, len(rows), 1 << 16):
-            yield _batch(rows[k : k + (1 << 16)], h, part.first + k if not h.text else None)
+            yield _batch(rows[k : k + (1 << 16)], h, (part.row if h.text else part.first) + k)
 
 
 def _text(f, h: Header, part: Range) -> np.ndarray:
@@ -173,19 +214,19 @@ def _text(f, h: Header, part: Range) -> np.ndarray:
     return out
 
 
-def _batch(rows: np.ndarray, h: Header, first: int | None) -> pa.RecordBatch:
+def _batch(rows: np.ndarray, h: Header, first: int) -> pa.RecordBatch:
     wide = {"u1": pa.int16(), "u2": pa.int32(), "u4": pa.int64(), "u8": pa.decimal128(20, 0)}
     columns = []
     for name, t in h.fields:
         own = np.ascontiguousarray(rows[name]).astype(t)
         columns.append(pa.array(own).cast(wide[t]) if t in wide else pa.array(own))
-    columns.append(pa.array(np.arange(first, first + len(rows))) if first is not None else pa.nulls(len(rows), pa.int64()))
+    columns.append(pa.array(np.arange(first, first + len(rows))))
     return pa.RecordBatch.from_arrays(columns, names=[*[n for n, _ in h.fields], "row"])
 
 
 class _Points(DataSource):
-    """Columns are the fields of the header, and row: the place in a binary file (null in a text file, where a range can't
-    know it). Option split: bytes of a partition. A header that is cut, doubled or contradicts itself is refused."""
+    """Columns are the fields of the header, and row: the place in the file. Option split: bytes of a partition. A header that is cut,
+    doubled or contradicts itself is refused, as is a file of more or fewer rows than it says; zeros may pad a binary one."""
 
     header_of = None
 
