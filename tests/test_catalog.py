@@ -18,7 +18,7 @@ def _key(row):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("lineitem", "events", "embeddings", "nation"):
+    for t in ("lineitem", "events", "embeddings", "nation", "part", "supplier", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     c.execute(catalog.oracle_sql()[name])
     columns = [x[0] for x in c.description]
