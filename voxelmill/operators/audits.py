@@ -116,3 +116,39 @@ def assigned(rows: DataFrame, column: str, prefixes: list[tuple[str, str]], othe
 def latest(requests: DataFrame, key: str, revision: str, columns: list[str]) -> DataFrame:
     """(key, columns) of the request of the greatest revision; older ones are stale."""
     return requests.groupBy(key).agg(F.max_by(F.struct(*columns), revision).alias("m")).select(key, "m.*")
+
+
+def solid_audit(faces: DataFrame) -> DataFrame:
+    """(owner, faces, open, tangled, closed): a surface is closed if every edge has two faces."""
+    from . import meshes
+
+    e = meshes.multiplicities(faces).groupBy("owner").agg(F.count_if(F.col("n") == 1).alias("open"), F.count_if(F.col("n") > 2).alias("tangled"))
+    f = faces.groupBy("owner").agg(F.count(F.lit(1)).alias("faces"))
+    return f.join(e, "owner").withColumn("closed", (F.col("open") == 0) & (F.col("tangled") == 0))
+
+
+def bounds_audit(rows: DataFrame, said: DataFrame, key: list[str], axes: str = "xyz") -> DataFrame:
+    """(key, n, outside): rows of each key, and those that its reported bounds (key, l., u.) don't hold; all, where none are reported."""
+    both = rows.join(said, key, "left")
+    inside = reduce(Column.__and__, [(F.col(a) >= F.col(f"l{a}")) & (F.col(a) <= F.col(f"u{a}")) for a in axes])
+    return both.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside"))
+
+
+def class_view(decisions: DataFrame) -> DataFrame:
+    """decisions (sor_keep, rejected, keep) with class: kept, geometry or distance; keep must be sor_keep without the rejected, else
+    reading the row raises an error."""
+    right = F.col("keep") == (F.col("sor_keep") & ~F.col("rejected"))
+    name = F.when(F.col("keep"), "kept").when(F.col("sor_keep"), "geometry").otherwise("distance")
+    return decisions.withColumn("class", F.when(right, name).otherwise(F.raise_error(F.lit("a decision isn't what its parts say"))))
+
+
+def covered_terrain(boxes: DataFrame, cells: DataFrame, corners: DataFrame, error: float) -> DataFrame:
+    """(box, covered): whether every cell (i, j) of a box (box, lx, ux, ly, uy: cell ranges, low, high) is on the lattice, with all its
+    corners within error of the box's range of heights."""
+    out = boxes
+    for a, c in (("x", "i"), ("y", "j")):
+        out = out.withColumn(c, F.explode(F.sequence(f"l{a}", f"u{a}")))
+    z = [F.col(c) for c in ("z00", "z10", "z11", "z01")]
+    fits = (F.least(*z) >= F.col("low") - error) & (F.greatest(*z) <= F.col("high") + error)
+    at = out.join(cells.select("i", "j").distinct().join(corners, ["i", "j"]), ["i", "j"], "left")
+    return at.groupBy("box").agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("covered"))

@@ -34,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """rows with component; a row without an edge is its own."""
-    found = components(edges)
-    return rows.join(found, F.col(key) == F.col("node"), "left").withColumn("component", F.coalesce("component", key)).drop("node")
+    found = components(edges).withColumnRenamed("node", "__node")
+    return rows.join(found, F.col(key) == F.col("__node"), "left").withColumn("component", F.coalesce("component", key)).drop("__node")
 
 
 def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:

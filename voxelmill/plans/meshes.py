@@ -110,3 +110,31 @@ def support_gates(spark, d):
 def mesh_components(spark, d):
     f = A.faces(spark, d).filter("face % 40 = 0")
     return graphs.labelled(f.select("face"), "face", meshes.face_links(f))
+
+
+@query(f"WITH {A.FC}, {_ED}, x AS (SELECT owner, count(*) FILTER (WHERE n = 1) AS open, count(*) FILTER (WHERE n > 2) AS tangled FROM mu GROUP BY owner), f AS (SELECT owner, count(*) AS faces FROM fc GROUP BY owner) SELECT owner, faces, open, tangled, open = 0 AND tangled = 0 AS closed FROM f JOIN x USING (owner)")
+def solid_audit(spark, d):
+    from ..operators import audits
+
+    return audits.solid_audit(A.faces(spark, d))
+
+
+@query(f"WITH {A.EP}, b AS (SELECT id % 7 AS label, " + ", ".join(f"min({a}) AS l{a}, max({a}) AS u{a}" for a in "xyz") + " FROM ep WHERE id % 3 <> 0 AND id % 7 <> 6 GROUP BY 1) SELECT id % 7 AS label, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(" + " AND ".join(f"{a} >= l{a} AND {a} <= u{a}" for a in "xyz") + ", false)) AS outside FROM ep LEFT JOIN b ON b.label = id % 7 GROUP BY 1")
+def bounds_audit(spark, d):
+    from ..operators import audits
+
+    p = A.vec_points(spark, d).withColumn("label", F.col("id") % 7)
+    said = p.filter("id % 3 <> 0 AND label <> 6").groupBy("label").agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "l"), (F.max, "u"))])
+    return audits.bounds_audit(p, said, ["label"])
+
+
+@query("WITH k AS (SELECT i, j, 0.01::DOUBLE * i AS z00, 0.01::DOUBLE * (i + 1) - 0.02::DOUBLE * (j % 2) AS z10, 0.01::DOUBLE * (i + 1) + 0.005::DOUBLE * j AS z11, 0.01::DOUBLE * i + 0.003::DOUBLE * j AS z01 FROM (SELECT unnest(range(-4, 5)) AS i), (SELECT unnest(range(-4, 5)) AS j)), b AS (SELECT n_nationkey AS box, n_nationkey % 7 - 4 AS lx, n_nationkey % 7 - 3 AS ux, n_nationkey % 5 - 2 AS ly, n_nationkey % 5 - 1 AS uy, 0.01::DOUBLE * (n_nationkey % 7 - 4) AS low, 0.01::DOUBLE * (n_nationkey % 7 - 2) AS high FROM nation), e AS (SELECT box, unnest(range(lx, ux + 1)) AS i, ly, uy, low, high FROM b), f AS (SELECT box, i, unnest(range(ly, uy + 1)) AS j, low, high FROM e) SELECT box, bool_and(coalesce(least(z00, z10, z11, z01) >= low - 0.015::DOUBLE AND greatest(z00, z10, z11, z01) <= high + 0.015::DOUBLE, false)) AS covered FROM f LEFT JOIN k USING (i, j) GROUP BY box")
+def terrain_covers(spark, d):
+    from ..operators import audits
+
+    i = spark.range(-4, 5).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(-4).cast("long"), F.lit(4).cast("long"))).alias("j"))
+    c, r, j = F.col("i"), F.col("i") + 1, F.col("j")
+    corners = i.select("i", "j", (0.01 * c).alias("z00"), (0.01 * r - 0.02 * (j % 2)).alias("z10"), (0.01 * r + 0.005 * j).alias("z11"), (0.01 * c + 0.003 * j).alias("z01"))
+    k = F.col("n_nationkey").cast("long")
+    boxes = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("box"), (k % 7 - 4).alias("lx"), (k % 7 - 3).alias("ux"), (k % 5 - 2).alias("ly"), (k % 5 - 1).alias("uy"), (0.01 * (k % 7 - 4)).alias("low"), (0.01 * (k % 7 - 2)).alias("high"))
+    return audits.covered_terrain(boxes, corners.select("i", "j"), corners, 0.015)

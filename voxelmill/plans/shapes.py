@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attributes, graphs, joins, meshes, neighbours, shapes, statistics, windows
+from ..operators import attributes, audits, choices, graphs, joins, meshes, neighbours, shapes, statistics, windows
 from . import adapters as A
 from .catalog_sql import D2, KNN
 from .columns import _r, _rs
@@ -191,3 +191,49 @@ def voxel_quads(spark, d):
 
     q = shapes.voxel_quads(cells.counts(A.line_points(spark, d), 2.0), 2.0)
     return q.groupBy("axis", "side").agg(F.count(F.lit(1)).alias("quads"), F.round(F.sum("x0"), 4).alias("x0"), F.round(F.sum("z1"), 4).alias("z1"))
+
+
+_DIFF = "r AS (SELECT kind, a, min(low) AS cl, max(high) AS ch FROM u GROUP BY kind, a, run), l AS (SELECT kind, id AS a, low, high FROM iv WHERE id % 2 = 0), h AS (SELECT l.*, cl, ch, coalesce(lag(ch) OVER w, low) AS prev, lead(cl) OVER w IS NULL AS last FROM l LEFT JOIN r USING (kind, a) WINDOW w AS (PARTITION BY l.kind, l.a ORDER BY cl)), p AS (SELECT kind, a, prev AS low, coalesce(cl, high) AS high FROM h UNION ALL SELECT kind, a, coalesce(ch, high), high FROM h WHERE last)"
+
+
+@query(f"WITH {A.EV}, {_IVQ}, {_DIFF} SELECT kind, a, low, high FROM p WHERE low < high")
+def interval_difference(spark, d):
+    e = A.stream(spark, d).select("event_id", F.col("event_type").alias("kind"), F.col("us").alias("low"), (F.col("us") + F.floor("value") * 60_000_000).alias("high"))
+    left, right = (e.filter(f"event_id % 2 = {k}").withColumnRenamed("event_id", n) for k, n in ((0, "a"), (1, "b")))
+    return choices.interval_difference(left, right, ["kind"], 3_600_000_000.0)
+
+
+@query("WITH q AS (SELECT vec_id AS id, vec_id % 5 <> 0 AS sor_keep, vec_id % 3 = 0 AS rejected FROM embeddings) SELECT CASE WHEN sor_keep AND NOT rejected THEN 'kept' WHEN sor_keep THEN 'geometry' ELSE 'distance' END AS class, count(*) AS n FROM q GROUP BY 1")
+def class_view(spark, d):
+    p = A.vec_points(spark, d).select("id", (F.col("id") % 5 != 0).alias("sor_keep"), (F.col("id") % 3 == 0).alias("rejected"))
+    return audits.class_view(p.withColumn("keep", F.col("sor_keep") & ~F.col("rejected"))).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def unsuppressed(spark, d):
+    """Points in order of falling x; one stays unless a kept one lies within reach."""
+    p = A.vec_points(spark, d)
+    return choices.unsuppressed(p.select(F.col("id").alias("item"), (-F.col("x")).alias("order")), neighbours.radius_pairs(p, 0.1))
+
+
+@query()
+def region_planes(spark, d):
+    return choices.planes_by_region(A.vec_points(spark, d), 0.2, 0.02, 2, 12).withColumns(_r("nx ny nz offset", 6))
+
+
+@query()
+def ground_rows(spark, d):
+    p = A.vec_points(spark, d)
+    return choices.ground_cells(p, windows.relative_heights(p, 0.1), -0.05, 0.15, 0.03, 0.06)
+
+
+@query()
+def crown_owners(spark, d):
+    p = A.vec_points(spark, d)
+    return choices.crowns(p, windows.relative_heights(p, 0.1), 0.05, 0.05, 0.15).withColumn("dist", F.round("dist", 9))
+
+
+@query()
+def simplified_loops(spark, d):
+    p = A.vec_points(spark, d).withColumn("loop", F.floor(F.col("id") / 12))
+    return choices.simplified(p, "loop", "id", 0.05).select("loop", "id")
