@@ -32,11 +32,11 @@ PRIOR_UNITS = 40
 #: A document is rejected above MARGIN times the QUANTILE of trusted perplexities of its language.
 QUANTILE, MARGIN = 0.995, 1.05
 #: Most rows of a shard, each a n-gram or a context.
-SHARD_ROWS = 1_000_000
+SHARD_ROWS = 1_500_000
 #: Rows taken from a batch at a time, and characters of text that pass the shards together.
-STEP, HELD = 256, 6_000_000
-#: Keys that are put into a table at a time.
-FILL = 1 << 18
+STEP, HELD = 256, 8_000_000
+#: Keys that are put into a table at a time; different n-grams that a task counts before it hands them on.
+FILL, GRAMS = 1 << 18, 1_000_000
 START, MARK = "\x02", "\x01"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,36 +98,61 @@ def _pieces(batch: pa.RecordBatch, most: int = 400_000):
         yield at, langs, texts
 
 
+@dataclass
+class Grams:
+    """N-grams of the highest order with their counts: keys (with the language in them), number of the language, code points."""
+
+    key: np.ndarray
+    lang: np.ndarray
+    codes: np.ndarray
+    n: np.ndarray
+
+
+def _merged(parts: list[Grams]) -> Grams:
+    key, lang, codes, n = (np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "lang", "codes", "n"))
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return Grams(key, lang[first], codes[first], np.bincount(at, n, len(key)).astype(np.int64))
+
+
+def _positions(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every unit among texts that each have ORDER - 1 start marks in front, and the text that it is of."""
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return np.arange(len(owner)) + (owner + 1) * (ORDER - 1), owner
+
+
 def _count(batches):
-    """(lang, gram, n): n-grams of the highest order in one task's texts."""
-    total: dict[tuple[str, str], int] = {}
+    """(lang, g, n): n-grams of the highest order in one task's texts."""
+    names: dict[str, int] = {}
+    parts: list[Grams] = []
     for batch in batches:
         for _, langs, texts in _pieces(batch):
-            for lang in set(langs):
-                codes, n = _codes([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                if not n.sum():
-                    continue
-                key = _hashes(codes, np.zeros(1, np.uint64))[-1]
-                real = np.ones(len(codes), bool)
-                starts = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]])
-                real[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
-                where = np.flatnonzero(real)
-                _, first, times = np.unique(key[where], return_index=True, return_counts=True)
-                grams = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[where[first] - ORDER + 1]
-                flat = np.ascontiguousarray(grams).tobytes().decode("utf-32-le", "surrogatepass")
-                for i, k in enumerate(times.tolist()):
-                    name = (lang or "", flat[i * ORDER : i * ORDER + ORDER])
-                    total[name] = total.get(name, 0) + k
-            if len(total) > 400_000:
-                yield _counted(total)
-                total = {}
-    if total:
-        yield _counted(total)
-
-
-def _counted(total: dict[tuple[str, str], int]) -> pa.RecordBatch:
-    langs, grams = zip(*total, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(grams), pa.array(list(total.values()), pa.int64())], names=["lang", "g", "n"])
+            codes, n = _codes(texts)
+            if not n.sum():
+                continue
+            where, owner = _positions(n)
+            number = np.array([names.setdefault(x or "", len(names)) for x in langs])
+            seed = np.array([_seed(x) for x in langs], np.uint64)
+            key = _key(codes.astype(np.uint64) + np.uint64(1), where, seed[owner], ORDER)
+            key, first, times = np.unique(key, return_index=True, return_counts=True)
+            grams = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[where[first] - ORDER + 1]
+            parts.append(Grams(key, number[owner[first]], grams, times))
+        if sum(len(p.key) for p in parts) > GRAMS:
+            parts = [_merged(parts)]
+            if len(parts[0].key) > GRAMS // 2:
+                yield _counted(parts.pop(), list(names))
+    if parts:
+        yield _counted(_merged(parts), list(names))
+    trimmed()
+
+
+def _counted(grams: Grams, names: list[str]) -> pa.RecordBatch:
+    c = grams.codes
+    size = (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)).sum(axis=1)
+    flat = np.ascontiguousarray(c).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    text = pa.StringArray.from_buffers(len(c), pa.py_buffer(offsets), pa.py_buffer(flat))
+    langs = pa.DictionaryArray.from_arrays(pa.array(grams.lang, pa.int32()), pa.array(names, pa.string())).dictionary_decode()
+    return pa.RecordBatch.from_arrays([langs, text, pa.array(grams.n)], names=["lang", "g", "n"])
 
 
 def counted(trusted: DataFrame) -> DataFrame:
@@ -175,42 +200,43 @@ def train(top: DataFrame) -> DataFrame:
 
 
 class Table:
-    """Values by 64-bit key: open addressing in two arrays."""
+    """Values by 64-bit key: open addressing, a slot holding the key's upper half and the value, so that a look is one access. The
+    slot is of the lower half, so two keys in one place are told apart by 32 bits more."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-        keys = np.where(keys == 0, np.uint64(1), keys)
+        self.slots = np.zeros(1 << bits, np.uint64)
         for k in range(0, len(keys), FILL):
             self._put(keys[k : k + FILL], values[k : k + FILL])
 
+    @staticmethod
+    def _tag(keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(32) | np.uint64(1)
+
     def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        held = self._tag(keys) << np.uint64(32) | values.astype(np.float32).view(np.uint32)
         pos, left = keys & self.mask, np.arange(len(keys))
         while len(left):
             at = pos[left]
-            free = self.keys[at] == 0
-            self.keys[at[free]] = keys[left[free]]
-            done = self.keys[at] == keys[left]
-            self.values[at[done]] = values[left[done]]
-            left = left[~done]
+            free = self.slots[at] == 0
+            self.slots[at[free]] = held[left[free]]
+            left = left[self.slots[at] != held[left]]
             pos[left] = (pos[left] + np.uint64(1)) & self.mask
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are there."""
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        pos = keys & self.mask
-        got = self.keys[pos]
-        there = got == keys
-        value = self.values[pos]
+        pos, tag = keys & self.mask, self._tag(keys)
+        got = self.slots[pos]
+        there = got >> np.uint64(32) == tag
         left = np.flatnonzero(~there & (got != 0))
         while len(left):
             pos[left] = (pos[left] + np.uint64(1)) & self.mask
-            got = self.keys[pos[left]]
-            hit = got == keys[left]
-            value[left[hit]], there[left[hit]] = self.values[pos[left[hit]]], True
-            left = left[~hit & (got != 0)]
-        return value, there
+            more = self.slots[pos[left]]
+            hit = more >> np.uint64(32) == tag[left]
+            got[left[hit]], there[left[hit]] = more[hit], True
+            left = left[~hit & (more != 0)]
+        return got.astype(np.uint32).view(np.float32), there
 
 
 def _keys(langs: list[str], grams: list[str]) -> np.ndarray:
@@ -229,46 +255,45 @@ def _keys(langs: list[str], grams: list[str]) -> np.ndarray:
 
 def _shard_of(last: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
     """Shard of the contexts that end with these two units."""
-    both = (before.astype(np.uint64) * np.uint64(1 << 21) + last.astype(np.uint64)) % np.uint64(2147483647)
-    return both * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(shards)
+    both = (before.astype(np.uint64) * np.uint64(1_000_003) + last.astype(np.uint64)) & np.uint64((1 << 31) - 1)
+    return (both * np.uint64(2654435761) >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(shards)
 
 
-@dataclass
 class Stretch:
-    """Consecutive rows of a batch, the first of them at `at`: their code points, units and languages."""
-
-    at: int
-    langs: list[str]
-    codes: np.ndarray
-    n: np.ndarray
-
-
-def _part(held: Stretch, model: Shards, number: int) -> np.ndarray:
-    """Log-probability that one shard gives to the units of each text that are its own."""
-    grams, weights = _tables(model.path, number)
-    codes, n = held.codes, held.n
-    real = np.ones(len(codes), bool)
-    starts = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]])
-    real[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
-    where = np.flatnonzero(real)
-    if model.number > 1:
-        where = where[_shard_of(codes[where - 1], codes[where - 2], model.number) == number]
-    owner = np.searchsorted(starts, where, "right") - 1
-    seed = np.array([_seed(x) for x in held.langs], np.uint64)[owner]
-    c = codes.astype(np.uint64) + np.uint64(1)
-    score, left = np.zeros(len(where)), np.arange(len(where))
-    for m in range(ORDER, 0, -1):
-        value, there = grams.get(_key(c, where[left], seed[left], m))
-        score[left[there]] += value[there]
-        left = left[~there]
-        if not len(left):
-            break
-        if m > 1:
-            value, there = weights.get(_key(c, where[left] - 1, seed[left], m - 1))
+    """Consecutive rows of a held batch, the first of them at `at`: code points + 1, and the places, texts and languages of the units, a
+    shard's together."""
+
+    def __init__(self, batch: int, at: int, langs: list[str], codes: np.ndarray, n: np.ndarray, shards: int):
+        self.batch, self.at, self.n, self.langs = batch, at, n, langs
+        where, owner = _positions(n)
+        self.c = codes.astype(np.uint64) + np.uint64(1)
+        self.cuts = np.array([0, len(where)])
+        if shards > 1:
+            own = _shard_of(codes[where - 1], codes[where - 2], shards).astype(np.int16)
+            order = np.argsort(own, kind="stable")
+            where, owner = where[order], owner[order]
+            self.cuts = np.searchsorted(own[order], np.arange(shards + 1))
+        self.where, self.owner = where.astype(np.int32), owner
+        self.seeds = np.array([_seed(x) for x in langs], np.uint64)
+
+    def part(self, model: Shards, number: int) -> np.ndarray:
+        """Log-probability that one shard gives to the units of each text that are its own."""
+        grams, weights = _tables(model.path, number)
+        where, owner = (x[self.cuts[number] : self.cuts[number + 1]] for x in (self.where, self.owner))
+        seed = self.seeds[owner]
+        score, left = np.zeros(len(where)), np.arange(len(where))
+        for m in range(ORDER, 0, -1):
+            value, there = grams.get(_key(self.c, where[left], seed[left], m))
             score[left[there]] += value[there]
-        else:
-            score[left] += np.array([model.unknown.get(held.langs[o] or "", 0.0) for o in owner[left]])
-    return np.bincount(owner, score, len(n))
+            left = left[~there]
+            if not len(left):
+                break
+            if m > 1:
+                value, there = weights.get(_key(self.c, where[left] - 1, seed[left], m - 1))
+                score[left[there]] += value[there]
+            else:
+                score[left] += np.array([model.unknown.get(x or "", 0.0) for x in self.langs])[owner[left]]
+        return np.bincount(owner, score, len(self.n))
 
 
 def _score(batches, model: Shards):
@@ -280,26 +305,37 @@ def _score(batches, model: Shards):
 
 
 def _scored(batches, model: Shards):
+    held, stretches, size = [], [], 0
     for batch in batches:
-        lp, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        held, size = [], 0
+        held.append((batch, np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)))
         for at, langs, texts in _pieces(batch):
-            held.append(Stretch(at, langs, *_codes(texts)))
-            size += len(held[-1].codes)
-            if size >= HELD or model.number == 1:
-                _pass(held, model, lp, n)
-                held, size = [], 0
-        _pass(held, model, lp, n)
+            stretches.append(Stretch(len(held) - 1, at, langs, *_codes(texts), model.number))
+            size += len(stretches[-1].c)
+            if size >= HELD:
+                _pass(held, stretches, model)
+                yield from _yielded(held[:-1])
+                held, stretches, size = held[-1:], [], 0
+        if model.number == 1:  # nothing is read again for it
+            _pass(held, stretches, model)
+            yield from _yielded(held)
+            held, stretches, size = [], [], 0
+    _pass(held, stretches, model)
+    yield from _yielded(held)
+
+
+def _yielded(held: list):
+    for batch, lp, n in held:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp), pa.array(n)], names=[*batch.schema.names, "__lp", "__units"])
 
 
-def _pass(held: list[Stretch], model: Shards, lp: np.ndarray, n: np.ndarray) -> None:
-    """Adds what all shards give to the texts held, a shard at a time."""
-    for x in held:
-        n[x.at : x.at + len(x.n)] = x.n
-    for number in range(model.number if held else 0):
-        for x in held:
-            lp[x.at : x.at + len(x.n)] += _part(x, model, number)
+def _pass(held: list, stretches: list[Stretch], model: Shards) -> None:
+    """Adds what all shards give to the texts held, a shard at a time; the one that is in memory first."""
+    there = [number for path, number in _TABLES if path == model.path]
+    for number in sorted(range(model.number if stretches else 0), key=lambda k: k not in there):
+        for x in stretches:
+            _, lp, n = held[x.batch]
+            lp[x.at : x.at + len(x.n)] += x.part(model, number)
+            n[x.at : x.at + len(x.n)] = x.n
 
 
 def _keyed(batches):
@@ -326,7 +362,7 @@ def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
     # Contexts go by their last two units, n-grams by the two before their last; what has a shorter context goes to all.
     context = F.when(F.col("kind") == "w", F.col("g")).otherwise(F.expr("left(g, length(g) - 1)"))
     last, before = F.ascii(F.expr("right(context, 1)")).cast("long"), F.ascii(F.expr("substring(context, length(context) - 1, 1)")).cast("long")
-    home = (before * (1 << 21) + last) % 2147483647 * 2654435761 % (1 << 32) % shards
+    home = F.shiftright((before * 1_000_003 + last) % (1 << 31) * 2654435761, 16) % (1 << 16) % shards
     everywhere = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
     shard = F.explode(F.when(F.length("context") < 2, everywhere).otherwise(F.array(home)))
     model = model.withColumn("context", context)
