@@ -368,7 +368,7 @@ def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
     model = model.withColumn("context", context)
     own = model.filter(F.col("g") != "").select("lang", "g", (F.col("kind") == "w").alias("w"), "value", shard.alias("shard"))
     path = shared_path(spark, "op3-shards")
-    own.mapInArrow(_keyed, "w boolean, key long, value float, shard long").repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    own.mapInArrow(_keyed, "w boolean, key long, value float, shard long").repartition(4 * shards, "shard", F.pmod("key", F.lit(4))).write.partitionBy("shard").parquet(path)
     return Shards(path, shards, unknown)
 
 
