@@ -10,6 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from voxelmill import functions
+from voxelmill.functions import formats
 from voxelmill.operators import cells, motion, neighbours, shapes, statistics
 from voxelmill.sources import folders, pointfiles, records, sinks
 from voxelmill.streaming import control
@@ -361,3 +362,22 @@ def test_trace(spark, tmp_path):
         source = spark.readStream.schema("n long, k string").parquet(f"file://{tmp_path}/in")
         control.traced(source, f"file://{tmp_path}/out", f"file://{tmp_path}/ck-{phase}", phase).awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [(1, "a", "one"), (1, "a", "two")]
+
+
+def test_catalogue(spark, tmp_path):
+    rows = [(1.0, 2.0, 3.0, 4)] * 5
+    for name in ("a", "b", "c"):
+        _pcd(tmp_path / f"{name}.pcd", rows, False)
+    (tmp_path / "b.pcd").write_bytes((tmp_path / "b.pcd").read_bytes()[:-1])
+    (tmp_path / "d.pcd").write_bytes(b"nothing")
+    said = spark.createDataFrame([(str(tmp_path / f"{n}.pcd"), k) for n, k in (("a", 5), ("b", 5), ("c", 6), ("d", 5), ("e", 5))], "path string, rows long")
+    got = {q.path[-5]: (q.found, q.problem) for q in records.audit_points(spark, said).collect()}
+    assert got["a"] == (5, None) and got["b"] == (5, "the payload is cut") and got["c"] == (5, "the catalogue says otherwise") and got["d"][0] is got["e"][0] is None
+
+
+def test_formats():
+    way = [formats.Conversion("a", "b", 5), formats.Conversion("a", "c", 1), formats.Conversion("c", "b", 2), formats.Conversion("b", "d", 1), formats.Conversion("x", "d", 1)]
+    assert formats.plan({"a"}, {"d"}, way) == [way[1], way[2], way[3]]
+    assert formats.plan({"a", "d"}, {"d"}, way) == [] and formats.plan({"a", "x"}, {"d"}, way) == [way[4]]
+    with pytest.raises(ValueError, match="no way"):
+        formats.plan({"d"}, {"a"}, way)

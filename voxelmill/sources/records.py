@@ -184,3 +184,27 @@ def audit_bags(spark: SparkSession, path: str) -> DataFrame:
 def register(spark: SparkSession) -> None:
     """Makes the format npy known to the session."""
     spark.dataSource.register(NpySource)
+
+
+def audit_points(spark: SparkSession, said: DataFrame) -> DataFrame:
+    """said (path, rows) with found and problem: what the header of each point file declares, and what is wrong with it: a header that
+    is refused, a payload too short, or other rows than the catalogue says. Headers are read in parallel, payloads not at all."""
+    from .pointfiles import pcd_header, ply_header
+
+    def look(batches):
+        for batch in batches:
+            found, problem = [], []
+            for path, rows in zip(batch.column("path").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                try:
+                    store, at = _open(path)
+                    with store.open_input_file(at) as f:
+                        h = (ply_header if path.endswith(".ply") else pcd_header)(f)
+                    short = not h.text and store.get_file_info(at).size < h.start + h.rows * h.dtype.itemsize
+                    found.append(h.rows)
+                    problem.append("the payload is cut" if short else None if h.rows == rows else "the catalogue says otherwise")
+                except (OSError, ValueError) as e:
+                    found.append(None)
+                    problem.append(str(e)[:200])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("rows"), pa.array(found, pa.int64()), pa.array(problem, pa.string())], names=["path", "rows", "found", "problem"])
+
+    return said.select("path", F.col("rows").cast("long").alias("rows")).mapInArrow(look, "path string, rows long, found long, problem string")
