@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared
+
 
 def row_digest(columns: list[str]) -> Column:
     """A 64-bit digest of the values, null told from everything else; -0 equals 0."""
@@ -49,12 +51,13 @@ def label_audit(rows: DataFrame, labels: DataFrame, domain: list[int]) -> DataFr
     return both.agg(F.count_if(F.col("__n").isNull()).alias("unlabelled"), F.count_if(F.col("id").isNotNull() & (F.col("__n") > 1)).alias("several"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("outside"), F.count_if(F.col("id").isNull()).alias("unknown"))
 
 
-def quantiles(rows: DataFrame, value: str, qs: list[float], width: int = 1 << 16) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, qs: list[float]) -> DataFrame:
     """(q, v): quantiles of a whole column, linear between neighbours, nulls left out; nothing for an empty one.
 
     Equal values are counted first. A range partition and partial sums place the two ranks of each quantile, so no task and
     no buffer holds the column.
     """
+    shared(rows.sparkSession)
     each = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     spread = each.repartitionByRange("v").withColumn("part", F.spark_partition_id()).checkpoint()
     parts = spread.groupBy("part").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition

@@ -36,8 +36,7 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
 
 def radius_counts(points: DataFrame, radius: float) -> DataFrame:
     """(id, near): other points at most radius away."""
-    pairs = radius_pairs(points, radius)
-    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    both = radius_pairs(points, radius).select(F.explode(F.array("a", "b")).alias("id"))
     return points.select("id").join(both.groupBy("id").agg(F.count(F.lit(1)).alias("near")), "id", "left").fillna(0, ["near"])
 
 

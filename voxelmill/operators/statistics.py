@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared
 from .cells import AXES
 
 
@@ -28,12 +29,20 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
 def weighted_quantile(rows: DataFrame, key: str, value: str, weight: str, q: float) -> DataFrame:
     """(key, q): the first value at which the weight of values up to it reaches q of all weight of the key.
 
-    Equal values are one row before the running sum, so that a key is as long as its distinct values.
+    Equal values are one row first; a range partition by key and value and partial sums place the running weight, so a key of many
+    values is many tasks' work.
     """
-    each = rows.groupBy(key, value).agg(F.sum(weight).alias("__w"))
-    w = Window.partitionBy(key)
-    each = each.withColumn("__below", F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__w").over(w))
-    return each.filter(F.col("__below") >= F.col("__all") * q).groupBy(key).agg(F.min(value).alias("q"))
+    shared(rows.sparkSession)
+    each = rows.groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w"))
+    spread = each.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = spread.groupBy("k", "part").agg(F.sum("w").alias("w"))  # a key has one row a partition
+    of = Window.partitionBy("k")
+    before = F.coalesce(F.sum("w").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = parts.select(F.col("k").alias("__k"), F.col("part").alias("__p"), before.alias("before"), F.sum("w").over(of).alias("all"))
+    running = F.sum("w").over(Window.partitionBy("part", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    at = spread.withColumn("below", running).join(parts, F.col("k").eqNullSafe(F.col("__k")) & (F.col("part") == F.col("__p")))
+    hit = at.filter(F.col("before") + F.col("below") >= F.col("all") * q)
+    return hit.groupBy(F.col("k").alias(key)).agg(F.min("v").alias("q"))
 
 
 def component_moments(points: DataFrame, labels: DataFrame) -> DataFrame:

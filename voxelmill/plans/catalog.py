@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cells, neighbours, ranges, sequences, statistics
+from ..operators import audits, cells, neighbours, ranges, sequences, statistics
 from . import adapters as A
 from . import registry
 from .catalog_sql import D2, KNN
@@ -73,9 +73,7 @@ def tile_halo_counts(spark, d):
 
 @query(f"WITH {A.LP}, q AS (SELECT unnest([0, .01, .5, .9, .95, .99, 1])::DOUBLE AS q, unnest(quantile_cont(y, [0, .01, .5, .9, .95, .99, 1])) AS v FROM lp) SELECT q, round(v, 4) AS v FROM q")
 def dist_quantiles(spark, d):
-    qs = [0.0, 0.01, 0.5, 0.9, 0.95, 0.99, 1.0]
-    p = A.line_points(spark, d).agg(F.percentile("y", qs).alias("v")).withColumn("q", F.array(*map(F.lit, qs)))
-    return p.select(F.explode(F.arrays_zip("q", "v")).alias("p")).select("p.q", F.round("p.v", 4).alias("v"))
+    return audits.quantiles(A.line_points(spark, d), "y", [0.0, 0.01, 0.5, 0.9, 0.95, 0.99, 1.0]).withColumn("v", F.round("v", 4))
 
 
 @query(f"WITH {A.LP}, c AS (SELECT DISTINCT {_c(2.0)} FROM lp), f AS (SELECT ix, iy, iz, axis, side, ix + CASE WHEN axis = 0 THEN side ELSE 0 END AS nx, iy + CASE WHEN axis = 1 THEN side ELSE 0 END AS ny, iz + CASE WHEN axis = 2 THEN side ELSE 0 END AS nz FROM c, (SELECT unnest([0, 1, 2])::INTEGER AS axis), (SELECT unnest([-1, 1])::INTEGER AS side)) SELECT f.ix, f.iy, f.iz, axis, side FROM f ANTI JOIN c ON c.ix = nx AND c.iy = ny AND c.iz = nz")
