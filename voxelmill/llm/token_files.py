@@ -8,6 +8,7 @@ byte, so a mapped file gives any of them without a copy. A second file holds doc
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import read, shared_path, stage
 
 LENGTH, BATCH = 2048, 64
+#: A shard is made of about so many bytes of the documents' files, or less; places of documents that are written at a time.
+SHARD_BYTES, NOTED = 32 << 20, 1 << 16
+_INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 #: Most words whose ids a worker remembers.
 REMEMBERED = 500_000
 #: Where a blank isn't followed by a word, words can't be told by blanks alone.
@@ -104,9 +108,9 @@ def _write(batches, tokenizer: str, out: str, length: int, end: int):
     name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
-    encode, index = encoder(tokenizer), []
-    dtype, held = encode.dtype, []
-    size = total = 0
+    encode = encoder(tokenizer)
+    dtype, held, index = encode.dtype, [], []
+    size = total = docs = 0
     schema, close = _schema(length, dtype), np.array([end], dtype).tobytes()
 
     def flush(writer, last: bool) -> None:
@@ -124,22 +128,38 @@ def _write(batches, tokenizer: str, out: str, length: int, end: int):
             writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
         held, size = [rest.tobytes()], len(rest)
 
-    with store.open_output_stream(f"{root}/{name}.arrow") as sink, pa.ipc.new_file(sink, schema) as writer:
+    def noted(writer) -> None:
+        nonlocal index, docs
+        columns = zip(*index, strict=True) if index else ([], [], [])
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_INDEX))
+        docs, index = docs + len(index), []
+
+    def opened(kind: str, layout: pa.Schema):
+        sink = files.enter_context(store.open_output_stream(f"{root}/{name}.{kind}"))
+        return files.enter_context(pa.ipc.new_file(sink, layout))
+
+    with contextlib.ExitStack() as files:
+        writer, places = opened("arrow", schema), opened("index", _INDEX)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + close
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = encode(text.as_py() or "") + close
                 n = len(ids) // dtype.itemsize
                 index.append((doc, total, n))
                 held.append(ids)
                 size, total = size + n, total + n
                 if size >= BATCH * length:
                     flush(writer, False)
+                if len(index) == NOTED:
+                    noted(places)
         flush(writer, True)
-    columns = zip(*index, strict=True) if index else ([], [], [])
-    table = pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "offset", "n_tokens"])
-    with store.open_output_stream(f"{root}/{name}.index") as sink, pa.ipc.new_file(sink, table.schema) as writer:
-        writer.write_table(table, max_chunksize=65536)
-    yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [name], "docs": [len(index)], "tokens": [total]})
+        noted(places)
+    yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [name], "docs": [docs], "tokens": [total]})
+
+
+def _shards(docs: DataFrame) -> int:
+    """Shards of SHARD_BYTES by the size that the optimizer knows of the files; 1 where it knows none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // SHARD_BYTES) if size < 1 << 60 else 1
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, out: str, length: int = LENGTH, end: int = 0, shards: int | None = None) -> DataFrame:
@@ -150,7 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, length: int = L
     columns are ignored. The ranges are of equal numbers of rows, so a hot source or a long document is only its own weight.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _shards(docs))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     made = rows.mapInArrow(lambda b: _write(b, tokenizer, out, length, end), "shard long, name string, docs long, tokens long")
