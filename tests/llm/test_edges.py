@@ -207,6 +207,17 @@ def test_tables_of_earlier_stages_go(spark, tmp_path):
     assert not there("gone-second") and len(there("gone-first")) == 1
 
 
+def test_sweep(spark):
+    import os
+
+    kept = common.stored(spark.range(3).toDF("n"), "swept")
+    root = common.shared_root(spark).removeprefix("file://")
+    assert common.sweep(spark, 1) == 0 and kept.count() == 3
+    old = [x for x in os.listdir(root) if x.startswith("swept-")][0]
+    os.utime(f"{root}/{old}", (0, 0))
+    assert common.sweep(spark, 1) == 1 and not os.path.exists(f"{root}/{old}")
+
+
 def test_recall(spark):
     """Links found among vectors of the tables, against brute force."""
     folder = "/root/testdata/sf0.1"

@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -103,6 +105,17 @@ def removed(*tables: DataFrame) -> None:
             deleted(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Deletes stored tables below the shared folder that nothing has written to for so long, and returns how many. Results are lazy, so
+    tables stay until then; a number of hours no job takes is a safe one."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    store, gone = root.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for status in store.listStatus(root):
+        if re.fullmatch(r".+-[0-9a-f]{32}", status.getPath().getName()) and status.getModificationTime() <= (time.time() - hours * 3600) * 1000:
+            gone += store.delete(status.getPath(), True)
+    return gone
+
+
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """The stored table df, to be broadcast if it has few enough rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -145,27 +158,28 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of many whole groups, from batches that are sorted by the integer keys, with the group's number of each row; the
-    last group of a batch waits for the next one."""
-    held: pa.Table | None = None
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of many whole groups, `least` rows or more but for the last one, from batches that are sorted by the integer keys, with
+    the group's number of each row; the last group waits for what follows."""
+    held: list[pa.Table] = []
 
     def numbers(t: pa.Table) -> np.ndarray:
         columns = np.stack([t.column(k).to_numpy().astype(np.int64) for k in keys])
         return np.concatenate([[0], np.cumsum((columns[:, 1:] != columns[:, :-1]).any(axis=0))])
 
     for batch in batches:
-        if not batch.num_rows:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < least:
             continue
-        own = pa.Table.from_batches([batch])
-        held = (pa.concat_tables([held, own]) if held is not None else own).combine_chunks()
-        g = numbers(held)
+        whole = pa.concat_tables(held).combine_chunks()
+        g = numbers(whole)
         cut = int(np.searchsorted(g, g[-1]))
+        held = [whole.slice(cut)]
         if cut:
-            yield held.slice(0, cut).combine_chunks(), g[:cut]
-            held = held.slice(cut)
-    if held is not None:
-        yield held.combine_chunks(), numbers(held)
+            yield whole.slice(0, cut).combine_chunks(), g[:cut]
+    if sum(t.num_rows for t in held):
+        whole = pa.concat_tables(held).combine_chunks()
+        yield whole, numbers(whole)
 
 
 def block_units(rows: DataFrame, key: str, row: str, weight, limit: int) -> DataFrame:
