@@ -75,6 +75,35 @@ def test_crowns(spark):
     assert len({got[i] for i in range(200)}) >= 1 and not {got[i] for i in range(200)} & {got[i] for i in range(200, 400)} and 400 not in got
 
 
+def test_joined_planes(spark):
+    """Three patches of one plane and two of another: cheap pairs first, a pair across never."""
+    from voxelmill.operators import statistics
+
+    r = np.random.default_rng(8)
+    rows = []
+    for plane, (cx, up) in enumerate([(0, False), (1, False), (2, False), (5, True), (5.2, True), (2.2, True)]):
+        for _ in range(50):
+            u, v = r.uniform(0, 1, 2)
+            rows.append((len(rows), *((float(cx), float(u), float(v)) if up else (float(cx + u), float(v), 0.0)), plane))
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double, plane long")
+    m = statistics.component_moments(points.drop("plane"), points.select("id", F.col("plane").alias("label")))
+    planes = m.withColumnsRenamed({"label": "plane", **{f"mean_{a}": f"m{a}" for a in "xyz"}})
+    pairs = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (3, 4, 0.5), (2, 5, 0.1)], "a long, b long, cost double")
+    got = {q.plane: q.joined for q in choices.joined_planes(planes, pairs, 0.05).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    assert {q.plane: q.joined for q in choices.joined_planes(planes, pairs, 0.12, 60).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: None}
+    assert sorted(q.plane for q in choices.joined_planes(planes, pairs.limit(0), 0.05).collect()) == list(range(6))
+
+
+def test_factors_of_some_rows(spark):
+    from voxelmill.operators import neighbours
+
+    p = points_of(spark, np.random.default_rng(1).normal(size=(80, 3)))
+    whole = {(q.id, q.k): round(q.lof, 9) for q in neighbours.outlier_factors(p, (3, 6)).collect()}
+    some = {(q.id, q.k): round(q.lof, 9) for q in neighbours.outlier_factors(p, (3, 6), p.filter("id % 9 = 0")).collect()}
+    assert some == {k: v for k, v in whole.items() if k[0] % 9 == 0} and len(some) == 18
+
+
 def test_class_view(spark):
     good = spark.createDataFrame([(True, False, True), (True, True, False), (False, False, False)], "sor_keep boolean, rejected boolean, keep boolean")
     assert sorted(q["class"] for q in audits.class_view(good).collect()) == ["distance", "geometry", "kept"]

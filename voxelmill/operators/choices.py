@@ -169,3 +169,47 @@ def interval_difference(left: DataFrame, right: DataFrame, key: list[str], size:
     parts = F.array(F.struct(F.col("__before").alias("low"), F.coalesce("cl", "high").alias("high")), F.struct(F.when(F.col("__last"), F.coalesce("ch", "high")).alias("low"), F.col("high").alias("high")))
     out = holes.select(*key, "a", F.explode(parts).alias("p")).select(*key, "a", "p.low", "p.high")
     return out.filter("low < high")
+
+
+def _pooled(a: tuple, b: tuple) -> tuple:
+    """Number, mean and population covariance of two groups together."""
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), (a[0] * a[2] + b[0] * b[2]) / n + np.outer(d, d) * (a[0] * b[0] / n**2)
+
+
+def joined_planes(planes: DataFrame, pairs: DataFrame, thickness: float, least: int = 0) -> DataFrame:
+    """(plane, joined) of planes (plane, n, mx, my, mz, cxx ... czz: moments of their points) and candidate pairs (a, b, cost): pairs are
+    taken in order of cost, and join two groups whose points together still make a plane: a root of the least eigenvalue of their
+    pooled covariance up to thickness. Groups of fewer than `least` points come out as null; joined is a group's lowest plane.
+
+    Groups form inside connected components of the pairs only, and each component is one task's few rows.
+    """
+    moments = ["n", "mx", "my", "mz", *(f"c{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))]
+    links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    of = graphs.labelled(planes.select("plane", *moments), "plane", links).checkpoint()
+    asked = pairs.select("a", "b", "cost").join(of.select(F.col("plane").alias("a"), F.col("component").alias("part")), "a")
+    kind = planes.schema["plane"].dataType.simpleString()
+
+    def run(key: tuple, own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        state, root = {}, {}
+        for r in own.itertuples(index=False):
+            state[r.plane] = r.n, np.array([r.mx, r.my, r.mz]), np.array([[r.cxx, r.cxy, r.cxz], [r.cxy, r.cyy, r.cyz], [r.cxz, r.cyz, r.czz]])
+            root[r.plane] = r.plane
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for r in wanted.sort_values(["cost", "a", "b"]).itertuples(index=False):
+            a, b = sorted((find(r.a), find(r.b)))
+            if a != b:
+                both = _pooled(state[a], state[b])
+                if np.sqrt(max(np.linalg.eigvalsh(both[2])[0], 0.0)) <= thickness:
+                    root[b], state[a] = a, both
+        tops = [find(p) for p in own["plane"]]
+        made = pd.DataFrame({"plane": own["plane"], "joined": pd.array([t if state[t][0] >= least else None for t in tops], "Int64")})
+        return made
+
+    return of.groupBy("component").cogroup(asked.groupBy("part")).applyInPandas(run, f"plane {kind}, joined {kind}")

@@ -114,8 +114,9 @@ def statistical_outliers(distances: DataFrame, ratio: float) -> DataFrame:
     return distances.join(F.broadcast(limit)).withColumn("keep", F.col("mean_dist") <= F.col("limit")).drop("limit")  # one row
 
 
-def outlier_factors(points: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """(id, k, lof): local outlier factors for each k from one search of the largest, which is a checkpoint."""
+def outlier_factors(points: DataFrame, ks: tuple[int, ...], rows: DataFrame | None = None) -> DataFrame:
+    """(id, k, lof): local outlier factors for each k from one search of the largest, which is a checkpoint; of the rows (id) only, if they
+    are given, among all points."""
     if points.count() <= max(ks):
         raise ValueError(f"{max(ks)} neighbours need more than {max(ks)} points")
     near = nearest(points, max(ks)).checkpoint()
@@ -124,7 +125,8 @@ def outlier_factors(points: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     reach = near.join(kdist, ["nid", "k"]).withColumn("reach", F.greatest("dist", "kdist"))
     density = reach.groupBy("id", "k").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd")).checkpoint()
     other = density.select(F.col("id").alias("nid"), "k", F.col("lrd").alias("olrd"))
-    mean = near.join(other, ["nid", "k"]).groupBy("id", "k").agg(F.avg("olrd").alias("m"))
+    wanted = near if rows is None else near.join(rows.select("id").distinct(), "id", "left_semi")
+    mean = wanted.join(other, ["nid", "k"]).groupBy("id", "k").agg(F.avg("olrd").alias("m"))
     return mean.join(density, ["id", "k"]).select("id", "k", (F.col("m") / F.col("lrd")).alias("lof"))
 
 
