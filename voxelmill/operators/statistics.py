@@ -47,7 +47,7 @@ def weighted_quantile(rows: DataFrame, key: str, value: str, weight: str, q: flo
 
 def component_moments(points: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, n, bounds, means and the six population covariances) of the points (id, x, y, z) of each label."""
-    of = points.join(labels.select("id", "label"), "id")
+    of = points.select("id", *AXES).join(labels.select("id", "label"), "id")
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     bounds = [f(a).alias(f"{name}_{a}") for a in AXES for f, name in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
     return of.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *bounds, *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs])

@@ -243,6 +243,6 @@ def simplified_loops(spark, d):
 def plane_groups(spark, d):
     """Groups of cells' points, joined in order of the angle between their planes."""
     p = A.vec_points(spark, d).withColumn("label", F.col("id") % 40)
-    m = statistics.component_moments(p, p.select("id", "label")).withColumnsRenamed({"label": "plane", **{f"mean_{a}": f"m{a}" for a in "xyz"}})
+    m = statistics.component_moments(p.drop("label"), p.select("id", "label")).withColumnsRenamed({"label": "plane", **{f"mean_{a}": f"m{a}" for a in "xyz"}})
     pairs = joins.plane_pairs(shapes.planes(p, "label").withColumnRenamed("label", "plane"), 0.0).filter("degrees <= 20")
     return choices.joined_planes(m, pairs.withColumnRenamed("degrees", "cost"), 0.11)
