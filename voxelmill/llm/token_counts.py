@@ -1,8 +1,8 @@
 """Token counts through a cache that is keyed by content and tokenizer digests.
 
 Content digests of all documents join the stored counts of the tokenizer's version; one text of each missing digest is
-encoded, the new counts are appended to the cache, and the documents join it. Texts move once, one for each missing
-digest; hot digests shrink by partial aggregation before that.
+encoded, the new counts are appended to the cache, and the documents join them. Only digests move where the cache has all;
+texts move once, one for each missing digest, and hot digests shrink by partial aggregation before that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, shared_root, stored
+from .common import SMALL, read, shared_root, stored
 
 LIMIT = 4096
 #: Most word counts that one worker remembers; beyond it words are encoded afresh.
@@ -91,17 +91,23 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    digest = F.unhex(F.sha2(text, 256))
+    keyed = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")), "op7-digests")
     have = cached(spark, cache, version)
-    # One text of each digest that lacks a count: partial aggregation before the shuffle, so that copies weigh nothing.
-    fresh = rows if have is None else rows.join(have, "digest", "left_anti")
-    fresh = fresh.groupBy("digest").agg(F.first("text").alias("text"))
-    new = stored(fresh.mapInArrow(lambda b: _counts(b, tokenizer), "digest binary, n_tokens long"), "op7-new")
-    if not new.isEmpty():
-        new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    known = new if have is None else have.unionByName(new)
-    known = stored(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "op7-known")
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    asked = keyed.select("digest").distinct()
+    known = None if have is None else stored(have.join(asked, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "op7-known")
+    missing = asked if known is None else stored(asked.join(known, "digest", "left_anti"), "op7-missing")
+    n = None if known is None else missing.count()
+    if n != 0:
+        # One text of each digest that lacks a count. Few are picked where they lie; many meet by digest, copies before that.
+        rows = docs.select(text.alias("text"), digest.alias("digest"))
+        few = n is not None and n <= SMALL
+        fresh = (rows.join(F.broadcast(missing), "digest", "left_semi") if few else rows).groupBy("digest").agg(F.first("text").alias("text"))
+        fresh = fresh if few or n is None else fresh.join(missing, "digest", "left_semi")
+        new = stored(fresh.mapInArrow(lambda b: _counts(b, tokenizer), "digest binary, n_tokens long"), "op7-new")
+        if not new.isEmpty():
+            new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
+        known = new if known is None else known.unionByName(new)
     out = keyed.join(known, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
