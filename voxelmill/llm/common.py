@@ -128,6 +128,21 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What this worker keeps between its tasks.
+_KEPT: list[dict] = []
+
+
+def alone(kept: dict | None = None) -> None:
+    """Empties what other kinds of tasks have left in this worker, which is used again for all of them; `kept` is the caller's own."""
+    others = [x for x in _KEPT if x is not kept and x]
+    for x in others:
+        x.clear()
+    if others:
+        trimmed()
+    if kept is not None and not any(x is kept for x in _KEPT):
+        _KEPT.append(kept)
+
+
 def lower_ascii(text):
     """A-Z in lower case and nothing else; Spark's own lower() is quicker and equal for plain ASCII."""
     c = F.coalesce(text, F.lit(""))

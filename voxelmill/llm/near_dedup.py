@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_units, components, groups, numbered, read, removed, small, stage, stored, trimmed
+from .common import alone, block_units, components, groups, numbered, read, removed, small, stage, stored, trimmed
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 8, 85
 #: A pair of Jaccard similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 32, below 4 in 100,000.
@@ -68,6 +68,7 @@ def signature(keys: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
 
 
 def _sign(batches):
+    alone()
     for whole in batches:
         for at in range(0, whole.num_rows, STEP):
             batch = whole.slice(at, STEP)
@@ -120,6 +121,7 @@ def _linked(table: pa.Table):
 
 
 def _verify(batches):
+    alone()
     for table in groups(batches, "unit"):
         links = list(_linked(table))
         if links:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, shared_path, small, stage, stored, trimmed
+from .common import alone, groups, read, shared_path, small, stage, stored, trimmed
 
 ORDER = 5
 #: Texts of a few units say little: so many units at the language's mean are added to each.
@@ -34,9 +34,9 @@ QUANTILE, MARGIN = 0.995, 1.05
 #: Most rows of a shard, each a n-gram or a context.
 SHARD_ROWS = 1_500_000
 #: Rows taken from a batch at a time, and characters of text that pass the shards together.
-STEP, HELD = 256, 8_000_000
+STEP, HELD = 256, 3_000_000
 #: Keys that are put into a table at a time; different n-grams that a task counts before it hands them on.
-FILL, GRAMS = 1 << 18, 1_000_000
+FILL, GRAMS = 1 << 18, 500_000
 START, MARK = "\x02", "\x01"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,6 +122,7 @@ def _positions(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """(lang, g, n): n-grams of the highest order in one task's texts."""
+    alone()
     names: dict[str, int] = {}
     parts: list[Grams] = []
     for batch in batches:
@@ -203,13 +204,21 @@ class Table:
     """Values by 64-bit key: open addressing, a slot holding the key's upper half and the value, so that a look is one access. The
     slot is of the lower half, so two keys in one place are told apart by 32 bits more."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray | tuple = (), values: np.ndarray | tuple = ()):
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.mask = np.uint64((1 << bits) - 1)
         self.slots = np.zeros(1 << bits, np.uint64)
         for k in range(0, len(keys), FILL):
             self._put(keys[k : k + FILL], values[k : k + FILL])
 
+    @classmethod
+    def of(cls, slots: pa.Buffer) -> Table:
+        """A table from its own slots, which it reads where they are."""
+        out = cls()
+        out.slots = np.frombuffer(slots, np.uint64)
+        out.mask = np.uint64(len(out.slots) - 1)
+        return out
+
     @staticmethod
     def _tag(keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(32) | np.uint64(1)
@@ -297,6 +306,7 @@ class Stretch:
 
 
 def _score(batches, model: Shards):
+    alone()
     try:
         yield from _scored(batches, model)
     finally:  # workers go on to other stages
@@ -345,6 +355,18 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32()), batch.column("shard")], names=["w", "key", "value", "shard"])
 
 
+def _built(batches):
+    """(shard, w, slots): the tables of each shard, from rows that are sorted by shard."""
+    alone()
+    for table in groups(batches, "shard"):
+        w = np.concatenate([c.to_numpy(zero_copy_only=False) for c in table.column("w").chunks])
+        key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+        for kind in (False, True):
+            slots = Table(key[w == kind], value[w == kind]).slots
+            yield pa.RecordBatch.from_arrays([table.column("shard").combine_chunks().slice(0, 1), pa.array([kind]), pa.array([slots.tobytes()], pa.large_binary()).cast(pa.binary())], names=["shard", "w", "slots"])
+    trimmed()
+
+
 @dataclass(frozen=True)
 class Shards:
     """The model's files in the shared folder, one subfolder a shard; the driver holds none of it."""
@@ -355,7 +377,7 @@ class Shards:
 
 
 def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
-    """The model in shards of a checked number of rows."""
+    """The model in shards of a checked number of rows, each as two tables ready for use."""
     spark = model.sparkSession
     shards = max(1, -(-model.count() // shard_rows))
     unknown = {r.lang: r.value for r in model.filter("g = '' and kind = 'p'").collect()}  # one row a language
@@ -367,8 +389,10 @@ def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
     shard = F.explode(F.when(F.length("context") < 2, everywhere).otherwise(F.array(home)))
     model = model.withColumn("context", context)
     own = model.filter(F.col("g") != "").select("lang", "g", (F.col("kind") == "w").alias("w"), "value", shard.alias("shard"))
+    keyed = own.mapInArrow(_keyed, "w boolean, key long, value float, shard long")
     path = shared_path(spark, "op3-shards")
-    own.mapInArrow(_keyed, "w boolean, key long, value float, shard long").repartition(4 * shards, "shard", F.pmod("key", F.lit(4))).write.partitionBy("shard").parquet(path)
+    tables = keyed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_built, "shard long, w boolean, slots binary")
+    tables.write.partitionBy("shard").parquet(path)
     return Shards(path, shards, unknown)
 
 
@@ -380,14 +404,12 @@ def _tables(path: str, number: int) -> tuple[Table, Table]:
     if (path, number) not in _TABLES:
         _TABLES.clear()
         store, root = fs.FileSystem.from_uri(path)
-        got: dict[bool, list] = {False: [(np.zeros(0, np.uint64), np.zeros(0, np.float32))], True: [(np.zeros(0, np.uint64), np.zeros(0, np.float32))]}
+        got = {False: Table(), True: Table()}
         if store.get_file_info(f"{root}/shard={number}").type != fs.FileType.NotFound:  # a shard, or the model, may be empty
-            for t in dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_batches(batch_size=FILL, use_threads=False):
-                w = t.column("w").to_numpy(zero_copy_only=False)
-                key, value = t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy()
-                for kind in (False, True):
-                    got[kind].append((key[w == kind], value[w == kind]))
-        _TABLES[path, number] = tuple(Table(*map(np.concatenate, zip(*got[kind], strict=True))) for kind in (False, True))
+            for batch in dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_batches(use_threads=False):
+                for w, slots in zip(batch.column("w").to_pylist(), batch.column("slots"), strict=True):
+                    got[w] = Table.of(slots.as_buffer())
+        _TABLES[path, number] = got[False], got[True]
     return _TABLES[path, number]
 
 

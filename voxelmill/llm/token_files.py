@@ -10,25 +10,30 @@ from __future__ import annotations
 
 import contextlib
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, shared_path, stage
+from .common import alone, read, shared_path, stage
 
 LENGTH, BATCH = 2048, 64
-#: A shard is made of about so many bytes of the documents' files, or less; places of documents that are written at a time.
-SHARD_BYTES, NOTED = 32 << 20, 1 << 16
+#: A shard is made of about so many bytes of the documents' files, or less; bytes of text that are encoded at a time.
+SHARD_BYTES, SLICE = 32 << 20, 2 << 20
 _INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 #: Most words whose ids a worker remembers.
 REMEMBERED = 500_000
+#: Marks the first word of a text; a text that holds it is encoded whole.
+START = "\x02"
 #: Where a blank isn't followed by a word, words can't be told by blanks alone.
-_ODD = re.compile(r" \s| $|<\|")
+_ODD = re.compile(r" \s| $|<\||\x02")
 
 
 def _visible() -> dict[int, str]:
@@ -58,13 +63,15 @@ class Encoder:
         self.marks = {c: [t.id for t in self.library.model.tokenize(c)] for c in ",."}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.dtype.char, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """Ids of the word behind a blank."""
+        """Ids of the word behind a blank, or of the first one of a text."""
+        if word[:1] == START:
+            return self._whole(word[1:])
         mark = word[-1:] if word[-1:] in self.marks else ""
         body = word[: -len(mark)] if mark else word
         if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
@@ -72,35 +79,53 @@ class Encoder:
             return self._packed([t.id for t in self.library.model.tokenize(token)] + (self.marks[mark] if mark else []))
         return self._whole(" " + word)
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        parts = [self._text(t) for t in texts]
+        return np.frombuffer(b"".join(parts), self.dtype), np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+
+    def _text(self, text: str) -> bytes:
         if not self.plain or _ODD.search(text):
             return self._whole(text)
-        first, *words = text.split(" ")
-        seen = self.seen
+        words, seen = text.split(" "), self.seen
+        words[0] = START + words[0]  # no blank stands in front of it
         try:
-            rest = b"".join(map(seen.__getitem__, words))
+            return b"".join(map(seen.__getitem__, words))
         except KeyError:
             new = {w: self._word(w) for w in dict.fromkeys(words) if w not in seen}
             if len(seen) + len(new) <= REMEMBERED:
                 seen |= new
-                rest = b"".join(map(seen.__getitem__, words))
-            else:
-                rest = b"".join([seen[w] if w in seen else new[w] for w in words])
-        return (self._whole(first) if first else b"") + rest
+                return b"".join(map(seen.__getitem__, words))
+            return b"".join([seen[w] if w in seen else new[w] for w in words])
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker: what it remembers serves all its tasks."""
-    return _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, Encoder(path)) or _ENCODERS[path]
+    """One for each worker: what it remembers serves all its tasks, until the worker does something else."""
+    alone(_ENCODERS)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _schema(length: int, dtype: np.dtype) -> pa.Schema:
     return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
+def _slices(texts: pa.Array):
+    """(first, end) of stretches of rows that hold about SLICE bytes."""
+    ends, low = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+        yield low, high
+        low = high
+
+
 def _write(batches, tokenizer: str, out: str, length: int, end: int):
     """Writes one shard and yields a row about it. A task that runs again writes the same bytes to its own attempt's
     files; the row that Spark keeps names the attempt that counts."""
@@ -109,13 +134,13 @@ def _write(batches, tokenizer: str, out: str, length: int, end: int):
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
     encode = encoder(tokenizer)
-    dtype, held, index = encode.dtype, [], []
+    dtype, held, index = encode.dtype, [], []  # ids not written yet, and places of documents
     size = total = docs = 0
-    schema, close = _schema(length, dtype), np.array([end], dtype).tobytes()
+    schema = _schema(length, dtype)
 
     def flush(writer, last: bool) -> None:
         nonlocal held, size
-        ids = np.frombuffer(b"".join(held), dtype)
+        ids = np.concatenate([*held, np.zeros(0, dtype)])
         whole = len(ids) if last else len(ids) // (BATCH * length) * BATCH * length  # all batches but the last are full
         part, rest = ids[:whole], ids[whole:]
         pad = -len(part) % length
@@ -126,13 +151,14 @@ def _write(batches, tokenizer: str, out: str, length: int, end: int):
         for i in range(0, len(part), BATCH * length):
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + BATCH * length]), length) for x in (part, mask)]
             writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
-        held, size = [rest.tobytes()], len(rest)
+        held, size = [rest], len(rest)
 
     def noted(writer) -> None:
         nonlocal index, docs
-        columns = zip(*index, strict=True) if index else ([], [], [])
-        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_INDEX))
-        docs, index = docs + len(index), []
+        for part in index:
+            writer.write_batch(part)
+            docs += part.num_rows
+        index = []
 
     def opened(kind: str, layout: pa.Schema):
         sink = files.enter_context(store.open_output_stream(f"{root}/{name}.{kind}"))
@@ -141,16 +167,17 @@ def _write(batches, tokenizer: str, out: str, length: int, end: int):
     with contextlib.ExitStack() as files:
         writer, places = opened("arrow", schema), opened("index", _INDEX)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + close
-                n = len(ids) // dtype.itemsize
-                index.append((doc, total, n))
-                held.append(ids)
-                size, total = size + n, total + n
+            for low, high in _slices(batch.column("text")):
+                ids, n = encode.many([t or "" for t in batch.column("text").slice(low, high - low).to_pylist()])
+                ends = np.cumsum(n + 1)
+                stream = np.full(len(ids) + len(n), end, dtype)
+                stream[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                index.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(total + ends - n - 1), pa.array(n + 1)], schema=_INDEX))
+                held.append(stream)
+                size, total = size + len(stream), total + len(stream)
                 if size >= BATCH * length:
                     flush(writer, False)
-                if len(index) == NOTED:
-                    noted(places)
+                noted(places)
         flush(writer, True)
         noted(places)
     yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [name], "docs": [docs], "tokens": [total]})
