@@ -58,6 +58,14 @@ _RUNNING: list[list[str]] = []
 SMALL = 250_000
 
 
+def rested(spark: SparkSession) -> None:
+    """Has executors collect their garbage, after which they give back what their heaps don't need: a heap that one stage has
+    stretched stays so for the next one, whose Python workers need the memory. One short task for each core, twice."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.split("[")[0] != "local":
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def stage(f):
     """Marks a pipeline stage. Once it begins, the result of the one before it is written, so what earlier stages have stored
     goes, but for tables that its documents are read from."""
@@ -65,6 +73,7 @@ def stage(f):
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         bounded(spark)
+        rested(spark)
         files = docs.inputFiles()
         for path in [p for p in _LEFT if not any(p.rpartition("/")[2] in x for x in files)]:
             deleted(spark, path)

@@ -32,11 +32,13 @@ PRIOR_UNITS = 40
 #: A document is rejected above MARGIN times the QUANTILE of trusted perplexities of its language.
 QUANTILE, MARGIN = 0.995, 1.05
 #: Most rows of a shard, each a n-gram or a context.
-SHARD_ROWS = 1_500_000
+SHARD_ROWS = 1_000_000
 #: Rows taken from a batch at a time, and characters of text that pass the shards together.
-STEP, HELD = 256, 3_000_000
+STEP, HELD = 256, 1_500_000
 #: Keys that are put into a table at a time; different n-grams that a task counts before it hands them on.
 FILL, GRAMS = 1 << 18, 500_000
+#: Slots of a table that make one row of a file.
+CHUNK = 1 << 17
 START, MARK = "\x02", "\x01"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,7 +84,7 @@ def _seed(lang: str | None) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest((lang or "").encode()))
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 400_000):
+def _pieces(batch: pa.RecordBatch, most: int = 200_000):
     """(first row, languages, units) of stretches of rows that hold about so many units."""
     at, size, langs, texts = 0, 0, [], []
     rows = (r for k in range(0, batch.num_rows, STEP) for r in zip(*(batch.column(c).slice(k, STEP).to_pylist() for c in ("lang", "text")), strict=True))
@@ -212,11 +214,10 @@ class Table:
             self._put(keys[k : k + FILL], values[k : k + FILL])
 
     @classmethod
-    def of(cls, slots: pa.Buffer) -> Table:
-        """A table from its own slots, which it reads where they are."""
+    def of(cls, slots: np.ndarray) -> Table:
+        """A table from its own slots."""
         out = cls()
-        out.slots = np.frombuffer(slots, np.uint64)
-        out.mask = np.uint64(len(out.slots) - 1)
+        out.slots, out.mask = slots, np.uint64(len(slots) - 1)
         return out
 
     @staticmethod
@@ -356,14 +357,16 @@ def _keyed(batches):
 
 
 def _built(batches):
-    """(shard, w, slots): the tables of each shard, from rows that are sorted by shard."""
+    """(shard, w, part, slots): the tables of each shard in parts of CHUNK slots, from rows that are sorted by shard."""
     alone()
     for table in groups(batches, "shard"):
         w = np.concatenate([c.to_numpy(zero_copy_only=False) for c in table.column("w").chunks])
         key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
         for kind in (False, True):
             slots = Table(key[w == kind], value[w == kind]).slots
-            yield pa.RecordBatch.from_arrays([table.column("shard").combine_chunks().slice(0, 1), pa.array([kind]), pa.array([slots.tobytes()], pa.large_binary()).cast(pa.binary())], names=["shard", "w", "slots"])
+            for part, k in enumerate(range(0, len(slots), CHUNK)):
+                row = [table.column("shard").combine_chunks().slice(0, 1), pa.array([kind]), pa.array([part], pa.int32()), pa.array([slots[k : k + CHUNK].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["shard", "w", "part", "slots"])
     trimmed()
 
 
@@ -391,7 +394,7 @@ def shards_of(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
     own = model.filter(F.col("g") != "").select("lang", "g", (F.col("kind") == "w").alias("w"), "value", shard.alias("shard"))
     keyed = own.mapInArrow(_keyed, "w boolean, key long, value float, shard long")
     path = shared_path(spark, "op3-shards")
-    tables = keyed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_built, "shard long, w boolean, slots binary")
+    tables = keyed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_built, "shard long, w boolean, part int, slots binary")
     tables.write.partitionBy("shard").parquet(path)
     return Shards(path, shards, unknown)
 
@@ -404,12 +407,13 @@ def _tables(path: str, number: int) -> tuple[Table, Table]:
     if (path, number) not in _TABLES:
         _TABLES.clear()
         store, root = fs.FileSystem.from_uri(path)
-        got = {False: Table(), True: Table()}
+        got: dict[bool, list] = {False: [], True: []}
         if store.get_file_info(f"{root}/shard={number}").type != fs.FileType.NotFound:  # a shard, or the model, may be empty
-            for batch in dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_batches(use_threads=False):
-                for w, slots in zip(batch.column("w").to_pylist(), batch.column("slots"), strict=True):
-                    got[w] = Table.of(slots.as_buffer())
-        _TABLES[path, number] = got[False], got[True]
+            for batch in dataset.dataset(f"{root}/shard={number}", filesystem=store, format="parquet").to_batches(batch_size=4, use_threads=False):
+                for w, part, slots in zip(*(batch.column(c).to_pylist() for c in ("w", "part", "slots")), strict=True):
+                    got[w].append((part, np.frombuffer(slots, np.uint64)))
+        made = [Table.of(np.concatenate([x for _, x in sorted(got[w], key=lambda x: x[0])])) if got[w] else Table() for w in (False, True)]
+        _TABLES[path, number] = made[0], made[1]
     return _TABLES[path, number]
 
 
