@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html_text, mixing, near_dedup, pii, quality, secrets, token_counts, token_files
+from . import decontaminate, embeddings, html_text, mixing, near_dedup, periodic_runs, pii, prefix_trie, quality, secrets, token_counts, token_files, warc
 
-_MODULES = (decontaminate, embeddings, quality, mixing, pii, token_files, token_counts, secrets, near_dedup, html_text)
+_MODULES = (decontaminate, embeddings, quality, mixing, pii, token_files, token_counts, secrets, near_dedup, html_text, warc, prefix_trie, periodic_runs)
 
 
 def queries() -> dict:
