@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> None:
@@ -23,3 +23,18 @@ def path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     shared(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: computed once, and its lineage is cut."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a stored() table that nothing reads any more."""
+    spark = df.sparkSession
+    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
