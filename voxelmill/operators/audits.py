@@ -155,3 +155,70 @@ def covered_terrain(boxes: DataFrame, cells: DataFrame, corners: DataFrame, erro
     fits = (F.least(*z) >= F.col("low") - error) & (F.greatest(*z) <= F.col("high") + error)
     at = out.join(cells.select("i", "j").distinct().join(corners, ["i", "j"]), ["i", "j"], "left")
     return at.groupBy("box").agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("covered"))
+
+
+#: What a map's summary says.
+TOTALS = ("records", "triangles", "mesh_vertices", "occupied_tiles")
+_PLACES = [f"{c}{a}" for c in "abc" for a in "xyz"]
+
+
+def _with_corners(faces: DataFrame, source: DataFrame) -> DataFrame:
+    """faces with the places of their corners, ax ... cz; null where the source has no such row."""
+    for c in "abc":
+        faces = faces.join(source.select(F.col("id").alias(c), *[F.col(a).cast("double").alias(f"{c}{a}") for a in "xyz"]), c, "left")
+    return faces
+
+
+def centred(faces: DataFrame, source: DataFrame, size: float) -> DataFrame:
+    """(tx, ty, face, a, b, c): faces with the tile of their centre."""
+    at = _with_corners(faces.select("face", "a", "b", "c"), source)
+    tile = lambda a: F.floor((F.col(f"a{a}") + F.col(f"b{a}") + F.col(f"c{a}")) / 3 / size)
+    return at.select(tile("x").alias("tx"), tile("y").alias("ty"), "face", "a", "b", "c")
+
+
+def surface_corners(faces: DataFrame, source: DataFrame) -> DataFrame:
+    """(tx, ty, id, x, y, z): the rows that a tile's faces use, each once a tile; places are null for strange ids."""
+    used = faces.select("tx", "ty", F.explode(F.array("a", "b", "c")).alias("id")).distinct()
+    return used.join(source.select("id", "x", "y", "z"), "id", "left").select("tx", "ty", "id", "x", "y", "z")
+
+
+def map_totals(tiles: DataFrame, faces: DataFrame) -> DataFrame:
+    """One row of TOTALS: rows and tiles of the archive, faces, and the rows that faces use, counted by tile."""
+    used = faces.select("tx", "ty", F.explode(F.array("a", "b", "c")).alias("id")).distinct().agg(F.count(F.lit(1)).alias("mesh_vertices"))
+    kept = tiles.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("occupied_tiles"))
+    return kept.join(faces.agg(F.count(F.lit(1)).alias("triangles"))).join(used).select(*TOTALS)  # one row each
+
+
+def map_audit(source: DataFrame, tiles: DataFrame, faces: DataFrame, reports: DataFrame, bounds: DataFrame, summary: DataFrame, size: float) -> DataFrame:
+    """One row: what a map holds, how often each rule is broken, and passed: none is.
+
+    source (id, x, y, z, ...) and tiles (tx, ty and the same): rows that are missing, doubled, altered or strange in the archive, or
+    misplaced; faces (tx, ty, face, a, b, c): strange_corners, corners that are no row, and foreign, faces whose centre lies in another tile;
+    reports (tx, ty, records, triangles): wrong_reports, tiles whose figures differ or that have no report, or one for nothing;
+    bounds (tx, ty, lx ... uz): wrong_bounds, surfaces without bounds or bounds without a surface, and outside, corners beyond them;
+    summary (TOTALS, one row): wrong_totals, figures that differ. Every part is an aggregate; only counts meet.
+    """
+    own = [c for c in source.columns if c != "id"]
+    kept = archive_audit(source, tiles, "id", own).select("missing", "doubled", "altered", "strange")
+    stray = misplaced(tiles, size).agg(F.count(F.lit(1)).alias("misplaced"))
+    at = _with_corners(faces, source)
+    lost = sum((F.col(f"{c}x").isNull().cast("int") for c in "bc"), F.col("ax").isNull().cast("int"))
+    centre = {a: F.floor((F.col(f"a{a}") + F.col(f"b{a}") + F.col(f"c{a}")) / 3 / size) for a in "xy"}
+    shape = at.agg(F.coalesce(F.sum(lost), F.lit(0)).alias("strange_corners"), F.count_if((lost == 0) & ((centre["x"] != F.col("tx")) | (centre["y"] != F.col("ty")))).alias("foreign"))
+    there = tiles.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("__records"))
+    made = faces.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("__triangles"))
+    found = there.join(made, ["tx", "ty"], "full").withColumn("__found", F.lit(True))
+    said = found.join(reports.select("tx", "ty", "records", "triangles").withColumn("__said", F.lit(True)), ["tx", "ty"], "full")
+    same = F.col("__found") & F.col("__said") & (F.coalesce("__records", F.lit(0)) == F.col("records")) & (F.coalesce("__triangles", F.lit(0)) == F.col("triangles"))
+    figures = said.agg(F.count_if(~F.coalesce(same, F.lit(False))).alias("wrong_reports"))
+    names = [f"{n}{a}" for a in "xyz" for n in "lu"]
+    held = made.join(bounds.select("tx", "ty", *names).withColumn("__b", F.lit(True)), ["tx", "ty"], "full").agg(F.count_if(F.col("__triangles").isNull() | F.col("__b").isNull()).alias("wrong_bounds"))
+    inside = reduce(Column.__and__, [F.col(a).between(F.col(f"l{a}"), F.col(f"u{a}")) for a in "xyz"])
+    beyond = surface_corners(faces, source).join(bounds.select("tx", "ty", *names), ["tx", "ty"]).agg(F.count_if(~inside).alias("outside"))
+    totals = map_totals(tiles, faces)
+    sums = totals.join(summary.select(*[F.col(c).alias(f"__{c}") for c in TOTALS])).select(*TOTALS, sum(((~F.col(c).eqNullSafe(F.col(f"__{c}"))).cast("int") for c in TOTALS[1:]), (~F.col(TOTALS[0]).eqNullSafe(F.col(f"__{TOTALS[0]}"))).cast("int")).alias("wrong_totals"))
+    out = sums
+    for part in (kept, stray, shape, figures, held, beyond):  # one row each
+        out = out.join(part)
+    rules = ["missing", "doubled", "altered", "strange", "misplaced", "strange_corners", "foreign", "wrong_reports", "wrong_bounds", "outside", "wrong_totals"]
+    return out.select(*TOTALS, *[F.col(r).cast("long").alias(r) for r in rules], reduce(Column.__and__, [F.col(r) == 0 for r in rules]).alias("passed"))

@@ -102,9 +102,11 @@ def halo(points: DataFrame, size: float, margin: float) -> DataFrame:
 
 
 def pick_in_cell(points: DataFrame, size: float, order: list[str], middle: bool) -> DataFrame:
-    """One actual row of each cell: the first in order, or the upper median one."""
+    """One actual row of each cell: the first in order, by a partial aggregate, or the upper median one, by a window over the cell."""
     own = with_cells(points, size)
+    if not middle:
+        rest = [c for c in points.columns if c not in order]
+        return own.groupBy(*CELL).agg(F.min(F.struct(*order, *rest)).alias("__m")).select(*[F.col(f"__m.{c}").alias(c) for c in points.columns], *CELL)
     w = Window.partitionBy(*CELL)
-    place = F.row_number().over(w.orderBy(*order))
-    wanted = F.floor(F.count(F.lit(1)).over(w) / 2) + 1 if middle else F.lit(1)
+    place, wanted = F.row_number().over(w.orderBy(*order)), F.floor(F.count(F.lit(1)).over(w) / 2) + 1
     return own.withColumn("__k", place).withColumn("__w", wanted).filter("__k = __w").drop("__k", "__w")

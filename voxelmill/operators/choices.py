@@ -9,34 +9,61 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared
+from ..sources.folders import shared, stored
 from . import cells, graphs, joins, sequences, windows
 from .cells import AXES
 
 
-def unsuppressed(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+#: Conflicts of a connected group that one task goes through in order.
+CONFLICTS = 1_000_000
+
+
+def _in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Items that a kept one suppresses, of the conflicts (a, oa, b, ob) of a group, a before b."""
+    gone: set = set()
+    for a, b in pdf.sort_values(["oa", "a"])[["a", "b"]].itertuples(index=False):
+        if a not in gone:  # all that precede it have had their turn
+            gone.add(b)
+    return pd.DataFrame({"item": sorted(gone)})
+
+
+def unsuppressed(items: DataFrame, conflicts: DataFrame, most: int = CONFLICTS) -> DataFrame:
     """(item, kept) of items (item, order): each item in turn, least order first, is kept unless a kept one conflicts with it (conflicts:
     a, b). Not transitive: what a dropped item would have suppressed stays.
 
-    The same as going through them one by one, in rounds: an item is decided once all its conflicting predecessors are. Each
+    The same as going through them one by one. Items that conflict in a connected group of up to `most` conflicts are gone
+    through by one task; larger groups go in rounds, in which an item is decided once all its conflicting predecessors are: each
     round decides at least the first undecided item of every group, and is a few joins of what is left.
     """
     shared(items.sparkSession)
     order = items.select("item", "order")
     pairs = conflicts.select("a", "b").filter("a <> b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct()
     pairs = pairs.join(order.withColumnsRenamed({"item": "a", "order": "oa"}), "a").join(order.withColumnsRenamed({"item": "b", "order": "ob"}), "b")
-    before = pairs.filter("oa < ob OR (oa = ob AND a < b)").select("a", "b").checkpoint()
-    left, done = order.select("item").checkpoint(), None
+    pairs = stored(pairs.filter("oa < ob OR (oa = ob AND a < b)"), "conflicts")
+    of = graphs.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "a")
+    grouped = stored(pairs.join(of, "a"), "conflict-groups")
+    large = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("component")
+    kind = items.schema["item"].dataType.simpleString()
+    small = grouped.join(large, "component", "left_anti")
+    gone = stored(small.groupBy("component").applyInPandas(_in_turn, f"item {kind}"), "suppressed")
+    before = stored(grouped.join(large, "component", "left_semi").select("a", "b"), "conflicts-left")
+    if not before.isEmpty():
+        gone = gone.unionByName(_in_rounds(before))
+    return order.join(gone.withColumn("__gone", F.lit(True)), "item", "left").select("item", F.col("__gone").isNull().alias("kept"))
+
+
+def _in_rounds(before: DataFrame) -> DataFrame:
+    """Items that a kept one suppresses, of the pairs (a, b), a before b, in rounds."""
+    left, done = stored(before.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "undecided"), None
     while True:
         # Kept: undecided without an undecided predecessor; dropped: those that a kept one precedes.
-        kept = left.join(before.select(F.col("b").alias("item")).distinct(), "item", "left_anti").checkpoint()
-        gone = left.join(before.join(kept.select(F.col("item").alias("a")), "a").select(F.col("b").alias("item")).distinct(), "item", "left_semi")
-        part = kept.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))).checkpoint()
-        done = part if done is None else done.unionByName(part)
-        left = left.join(part, "item", "left_anti").checkpoint()
+        kept = stored(left.join(before.select(F.col("b").alias("item")).distinct(), "item", "left_anti"), "kept")
+        gone = stored(left.join(before.join(kept.select(F.col("item").alias("a")), "a").select(F.col("b").alias("item")).distinct(), "item", "left_semi"), "suppressed")
+        done = gone if done is None else done.unionByName(gone)
+        left = stored(left.join(kept.unionByName(gone), "item", "left_anti"), "undecided")
         if left.isEmpty():
             return done
-        before = before.join(left.select(F.col("item").alias("a")), "a", "left_semi").join(left.select(F.col("item").alias("b")), "b", "left_semi").checkpoint()
+        before = stored(before.join(left.select(F.col("item").alias("a")), "a", "left_semi").join(left.select(F.col("item").alias("b")), "b", "left_semi"), "conflicts-left")
 
 
 def by_region(points: DataFrame, size: float, margin: float, job: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -149,9 +149,20 @@ def cubic_halo(points: DataFrame, size: float, margin: float) -> DataFrame:
 
 def replies(requests: DataFrame, answers: DataFrame, key: str, time: str, expires: int) -> DataFrame:
     """requests with answer (time of the first answer of the same key, not before the request and at most expires after it) and
-    timely: whether there is one."""
-    got = requests.alias("r").join(answers.select(F.col(key).alias("__k"), F.col(time).alias("__t")), (F.col(key) == F.col("__k")) & (F.col("__t") >= F.col(time)) & (F.col("__t") <= F.col(time) + expires), "left")
-    return got.groupBy(*requests.columns).agg(F.min("__t").alias("answer")).withColumn("timely", F.col("answer").isNotNull())
+    timely: whether there is one. Equal requests stay rows of their own; one without key or time has no answer.
+
+    Both go to slots of time as long as `expires`, answers to the one before theirs too, and a request takes the next answer of its
+    slot: a busy key is as many groups as it has slots, and no pair is made.
+    """
+    slot = F.floor(F.col("__t") / max(expires, 1))
+    asked = requests.select(F.struct(*requests.columns).alias("__r"), F.col(key).alias("__k"), F.col(time).alias("__t")).withColumn("__s", slot)
+    given = answers.select(F.lit(None).cast(asked.schema["__r"].dataType).alias("__r"), F.col(key).alias("__k"), F.col(time).alias("__t")).filter("__k is not null and __t is not null")
+    given = given.withColumn("__s", F.explode(F.array(slot, slot - 1)))
+    after = Window.partitionBy("__k", "__s").orderBy("__t", F.col("__r").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    first = F.first(F.when(F.col("__r").isNull(), F.col("__t")), ignorenulls=True).over(after)
+    got = asked.unionByName(given).withColumn("__a", first).filter("__r is not null")
+    answer = F.when(F.col("__k").isNotNull() & (F.col("__a") <= F.col("__t") + expires), F.col("__a"))
+    return got.select("__r.*", answer.alias("answer")).withColumn("timely", F.col("answer").isNotNull())
 
 
 def welded(vertices: DataFrame) -> DataFrame:

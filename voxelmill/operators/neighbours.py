@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared
+from ..sources.folders import shared, stored
 from . import graphs
 from .cells import AXES, CELL, with_cells
 
@@ -46,65 +48,109 @@ def _checked(points: DataFrame) -> DataFrame:
     return points.select("id", *[F.when(ok(c), c + 0.0).otherwise(F.raise_error(F.lit("a coordinate is missing or not finite"))).alias(a) for a in AXES for c in (F.col(a).cast("double"),)])
 
 
-def _at_levels(rows: DataFrame, levels, low: dict[str, float], wide: float) -> DataFrame:
-    """rows once for each level: cells whose side is the cloud's, halved level times."""
-    out = rows.withColumn("level", F.explode(levels))
-    return out.withColumns({f"i{a}": F.floor((F.col(a) - low[a]) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))) for a in AXES})
+#: Points that one task can compare with all: below this the search is one job, 32 bytes a point go to each task.
+FEW = 6000
 
 
-def nearest(points: DataFrame, k: int) -> DataFrame:
+def _compared(points: DataFrame, k: int) -> DataFrame:
+    """nearest() of FEW points at most: each task orders the distances of some of them to all."""
+    spark = points.sparkSession
+    kind = points.schema["id"].dataType.simpleString()
+    table = points.orderBy("id").toArrow()  # FEW rows at most, in order of their ids
+    at = np.stack([table.column(a).to_numpy() for a in AXES], 1) if table.num_rows else np.zeros((0, 3))
+    ids = table.column("id").combine_chunks()
+    same = ids.dictionary_encode().indices.to_numpy() if table.num_rows else np.zeros(0, int)
+
+    def search(batches):
+        for batch in batches:
+            for own in np.array_split(batch.column("id").to_numpy(), max(1, batch.num_rows // 64)):
+                d = at[own][:, None] - at[None]
+                dist = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+                dist[same[own][:, None] == same[None]] = np.inf
+                order = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ids rise, so ties are in order
+                best = np.take_along_axis(dist, order, axis=1)
+                row, rank = np.nonzero(best < np.inf)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[row])), ids.take(pa.array(order[row, rank])), pa.array(rank.astype(np.int32) + 1), pa.array(best[row, rank])], names=["id", "nid", "rank", "dist"])
+
+    return spark.range(0, table.num_rows, 1, max(1, min(spark.sparkContext.defaultParallelism, table.num_rows // 64))).mapInArrow(search, f"id {kind}, nid {kind}, rank int, dist double")
+
+
+def _at_level(rows: DataFrame, low: dict[str, float], wide: float) -> DataFrame:
+    """rows with the cell of their level: the side is the cloud's, halved level times."""
+    return rows.withColumns({f"i{a}": F.floor((F.col(a) - low[a]) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))) for a in AXES})
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    for a in AXES:
+        rows = rows.withColumn("__d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"i{a}", F.col(f"i{a}") + F.col("__d")).drop("__d")
+    return rows
+
+
+def _fitting(rows: DataFrame, few: int, low: dict[str, float], wide: float, deepest: int) -> DataFrame:
+    """(ix, iy, iz, level): for each cell of the deepest level the finest one at which the cell around it holds a few points. Points are
+    counted once, at the deepest level; the others follow from those counts."""
+    deep = stored(_at_level(rows.withColumn("level", F.lit(deepest)), low, wide).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")), "cells-deep")
+    each = deep.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+    each = each.withColumns({f"j{a}": F.floor(F.col(f"i{a}") / F.pow(F.lit(2.0), deepest - F.col("level"))) for a in AXES})
+    full = each.groupBy("level", "jx", "jy", "jz").agg(F.sum("n").alias("all")).filter(F.col("all") >= few).drop("all")
+    fits = each.join(full, ["level", "jx", "jy", "jz"]).groupBy(*CELL).agg(F.max("level").alias("level"))
+    return deep.select(*CELL).join(fits, CELL, "left").fillna(0, ["level"])
+
+
+def nearest(points: DataFrame, k: int, few_points: int = FEW) -> DataFrame:
     """(id, nid, rank, dist): the k nearest other rows of each (id, x, y, z), ties by id; all there are if fewer.
 
     Points at one place are searched for once, and a place offers its k + 1 lowest ids only. Each place looks in the 27 cells
     around it, of the finest of the halved grids in which its own cell holds a few points, so a far outlier makes its own
-    search coarse and no other. What the k-th distance may reach beyond goes on with cells as wide as that distance; few
-    rounds, each a checkpoint. A pair beyond the cells is never made.
+    search coarse and no other. Points go to those cells only in which somebody looks. What the k-th distance may reach beyond goes
+    on with cells as wide as that distance; few rounds, each a stored table. A pair beyond the cells is never made. Few points are
+    compared with all by numpy, in one job; results are the same.
     """
     spark = points.sparkSession
     shared(spark)
+    checked = _checked(points)
+    if points.limit(few_points + 1).count() <= few_points:
+        return _compared(checked, k)
     w = Window.partitionBy(*AXES).orderBy("id")
-    rows = _checked(points).withColumns({"place": F.first("id").over(w), "turn": F.row_number().over(w)}).checkpoint()
+    rows = stored(checked.withColumns({"place": F.first("id").over(w), "turn": F.row_number().over(w)}), "places")
     box = rows.agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"l{a}") for a in AXES], *[F.max(a).alias(f"u{a}") for a in AXES]).first()
     low = {a: box[f"l{a}"] or 0.0 for a in AXES}
     wide = max([(box[f"u{a}"] or 0.0) - low[a] for a in AXES]) * (1 + 1e-9) or 1.0
     deepest = min(30, max(1, math.ceil(math.log2(max(2, box.n / k)) / 3) + 4))
-    few = max(2, k // 4)
     offered = rows.filter(F.col("turn") <= k + 1)
-    every = F.sequence(F.lit(0), F.lit(deepest))
-    grid = _at_levels(offered, every, low, wide)
-    full = grid.groupBy("level", *CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= few)
-    asked = grid.filter("turn = 1").join(full, ["level", *CELL], "left").groupBy("place", *AXES).agg(F.coalesce(F.max(F.when(F.col("n").isNotNull(), F.col("level"))), F.lit(0)).alias("level"))
+    fits = _fitting(offered, max(2, k // 4), low, wide, deepest)
+    asked = _at_level(rows.filter("turn = 1").withColumn("level", F.lit(deepest)), low, wide).drop("level").join(fits, CELL).select("place", *AXES, "level")
     done = None
     while True:
-        there = asked.withColumns({f"i{a}": F.floor((F.col(a) - low[a]) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))) for a in AXES})
-        for a in AXES:
-            there = there.withColumn("__d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"i{a}", F.col(f"i{a}") + F.col("__d")).drop("__d")
-        others = _at_levels(offered.select(F.col("id").alias("nid"), *AXES), every, low, wide).withColumnsRenamed({a: f"o{a}" for a in AXES})
+        there = stored(_around(_at_level(asked, low, wide)), "asked")
+        cells = there.select("level", *CELL).distinct()
+        levels = [r.level for r in there.select("level").distinct().collect()]  # 31 at most
+        others = _at_level(offered.select(F.col("id").alias("nid"), *AXES, F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("level")), low, wide)
+        others = others.join(cells, ["level", *CELL], "left_semi").withColumnsRenamed({a: f"o{a}" for a in AXES})
         near = there.join(others, ["level", *CELL]).withColumn("dist", F.sqrt(_distance2()))
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("dist", "nid"))).filter(F.col("rank") <= k + 1)
         last = near.groupBy("place").agg(F.max("rank").alias("found"), F.max("dist").alias("reach"), F.first("level").alias("level"))
         sure = (F.col("level") == 0) | ((F.col("found") == k + 1) & (F.col("reach") <= F.lit(wide) / F.pow(F.lit(2.0), F.col("level"))))
-        near = near.select("place", "nid", "dist").join(last.withColumn("sure", sure), "place").checkpoint()
+        near = stored(near.select("place", "nid", "dist").join(last.withColumn("sure", sure), "place"), "near")
         part = near.filter("sure").select("place", "nid", "dist")
         done = part if done is None else done.unionByName(part)
         left = near.filter("not sure").groupBy("place").agg(F.first("level").alias("level"), F.first("found").alias("found"), F.first("reach").alias("reach"))
         if left.isEmpty():
             break
         # With k neighbours known none is farther than the last of them; with fewer the cells are made four times as wide.
-        fits = F.floor(F.log2(F.lit(wide) / F.greatest("reach", F.lit(1e-300)))).cast("int")
-        coarser = F.when(F.col("found") == k + 1, F.least(fits, F.col("level") - 1)).otherwise(F.col("level") - 2)
+        wider = F.floor(F.log2(F.lit(wide) / F.greatest("reach", F.lit(1e-300)))).cast("int")
+        coarser = F.when(F.col("found") == k + 1, F.least(wider, F.col("level") - 1)).otherwise(F.col("level") - 2)
         asked = rows.filter("turn = 1").select("place", *AXES).join(left.select("place", F.greatest(coarser, F.lit(0)).alias("level")), "place")
-        every = F.array(*[F.lit(r.level) for r in left.select(F.greatest(coarser, F.lit(0)).alias("level")).distinct().collect()])  # 31 at most
     out = rows.select("id", "place").join(done, "place").filter("id <> nid")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nid"))).filter(F.col("rank") <= k)
     return out.select("id", "nid", "rank", "dist")
 
 
 def mean_distances(points: DataFrame, k: int) -> DataFrame:
-    """(id, mean_dist) to the k nearest others, a checkpoint; k rows or fewer are refused."""
+    """(id, mean_dist) to the k nearest others, a stored table; k rows or fewer are refused."""
     if points.count() <= k:
         raise ValueError(f"{k} neighbours need more than {k} points")
-    return nearest(points, k).groupBy("id").agg(F.avg("dist").alias("mean_dist")).checkpoint()
+    return stored(nearest(points, k).groupBy("id").agg(F.avg("dist").alias("mean_dist")), "mean-distances")
 
 
 def statistical_outliers(distances: DataFrame, ratio: float) -> DataFrame:
@@ -115,15 +161,15 @@ def statistical_outliers(distances: DataFrame, ratio: float) -> DataFrame:
 
 
 def outlier_factors(points: DataFrame, ks: tuple[int, ...], rows: DataFrame | None = None) -> DataFrame:
-    """(id, k, lof): local outlier factors for each k from one search of the largest, which is a checkpoint; of the rows (id) only, if they
+    """(id, k, lof): local outlier factors for each k from one search of the largest, which is stored; of the rows (id) only, if they
     are given, among all points."""
     if points.count() <= max(ks):
         raise ValueError(f"{max(ks)} neighbours need more than {max(ks)} points")
-    near = nearest(points, max(ks)).checkpoint()
+    near = stored(nearest(points, max(ks)), "neighbours")
     near = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")
     kdist = near.filter("rank = k").select(F.col("id").alias("nid"), "k", F.col("dist").alias("kdist"))
     reach = near.join(kdist, ["nid", "k"]).withColumn("reach", F.greatest("dist", "kdist"))
-    density = reach.groupBy("id", "k").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd")).checkpoint()
+    density = stored(reach.groupBy("id", "k").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd")), "densities")
     other = density.select(F.col("id").alias("nid"), "k", F.col("lrd").alias("olrd"))
     wanted = near if rows is None else near.join(rows.select("id").distinct(), "id", "left_semi")
     mean = wanted.join(other, ["nid", "k"]).groupBy("id", "k").agg(F.avg("olrd").alias("m"))

@@ -191,51 +191,78 @@ def curve_support(samples: DataFrame, sources: DataFrame, key: str, reach: float
     return share.join(p95, key).join(gap, key)
 
 
-def geometric_outliers(points: DataFrame, keep: DataFrame, scales=((12, 0.4), (32, 1.2), (64, 3.0)), least: int = 6, contradictions: int = 2) -> DataFrame:
-    """(id, supported, consistent, rejected) of the points that keep (id, keep) leaves: at each scale (k nearest survivors within a radius)
-    the neighbours' places, trimmed twice of the fifth that fits worst, make a line or a plane; a point is consistent with a scale
-    if it lies as near to it as they do (three median deviations, 0.03 to 0.12). Rejected: confident scales enough, none consistent."""
+def geometric_outliers(points: DataFrame, keep: DataFrame, scales=((12, 0.4), (32, 1.2), (64, 3.0)), least: int = 6, contradictions: int = 2, candidates: DataFrame | None = None) -> DataFrame:
+    """(id, supported, consistent, rejected) of the points that keep (id, keep) leaves, or of the candidates (id) among them: at each scale
+    (k nearest survivors within a radius) the neighbours' different places make a line or a plane, and do so still, of the same kind,
+    after each of two cuts of the fifth that fits worst; only then the scale is confident.
+
+    A line has a second spread of at most 0.03 of the first, a plane one of 0.05 or more, and a third of at most 0.1 of the second; spreads
+    that count are 0.03 long at least, and `least` places must be left. A point is consistent with a scale if it lies as near to
+    the shape as the places do (three median deviations, 0.03 to 0.12). Rejected: confident scales enough, none consistent.
+    """
     left = points.join(keep.filter("keep").select("id"), "id", "left_semi").select("id", *AXES).checkpoint()
+    asked = left if candidates is None else left.join(candidates.select("id").distinct(), "id", "left_semi")
     k, radius = max(s[0] for s in scales), max(s[1] for s in scales)
-    near = offsets(left, radius, k)
-    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "oid", *[f"d{a}" for a in AXES]))).alias("l"))  # k at most
+    near = joins.within(asked, left.select(F.col("id").alias("oid"), *AXES), radius).filter("id <> oid")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "oid"))).filter(F.col("rank") <= k)
+    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "dist", *[(F.col(f"o{a}") - F.col(a)).alias(f"d{a}") for a in AXES]))).alias("l"))  # k at most
     flat = lists.select("id", *[F.col(f"l.{n}").alias(n) for n in ("dist", "dx", "dy", "dz")])
-    votes = flat.mapInArrow(lambda b: _votes(b, scales, least), "id long, supported int, consistent int")
-    out = left.select("id").join(votes, "id", "left").na.fill(0, ["supported", "consistent"])
+    votes = flat.mapInArrow(lambda b: _votes(b, scales, least, k), "id long, supported int, consistent int")
+    out = asked.select("id").join(votes, "id", "left").na.fill(0, ["supported", "consistent"])
     return out.withColumn("rejected", (F.col("supported") >= contradictions) & (F.col("consistent") == 0))
 
 
-def _votes(batches, scales, least: int):
+def _votes(batches, scales, least: int, most: int):
     for batch in batches:
-        ids, supported, consistent = batch.column("id"), [], []
-        columns = [batch.column(n).to_pylist() for n in ("dist", "dx", "dy", "dz")]
-        for dist, *d in zip(*columns, strict=True):
-            places, dist = np.array(d).T, np.array(dist)
-            found = [_vote(np.unique(places[:k][dist[:k] <= r], axis=0), least) for k, r in scales]
-            supported.append(sum(f is not None for f in found))
-            consistent.append(sum(bool(f) for f in found))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(supported, pa.int32()), pa.array(consistent, pa.int32())], names=["id", "supported", "consistent"])
-
-
-def _vote(places: np.ndarray, least: int) -> bool | None:
-    """Whether the origin lies on the line or the plane of the places; None if they make neither."""
-    kept = places[np.any(places != 0, axis=1)]
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            n = np.asarray(pa.compute.list_value_length(part.column("dist")))
+            there = np.arange(most)[None] < n[:, None]
+            filled = []
+            for name, empty in (("dist", np.inf), ("dx", 0.0), ("dy", 0.0), ("dz", 0.0)):
+                column = np.full(there.shape, empty)
+                column[there] = pa.compute.list_flatten(part.column(name)).to_numpy(zero_copy_only=False)
+                filled.append(column)
+            dist, places = filled[0], np.stack(filled[1:], -1)
+            found = [_shape(places[:, :k], dist[:, :k] <= r, least) for k, r in scales]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(sum(f[i].astype(np.int32) for f in found), pa.int32()) for i in (0, 1)]], names=["id", "supported", "consistent"])
+
+
+def _shape(places: np.ndarray, used: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of places (rows, k, 3): whether those used make a confident line or plane, and whether the origin lies on it too."""
+    order = np.lexsort(np.where(used[..., None], places, np.inf).transpose(2, 0, 1)[::-1], axis=1)
+    places, used = np.take_along_axis(places, order[..., None], 1), np.take_along_axis(used, order, 1)
+    used[:, 1:] &= ~(used[:, :-1] & (places[:, 1:] == places[:, :-1]).all(-1))  # one of each place
+    sure, kind = used.sum(1) >= least, None
     for turn in range(3):
-        if len(kept) < least:
-            return None
-        middle = kept.mean(axis=0)
-        values, axes = np.linalg.eigh(np.cov((kept - middle).T, bias=True))
-        if values[2] <= 1e-18:
-            return None
-        line = values[1] <= 0.03 * values[2]
-        if not line and (values[0] > 0.1 * values[1] or values[1] < 0.05 * values[2]):
-            return None
-        off = axes[:, :2] if line else axes[:, :1]
-        away = np.linalg.norm((kept - middle) @ off, axis=1)
+        n = used.sum(1)
+        weight = used / np.maximum(n, 1)[:, None]
+        middle = np.einsum("rk,rkc->rc", weight, places)
+        off = places - middle[:, None]
+        spread, axes = np.linalg.eigh(np.einsum("rk,rki,rkj->rij", weight, off, off))
+        small, second, first = np.maximum(spread, 0.0).T
+        wide = np.float64(0.03) ** 2
+        line = (first >= wide) & (second <= 0.03 * first)
+        plane = (first >= wide) & (second >= wide) & (second >= 0.05 * first) & (small <= 0.1 * second) & ~line
+        now = np.where(line, 1, np.where(plane, 2, 0))
+        sure &= (n >= least) & (now > 0) & (now == kind if turn else True)
+        kind = now
+        flat, side = np.einsum("rkc,rc->rk", off, axes[:, :, 0]), np.einsum("rkc,rc->rk", off, axes[:, :, 1])
+        away = np.where(line[:, None], np.hypot(flat, side), np.abs(flat))
         if turn < 2:
-            kept = kept[np.argsort(away, kind="stable")[: max(least, int(np.ceil(len(kept) * 0.8)))]]
-    spread = 3.0 * 1.4826 * np.median(np.abs(away - np.median(away))) + np.median(away)
-    return bool(np.linalg.norm(middle @ off) <= min(max(spread, 0.03), 0.12))
+            rank = np.argsort(np.argsort(np.where(used, away, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+            used &= rank < np.floor(n * 0.8)[:, None]
+
+    def median(values):
+        low = np.sort(np.where(used, values, np.inf), axis=1)
+        row, n = np.arange(len(low)), np.maximum(used.sum(1), 1)
+        return (low[row, (n - 1) // 2] + low[row, n // 2]) / 2
+
+    with np.errstate(invalid="ignore"):
+        typical = median(away)
+        limit = np.clip(typical + 3.0 * 1.4826 * median(np.abs(away - typical[:, None])), 0.03, 0.12)
+        own = np.hypot(np.einsum("rc,rc->r", middle, axes[:, :, 0]), np.where(line, np.einsum("rc,rc->r", middle, axes[:, :, 1]), 0.0))
+    return sure, sure & (own <= limit)
 
 
 def voxel_quads(cells: DataFrame, size: float) -> DataFrame:

@@ -82,11 +82,13 @@ def cyclic_gap(rows: DataFrame, angle: str) -> DataFrame:
 def iterative_outliers(points: DataFrame, k: int, limit: float, passes: int, factors) -> DataFrame:
     """(id, pass): points that a pass of local outlier factors removed (factor above the limit), null for those that stay.
 
-    Every pass searches among the points that the ones before it left; it ends early when a pass removes none. factors is
-    outlier_factors. The rows left are written to the checkpoint folder between passes.
+    Every pass searches among the points that the ones before it left; it ends early when a pass removes none, or leaves k points or
+    fewer. As few to begin with are an error. factors is outlier_factors. The rows left are written to the checkpoint folder between passes.
     """
     left, gone = points, None
     for number in range(1, passes + 1):
+        if number > 1 and left.limit(k + 1).count() <= k:
+            break
         bad = factors(left, (k,)).filter(F.col("lof") > limit).select("id", F.lit(number).alias("pass")).checkpoint()
         if bad.isEmpty():
             break

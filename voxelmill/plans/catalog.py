@@ -267,7 +267,7 @@ def lerp_join(spark, d):
     return out.select("event_id", F.round("lerp", 6).alias("lerp"))
 
 
-from . import columns, joins, meshes, rasters, shapes, surfaces, tables, windows  # noqa: E402, F401  (they register their queries)
+from . import columns, joins, meshes, rasters, shapes, surfaces, tables, wholes, windows  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict:

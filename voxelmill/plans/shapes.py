@@ -79,7 +79,7 @@ def geometric_votes(spark, d):
     stored = neighbours.mean_distances(p, 12)
     weak = neighbours.statistical_outliers(stored, 4.0)
     candidates = neighbours.statistical_outliers(stored, 1.0).filter("not keep").select("id")
-    votes = shapes.geometric_outliers(p, weak, ((12, 0.2), (24, 0.3), (32, 0.4)))
+    votes = shapes.geometric_outliers(p, weak, ((12, 0.2), (24, 0.3), (32, 0.4)), candidates=candidates)
     out = weak.join(votes, "id", "left").join(candidates.withColumn("candidate", F.lit(True)), "id", "left")
     rejected = F.coalesce(F.col("candidate") & F.col("rejected"), F.lit(False))
     return out.select("id", F.col("keep").alias("sor_keep"), F.coalesce("supported", F.lit(0)).alias("supported"), F.coalesce("consistent", F.lit(0)).alias("consistent"), (F.col("keep") & ~rejected).alias("keep"))

@@ -163,17 +163,20 @@ def bag_header(data: bytes, size: int) -> dict[str, int]:
 
 
 def audit_bags(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, index_pos, conn_count, chunk_count, problem) of the bag files below a path; their first 8 KB are looked at."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 8192).alias("head"))
+    """(path, bytes, index_pos, conn_count, chunk_count, problem) of the bag files below a path; their first 8 KB are read, no more of
+    them however large they are."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
 
     def look(batches):
         for batch in batches:
             rows = []
-            for head, size in zip(batch.column("head").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 try:
-                    h = bag_header(head, size)
+                    store, at = _open(path)
+                    with store.open_input_file(at) as f:
+                        h = bag_header(f.read_at(8192, 0), size)
                     rows.append((h["index_pos"], h["conn_count"], h["chunk_count"], None))
-                except (ValueError, struct.error) as e:
+                except (OSError, ValueError, struct.error) as e:
                     rows.append((None, None, None, str(e)))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(),) * 3 + (pa.string(),), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), *columns], names=["path", "bytes", "index_pos", "conn_count", "chunk_count", "problem"])
