@@ -3,9 +3,10 @@
 The contract's four base kinds are found by linear scans and always stay. Generous generators propose spans that may overlap:
 looser forms of the four kinds, and kinds that have no base rule. Boosted trees over features of the span's format and of its
 context score them, a threshold for each kind, calibrated on candidates outside the fit, selects, and of overlapping spans
-the likelier one stays. The trees are fitted on candidates of the documents themselves, a stated number of them, which the
-base rules label (their checks are no features, so the trees learn how such data look and where it stands), and on generated
-examples of the kinds that no rule can label.
+the likelier one stays. The trees are fitted and calibrated on candidates of the documents themselves, a stated number of them,
+as far as the base rules tell what they are, and on generated examples of every kind: written in ways that the base rules miss, and
+numbers and names that only look alike. So every kind has both sides at any size of the table; what no rule decides (a phone
+number without a country code) is nobody's example, the generated ones speak for it.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 GENERATORS = {
     "email_like": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}){0,4}"),
     "ip_like": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.,][0-9]{1,4}){3}(?![0-9.])"),
-    "card_like": re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,20}(?![0-9A-Za-z])"),
+    "card_like": re.compile(r"(?<![0-9A-Za-z])[0-9]{3,19}(?![0-9A-Za-z])"),  # groups, see _cards
     "phone_like": re.compile(r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b", re.ASCII),
@@ -96,10 +97,27 @@ GENERATORS = {
 NAMES = tuple(GENERATORS)
 #: Most texts have no digit at all, and so nothing of these kinds.
 _ANY, _OF_DIGITS = re.compile("[0-9]"), frozenset(("ip_like", "card_like", "phone_like", "ssn", "iban"))
-_CUES = ("phone", "tel", "call", "ssn", "social", "iban", "account", "mac", "mail", "contact", "order", "version", "part", "invoice", "id ")
-#: Candidates of the documents that the trees are fitted and calibrated on (half each), those of the smallest digest, and
-#: generated examples; a kind adds spans where its candidates outside the fit reach this precision, on this many or more.
-CANDIDATES, GENERATED, PRECISION, LEAST = 8_000, 1_200, 0.95, 20
+_CUES = ("phone", "tel", "call", "ssn", "social", "iban", "account", "mac", "mail", "contact", "card", "order", "version", "part", "invoice", "id ")
+#: Candidates of the documents that the trees are fitted and calibrated on (half each), those of the smallest digest, and as many
+#: generated examples for either; a kind adds spans where those outside the fit reach this precision.
+CANDIDATES, GENERATED, PRECISION = 8_000, 2_800, 0.95
+
+
+def _cards(text: str):
+    """(start, end) of 13 to 19 digits: whole groups of three or more that one blank, stop or hyphen parts. Groups of a longer row are
+    proposed in every way, so spans overlap; few begin at one place."""
+    groups = [m.span() for m in GENERATORS["card_like"].finditer(text)]
+    for i, (start, _) in enumerate(groups):
+        total = 0
+        for k in range(i, len(groups)):
+            a, b = groups[k]
+            if k > i and (a != groups[k - 1][1] + 1 or text[a - 1] not in " .-"):
+                break
+            total += b - a
+            if total > 19:
+                break
+            if total >= 13:
+                yield start, b
 
 
 def proposals(text: str) -> list[tuple[int, int, int]]:
@@ -112,7 +130,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
             continue
         if name == "mac" and text.count(":") < 5:
             continue
-        out += [(n, m.start(), m.end()) for m in regex.finditer(text)]
+        out += [(n, a, b) for a, b in (_cards(text) if name == "card_like" else (m.span() for m in regex.finditer(text)))]
     return out
 
 
@@ -127,12 +145,14 @@ _PREFIX = re.compile(r"\+[0-9]{1,3}[\x20.-]?")
 
 
 def features(n: int, text: str, start: int, end: int) -> list[float]:
-    """Format and context of a span; what the base rules check (Luhn, ranges, the country code of a phone) is left out."""
+    """Format and context of a span. The country code of a phone, which only base phones are sure to have, is left out."""
     span, before, after = _PREFIX.sub("", text[start:end]), text[max(0, start - 24) : start].lower(), text[end : end + 12].lower()
-    digits = _digits(span)
-    format_ = [n, len(span), len(digits) / len(span), len(set(digits)), span.count("-"), span.count(" "), span.count("."), span.count("("), float(NAMES[n] == "iban" and _iban_ok(span)), int(digits[:3] or 0), len(max(re.findall(r"(.)\1*", span), default="", key=len))]
-    context = [float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:].isspace()), float(after[:1].isspace()), sum(c.isdigit() for c in before), sum(c.isdigit() for c in after)]
-    return [*map(float, format_), *context, *(float(c in before) for c in _CUES)]
+    digits, name = _digits(span), NAMES[n]
+    high = name == "ip_like" and any(int(x) > 255 for x in re.findall("[0-9]+", span))
+    checked = name == "iban" and _iban_ok(span) or name == "card_like" and 13 <= len(digits) <= 19 and luhn(digits)
+    format_ = [n, len(span), len(digits) / len(span), len(set(digits)), span.count("-"), span.count(" "), span.count("."), span.count(","), span.count("("), "dot" in span.lower(), checked, high, int(digits[:3] or 0), len(max(re.findall(r"(.)\1*", span), default="", key=len))]
+    context = [before[-1:].isalnum(), after[:1].isalnum(), before[-1:].isspace(), after[:1].isspace(), after[:1] == "." and after[1:2].isdigit(), before[-1:] == "." and before[-2:-1].isdigit(), sum(c.isdigit() for c in before), sum(c.isdigit() for c in after)]
+    return [*map(float, format_), *map(float, context), *(float(c in before) for c in _CUES)]
 
 
 class Boosted:
@@ -195,28 +215,59 @@ class Boosted:
         return 1 / (1 + np.exp(-score))
 
 
+def _card(d, r: random.Random, right: bool) -> str:
+    """16 digits in one of the usual ways to write them; right: Luhn's sum holds."""
+    body = r.choice("3456") + d(14)
+    good = next(c for c in "0123456789" if luhn(body + c))
+    number = body + (good if right else r.choice([c for c in "0123456789" if c != good]))
+    return r.choice(("", " ", "-", ".")).join(number[i : i + 4] for i in range(0, 16, 4))
+
+
+def _example(name: str, yes: bool, r: random.Random, d, word) -> tuple[str, str]:
+    """(cue, span) of one generated example of the kind."""
+    if name == "email_like":
+        at, dot = r.choice((("@", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "."), (" (at) ", ".")))
+        user = word() + r.choice(("", ".", "_", "-")) + word() + r.choice(("", d(2)))
+        return r.choice(("mail ", "contact ", "")), f"{user}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de', 'fr'))}" if yes else r.choice((f"{word()}{at}{word()}", f"{d(2)}@{d(2)}", f"{word()}@{d(1)}"))
+    if name == "ip_like":
+        part = lambda: str(r.randint(0, 255))
+        if yes:
+            return r.choice(("", "id ", "mail ")), ".".join(part() for _ in range(4))
+        wrong = [part() for _ in range(4)]
+        wrong[r.randint(0, 3)] = str(r.randint(256, 9999))
+        return r.choice(("version ", "part ", "")), r.choice((".".join(wrong), ",".join(part() for _ in range(4))))
+    if name == "card_like":
+        return r.choice(("card ", "account ", "") if yes else ("order ", "invoice ", "id ", "")), _card(d, r, yes)
+    if name == "phone_like":
+        a, b, c = d(3), d(3), d(4)
+        if yes:
+            plain = r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}"))
+            return (r.choice(("call ", "tel ", "phone ", "contact ", "")), plain) if r.random() < 0.7 else (r.choice(("call ", "tel ", "phone ")), r.choice((f"{a} {b} {c}", f"{a}.{b}.{c}", a + b + c)))
+        return r.choice(("order ", "part ", "invoice ", "version ", "id ")) if r.random() < 0.7 else "", r.choice((f"{a} {b} {c}", f"{a}.{b}.{c}", a + b + c))
+    if name == "ssn":
+        span = f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}" if yes else f"{r.choice(('000', '666', str(r.randint(900, 999)), d(3)))}-{d(2)}-{d(4)}"
+        return r.choice(("ssn ", "social security ", "SSN: ", "")) if yes else r.choice(("part ", "order ", "version ", "invoice ", "id ")), span
+    if name == "iban":
+        body, number = r.choice(("DE", "FR", "ES", "GB")), d(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in number + body + "00")) % 97
+        span = f"{body}{check if yes else (check + r.randint(1, 60)) % 98:02d}{number}"
+        return r.choice(("iban ", "account ", "")) if yes else r.choice(("part ", "order ", "account ", "")), span
+    span = ":".join(f"{r.randint(0, 255):02x}" for _ in range(6)) if yes else ":".join(d(2) for _ in range(6))
+    return r.choice(("mac ", "MAC: ", "")) if yes else r.choice(("version ", "id ", "")), span
+
+
 def examples(n: int, seed: int) -> list[tuple[int, str, int, int, int]]:
-    """generator, text, start, end, label: generated data of the kinds without a base rule, in fitting contexts, and numbers and
-    codes that look alike; the same cues stand before some of both."""
+    """generator, text, start, end, label: generated data of every kind in fitting contexts, and numbers, names and codes that look
+    alike; the same cues stand before some of both."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("the", "an", "er", "is", "to", "on", "re", "ing", "la", "que")) for _ in range(r.randint(1, 3)))
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     out = []
     while len(out) < n:
-        name, yes = r.choice(("ssn", "iban", "mac")), r.random() < 0.5
-        if name == "ssn":
-            span = f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}" if yes else f"{r.choice(('000', '666', str(r.randint(900, 999)), d(3)))}-{d(2)}-{d(4)}"
-            cue = r.choice(("ssn ", "social security ", "SSN: ", "")) if yes else r.choice(("part ", "order ", "version ", "invoice ", "id "))
-        elif name == "iban":
-            body, number = r.choice(("DE", "FR", "ES", "GB")), d(18)
-            check = 98 - int("".join(str(int(c, 36)) for c in number + body + "00")) % 97
-            span = f"{body}{check if yes else (check + r.randint(1, 60)) % 98:02d}{number}"
-            cue = r.choice(("iban ", "account ", "")) if yes else r.choice(("part ", "order ", "account ", ""))
-        else:
-            span = ":".join(f"{r.randint(0, 255):02x}" for _ in range(6)) if yes else ":".join(d(2) for _ in range(6))
-            cue = r.choice(("mac ", "MAC: ", "")) if yes else r.choice(("version ", "id ", ""))
+        name, yes = r.choice(NAMES), r.random() < 0.5
+        cue, span = _example(name, yes, r, d, word)
         text = " ".join(word() for _ in range(4)) + " " + cue + span + r.choice((" ", ". ", ", ")) + word()
-        out += [(NAMES.index(name), text, m.start(), m.end(), int(yes)) for m in GENERATORS[name].finditer(text)]
+        out += [(n_, text, a, b, int(yes)) for n_, a, b in proposals(text) if NAMES[n_] == name]
     return out[:n]
 
 
@@ -224,8 +275,17 @@ def _covered(base: list[tuple[int, int, int]], n: int, start: int, end: int) ->
     return int(any(k == n and a < end and b > start for k, a, b in base))
 
 
+def _label(base: list[tuple[int, int, int]], n: int, text: str, start: int, end: int) -> int | None:
+    """1 for a span of its own base kind; 0 for part of another one, and for what fails the kind's own check; None where no rule tells."""
+    if _covered(base, n, start, end):
+        return 1
+    if any(a < end and b > start for _, a, b in base) or NAMES[n] == "ip_like":
+        return 0
+    return 0 if NAMES[n] == "card_like" and not luhn(_digits(text[start:end])) else None
+
+
 def _candidates(batches):
-    """(digest, features, label) of the candidates that a base rule labels."""
+    """(digest, features, label) of the candidates that the base rules label."""
     names = ["digest", "features", "label"]
     for batch in batches:
         rows = []
@@ -234,7 +294,7 @@ def _candidates(batches):
             found = [c for c in proposals(text) if c[0] < len(KINDS)]
             if found:
                 base, key = base_spans(text), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-                rows += [((key + a * 0x9E3779B97F4A7C15) % (1 << 63), features(n, text, a, b), _covered(base, n, a, b)) for n, a, b in found]
+                rows += [((key + a * 0x9E3779B97F4A7C15) % (1 << 63), features(n, text, a, b), label) for n, a, b in found if (label := _label(base, n, text, a, b)) is not None]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.int64()), strict=True)], names=names)
 
@@ -246,18 +306,17 @@ class Model:
     thresholds: tuple[float, ...]
 
 
-def calibrated(p: np.ndarray, y: np.ndarray, precision: float = PRECISION, least: int = LEAST) -> float:
-    """The lowest threshold at which so many examples or more are taken with that precision, halfway to the next lower example;
-    none reaches it: above 1."""
+def calibrated(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The lowest threshold at which what is taken has that precision, halfway to the next lower example; none reaches it: above 1."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.append(p[order][1:] != p[order][:-1], True)  # equal probabilities are taken together
-    good = np.flatnonzero((hits >= precision) & last & (np.arange(1, len(y) + 1) >= least))
+    good = np.flatnonzero((hits >= precision) & last)
     return float(np.append(p[order], 0.0)[good[-1] : good[-1] + 2].mean()) if len(good) else 2.0
 
 
 def fitted(docs: DataFrame, most: int = CANDIDATES, seed: int = 5) -> Model:
-    """The model of the documents; without any candidate the kinds that have a base rule add nothing."""
+    """The model of the documents; without any candidate it is that of the generated examples."""
     rows = docs.select("text").mapInArrow(_candidates, "digest long, features array<double>, label long")
     rows = stored(rows.orderBy("digest", "label", F.xxhash64("features")).limit(most), "op5-candidates").collect()  # `most` at most
     # A digest is that of a text and a place, so copies of a candidate are on one side.
