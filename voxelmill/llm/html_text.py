@@ -4,8 +4,10 @@ The DOMs of a host's pages are merged into a style tree: a node is a path of ele
 Over the host's distinct pages a node has an entropy of content (its texts) and one of presentation (the sequence of the
 elements that it holds), both against the entropy of the pages: a node that reads the same and is laid out the same on most
 pages is of low importance, inside an article as outside. What names itself a menu, header, footer, sidebar, notice, advert,
-form or comments, by its element or its class, id or role, is of none; such parts may differ from page to page. Every page
-loses these branches, and the rest, inside its article where there is one, is its text.
+form or comments, by its element or its class, id or role, is of none; such parts may differ from page to page. Inside an article
+an id alone tells that of a plain box only: sections, paragraphs and headings are named for a table of contents. Every page
+loses these branches, and the rest, inside its article where there is one, is its text; a headline or a lead that stands in front
+of the article element isn't part of it.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ _ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>
 _NAMES = frozenset(("class", "id", "role"))
 _ARTICLE = frozenset(("article", "main"))
 _WHOLE = frozenset(("html", "body", "main", "article"))
+#: What a page's furniture is made of; the id of such an element inside an article may name a part that isn't the article's.
+_BOXES = frozenset(("div", "ul", "ol", "table"))
 #: A style node is of low importance if its entropies of content and of presentation are at most this share of that of the pages,
 #: on so many distinct pages or more, and on this share of the host's.
 LOW, PAGES, SHARE = 0.2, 4, 0.5
@@ -62,9 +66,9 @@ class _Node:
             name, value = name.lower(), a or b or c
             hidden = hidden or name == "hidden"
             if name in _NAMES and value:
-                names.append(value)
+                names.append((name, value))
                 main = main or (name == "role" and "main" in value.lower().split())
-        named = " ".join(names)
+        named = " ".join(value for _, value in names)
         body = "articlebody" in attrs.lower()
         within = up.inside if up else False
         self.tag, self.at, self.mark = tag, at, 0
@@ -72,10 +76,11 @@ class _Node:
         self.holds = tag in _ARTICLE or main or body
         self.owner = self if tag not in INLINE or up is None else up.owner
         self.named = self.reply = False
-        # The name of a heading inside an article is a place to jump to.
+        # Inside an article the name of a heading, and the id of anything but a box, is a place to jump to.
         if named and not (tag in _WHOLE or main or body or at in spared or (within and tag in HEADINGS)):
             # A header inside an article holds its headline.
-            found = [m for m in map(ROLES.fullmatch, named.split()) if m and not (within and m["head"])]
+            told = [x for k, x in names if not (within and k == "id" and (tag not in _BOXES or "section" in named.lower().split()))]
+            found = [m for m in map(ROLES.fullmatch, " ".join(told).split()) if m and not (within and m["head"])]
             self.named, self.reply = bool(found), any(m["reply"] or m["replies"] for m in found)
         self.dropped = (up.dropped if up else False) or tag in DROPPED or (tag == "header" and not within) or hidden or self.named
         self.key = tag + re.sub(r"\d+", "#", f".{named}" if named else "")
