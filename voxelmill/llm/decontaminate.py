@@ -42,8 +42,9 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def prefixes(docs: DataFrame, wins: DataFrame, shingle: int) -> DataFrame:
     """(w, items, k, off, gkey): every window that can occur, with its rarest shingle (of k words) at the offset off."""
     wins = wins.withColumn("k", F.least(F.size("w"), F.lit(shingle)))
-    known = wins.select(F.explode("w").alias("word")).distinct()
-    counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times")).join(known, "word")
+    known = small(stored(wins.select(F.explode("w").alias("word")).distinct(), "op1-words"))
+    # Other words go no further than the task that reads them.
+    counts = docs.select(F.explode(words(F.col("text"))).alias("word")).join(known, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("times"))
     at = wins.select("w", "items", "k", F.posexplode("w").alias("at", "word")).join(counts, "word", "left")
     times = F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("times", F.lit(0)).alias("n")))), lambda x: x["n"])
     own = at.groupBy("w", "items", "k").agg(times.alias("times")).filter(~F.array_contains("times", F.lit(0).cast("long")))
