@@ -241,3 +241,19 @@ def test_archive_is_found_by_its_index_alone(spark):
 @pytest.mark.parametrize(("url", "key"), [("http://Ab.Example.org/X?y#z", "org,example,ab)/X?y"), ("https://a.b", "b,a)/"), ("http://u:p@a.b:80?q", "b,a:80)?q"), ("http://10.0.0.1/", "10.0.0.1)/"), ("http://[::1]/x", "[::1])/x"), ("/only/path#f", ")/only/path"), (None, ")/"), ("http://a/b c\n", "a)/b%20c%0A")])
 def test_url_keys(url, key):
     assert warc.url_key(url) == key
+
+
+@pytest.mark.parametrize("name", ["op11_warc", "op12_prefix_trie"])
+def test_queries_equal_their_sql(spark, name):
+    import os
+
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for t in ("pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    module = warc if name.startswith("op11") else prefix_trie
+    c.execute(module.SQL[name])
+    names = [x[0] for x in c.description]
+    assert sorted(map(str, c.fetchall())) == sorted(str(tuple(q[n] for n in names)) for q in getattr(module, name)(spark, folder).collect())

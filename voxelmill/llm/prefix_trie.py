@@ -202,4 +202,19 @@ def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(turns_of(read(spark, sf_dir, "conversations"))))
 
 
-SQL: dict[str, str] = {}
+#: crc32 of the decimal conv_id s, byte by byte and bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(s) + 1), lambda i: ord(substr(s, i, 1))::UBIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT)"
+SQL = {
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c0 AS (SELECT conv_id, count(*) AS own, conv_id::VARCHAR AS s FROM t GROUP BY conv_id), c1 AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, CAST({_CRC} % 6 AS BIGINT) AS h FROM c0),
+c AS (SELECT c1.*, least(h, coalesce(b.own, 0)) AS taken FROM c1 LEFT JOIN c0 b ON b.conv_id = base),
+r AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = base AND pos <= taken UNION ALL SELECT c.conv_id, pos - h + taken, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+k AS (SELECT conv_id, pos AS depth, length(text) AS size, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path FROM r),
+m AS (SELECT conv_id, depth, size, md5(path) AS node FROM k UNION ALL SELECT conv_id, 0, 0, 'root' FROM c), l AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM m),
+n AS (SELECT node, any_value(depth) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM l GROUP BY node),
+ch AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up), below AS (SELECT DISTINCT a.node, b.node AS sub FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.depth >= a.depth),
+s AS (SELECT below.node, sum((x.n_convs - 1) * x.size) AS saved, count(*) FILTER (WHERE ch.node IS NULL) AS leaves FROM below JOIN n x ON x.node = sub LEFT JOIN ch ON ch.node = sub GROUP BY below.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN ch USING (node) LEFT JOIN n u ON u.node = n.up"""
+}

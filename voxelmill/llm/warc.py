@@ -294,4 +294,11 @@ def op11_warc(spark, sf_dir: str) -> DataFrame:
     return read_records(found, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL: dict[str, str] = {}
+#: Base32 of a digest's hexadecimal d: five digits are four characters.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(d, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1)::BIGINT, 1)), '')"
+SQL = {
+    "op11_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), g AS (SELECT d, max(page_id) AS top FROM p GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p JOIN g USING (d)"""
+}
