@@ -85,11 +85,11 @@ def box_gaps(spark, d):
     return joins.box_gaps(boxes, 0.03).withColumn("gap", F.round("gap", 9))
 
 
-@query(f"WITH {A.EX}, p AS (SELECT id, e3 / l AS nx, e4 / l AS ny, e5 / l AS nz FROM (SELECT *, sqrt(e3 * e3 + e4 * e4 + e5 * e5) AS l FROM ex WHERE id < 60)), q AS (SELECT a.id AS a, b.id AS b, degrees(acos(least(abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz), 1.0::DOUBLE))) AS degrees FROM p a JOIN p b ON a.id < b.id) SELECT a, b, round(degrees, 6) AS degrees FROM q WHERE degrees >= 25")
+@query(f"WITH {A.EX}, p AS (SELECT id, e3 / l AS nx, e4 / l AS ny, e5 / l AS nz FROM (SELECT *, sqrt(e3 * e3 + e4 * e4 + e5 * e5) AS l FROM ex)), q AS (SELECT a.id AS a, b.id AS b, degrees(acos(least(abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz), 1.0::DOUBLE))) AS degrees FROM p a JOIN p b ON a.id < b.id) SELECT a, b, round(degrees, 6) AS degrees FROM q WHERE degrees >= 25")
 def plane_pairs(spark, d):
     from ..operators import attributes
 
-    p = attributes.unit_normals(A.vec_parts(spark, d).filter("id < 60"), ("e3", "e4", "e5")).withColumnRenamed("id", "plane")
+    p = attributes.unit_normals(A.vec_parts(spark, d), ("e3", "e4", "e5")).withColumnRenamed("id", "plane")
     return joins.plane_pairs(p, 25.0).withColumn("degrees", F.round("degrees", 6))
 
 

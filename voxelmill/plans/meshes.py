@@ -76,9 +76,9 @@ def shared_points(spark, d):
     return meshes.shared_vertices(A.faces(spark, d))
 
 
-@query(f"WITH {A.FC}, f2 AS (SELECT face, (a + b) % 40 AS owner, a, b, c FROM fc WHERE face % 3 = 0), s AS (SELECT v FROM (SELECT owner, unnest([a, b, c]) AS v FROM f2) GROUP BY v HAVING count(DISTINCT owner) > 6) SELECT face FROM f2 WHERE a IN (SELECT v FROM s) OR b IN (SELECT v FROM s) OR c IN (SELECT v FROM s)")
+@query(f"WITH {A.FC}, f2 AS (SELECT face, (a + b) % 40 AS owner, a, b, c FROM fc), s AS (SELECT v FROM (SELECT owner, unnest([a, b, c]) AS v FROM f2) GROUP BY v HAVING count(DISTINCT owner) > 6) SELECT face FROM f2 WHERE a IN (SELECT v FROM s) OR b IN (SELECT v FROM s) OR c IN (SELECT v FROM s)")
 def crowded_faces(spark, d):
-    f = A.faces(spark, d).filter("face % 3 = 0").withColumn("owner", (F.col("a") + F.col("b")) % 40)
+    f = A.faces(spark, d).withColumn("owner", (F.col("a") + F.col("b")) % 40)
     v = f.select("face", F.explode(F.array("a", "b", "c")).alias("v"))
     return v.join(meshes.shared_vertices(f).filter("owners > 6"), "v", "left_semi").select("face").distinct()
 
@@ -106,9 +106,9 @@ def support_gates(spark, d):
     return meshes.supported(_cornered(spark, d), n, 0.5, 0.1, -0.5, 0.005)
 
 
-@query(f"WITH RECURSIVE {A.FC}, f AS (SELECT face, a, b, c FROM fc WHERE face % 40 = 0), l AS (SELECT p.face AS s, q.face AS t FROM f p JOIN f q ON p.face <> q.face AND len(list_intersect([p.a, p.b, p.c], [q.a, q.b, q.c])) > 0), r(face, root) AS (SELECT face, face FROM f UNION SELECT l.t, r.root FROM r JOIN l ON l.s = r.face WHERE r.root < l.t) SELECT face, min(root) AS component FROM r GROUP BY face")
+@query(f"WITH RECURSIVE {A.FC}, l AS (SELECT a AS s, b AS t FROM fc UNION SELECT b, a FROM fc UNION SELECT b, c FROM fc UNION SELECT c, b FROM fc), r(v, root) AS (SELECT DISTINCT s, s FROM l UNION SELECT l.t, r.root FROM r JOIN l ON l.s = r.v), k AS (SELECT v, min(root) AS root FROM r GROUP BY v), m AS (SELECT root, min(face) AS component FROM fc JOIN k ON v = a GROUP BY root) SELECT face, component FROM fc JOIN k ON v = a JOIN m USING (root)")
 def mesh_components(spark, d):
-    f = A.faces(spark, d).filter("face % 40 = 0")
+    f = A.faces(spark, d)
     return graphs.labelled(f.select("face"), "face", meshes.face_links(f))
 
 

@@ -37,14 +37,17 @@ def components_nested(spark, d):
 _ISL = """o AS (SELECT ep.*, c1.label, c2.label AS parent, ep.id % 50 = 0 AS held FROM ep JOIN c1 USING (id) JOIN c2 ON c2.id = ep.id),
 m AS (SELECT label, any_value(parent) AS parent, count(*) AS n, bool_or(held) AS held, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM o GROUP BY label),
 p AS (SELECT parent, bool_or(held) AS above, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) AS wide FROM o GROUP BY parent),
-b AS (SELECT o.* FROM o JOIN m USING (label) WHERE m.held), f AS (SELECT DISTINCT a.label FROM o a JOIN m USING (label), b WHERE NOT m.held AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.05::DOUBLE)"""
+b AS (SELECT o.* FROM o JOIN m USING (label) WHERE m.held), f AS (SELECT DISTINCT a.label FROM o a JOIN m USING (label), b WHERE NOT m.held AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.05::DOUBLE),
+q1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), q2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS r FROM q1),
+q3 AS (SELECT *, CASE WHEN r = 0 THEN 0 ELSE acos(greatest(least(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * r * r * r), 1.0::DOUBLE), -1.0::DOUBLE)) / 3 END AS a FROM q2),
+q4 AS (SELECT label, q, q + 2 * r * cos(a) AS big, q + 2 * r * cos(a + 2 * pi() / 3) AS small FROM q3), q5 AS (SELECT label, big, 3 * q - big - small AS mid, small FROM q4),
+sh AS (SELECT label, CASE WHEN mid <= 1e-24 THEN 1.0::DOUBLE ELSE small / mid END AS flat, CASE WHEN big <= 1e-24 THEN 1.0::DOUBLE ELSE mid / big END AS thin FROM q5)"""
 
 
-@query(f"WITH RECURSIVE {A.EP}, {_COMP(0.04, 1)}, {_COMP(0.07, 2)}, {_ISL} SELECT m.label, m.n, CASE WHEN m.held THEN 0 WHEN p.above OR p.wide > 0.2::DOUBLE OR f.label IS NOT NULL THEN 2 ELSE 1 END AS class FROM m JOIN p USING (parent) LEFT JOIN f ON f.label = m.label WHERE m.n < 6")
+@query(f"WITH RECURSIVE {A.EP}, {_COMP(0.04, 1)}, {_COMP(0.07, 2)}, {_ISL} SELECT m.label, m.n, CASE WHEN m.held THEN 0 WHEN p.above OR p.wide > 0.2::DOUBLE OR f.label IS NOT NULL OR (m.n >= 12 AND sh.flat <= 0.04::DOUBLE AND sh.thin > 0.04::DOUBLE) OR (m.n >= 6 AND sh.thin <= 0.04::DOUBLE) THEN 2 ELSE 1 END AS class FROM m JOIN sh USING (label) JOIN p USING (parent) LEFT JOIN f ON f.label = m.label")
 def island_classes(spark, d):
-    """Islands below six points, which no shape guards; tests hold those that are planar or linear."""
     p = A.vec_points(spark, d)
-    return shapes.island_classes(p, p.filter("id % 50 = 0"), (0.04, 0.07), 0.2, 0.05).filter("n < 6")
+    return shapes.island_classes(p, p.filter("id % 50 = 0"), (0.04, 0.07), 0.2, 0.05)
 
 
 @query()
@@ -85,11 +88,11 @@ def geometric_votes(spark, d):
     return out.select("id", F.col("keep").alias("sor_keep"), F.coalesce("supported", F.lit(0)).alias("supported"), F.coalesce("consistent", F.lit(0)).alias("consistent"), (F.col("keep") & ~rejected).alias("keep"))
 
 
-_PB = "pb AS (SELECT id AS plane, x, y, z, e3 / l AS nx, e4 / l AS ny, e5 / l AS nz FROM (SELECT *, sqrt(e3 * e3 + e4 * e4 + e5 * e5) AS l FROM ex WHERE id < 60)), po AS (SELECT *, -(nx * x + ny * y + nz * z) AS off FROM pb)"
+_PB = "pb AS (SELECT id AS plane, x, y, z, e3 / l AS nx, e4 / l AS ny, e5 / l AS nz FROM (SELECT *, sqrt(e3 * e3 + e4 * e4 + e5 * e5) AS l FROM ex)), po AS (SELECT *, -(nx * x + ny * y + nz * z) AS off FROM pb)"
 
 
 def _planes(spark, d):
-    p = attributes.unit_normals(A.vec_parts(spark, d).filter("id < 60"), ("e3", "e4", "e5")).withColumnRenamed("id", "plane")
+    p = attributes.unit_normals(A.vec_parts(spark, d), ("e3", "e4", "e5")).withColumnRenamed("id", "plane")
     return p.withColumn("offset", -(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")))
 
 
@@ -150,20 +153,21 @@ def loop_areas(spark, d):
 _CS = f"""q AS (SELECT line, k, {', '.join(f'{a} + least((k * step - s) / d, 1.0::DOUBLE) * (b_{a} - {a}) AS {a}' for a in 'xyz')}, CASE WHEN k = 0 OR k = n THEN step / 2 ELSE step END AS weight FROM j WHERE r = 1),
 f AS (SELECT q.line, q.k, any_value(q.weight) AS weight, coalesce(min(sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z))) FILTER (WHERE sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) <= 0.15::DOUBLE), 0.15::DOUBLE) AS dist FROM q, (SELECT * FROM ep WHERE id % 2 = 1) p GROUP BY q.line, q.k),
 g AS (SELECT *, sum((dist <= 0.08::DOUBLE)::INT) OVER (PARTITION BY line ORDER BY k ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY line) AS total FROM f),
-h AS (SELECT line, run, sum(CASE WHEN dist <= 0.08::DOUBLE THEN 0.0::DOUBLE ELSE weight END) AS w FROM g GROUP BY ALL)"""
+h AS (SELECT line, run, sum(CASE WHEN dist <= 0.08::DOUBLE THEN 0.0::DOUBLE ELSE weight END) AS w FROM g GROUP BY ALL),
+jw AS (SELECT line, dist, sum(weight) OVER (PARTITION BY line ORDER BY dist RANGE UNBOUNDED PRECEDING) AS upto, sum(weight) OVER (PARTITION BY line) AS whole FROM f)"""
 
 
-@query(f"WITH {A.EP}, {_PL}, {_CS} SELECT f.line, count(*) AS samples, round(sum(CASE WHEN dist <= 0.08::DOUBLE THEN weight ELSE 0.0::DOUBLE END) / sum(weight), 6) AS supported, round((SELECT max(w) FROM h WHERE h.line = f.line), 6) AS longest FROM f GROUP BY f.line")
+@query(f"WITH {A.EP}, {_PL}, {_CS} SELECT f.line, count(*) AS samples, round(sum(CASE WHEN dist <= 0.08::DOUBLE THEN weight ELSE 0.0::DOUBLE END) / sum(weight), 6) AS supported, round((SELECT min(jw.dist) FROM jw WHERE jw.line = f.line AND jw.upto >= 0.95::DOUBLE * jw.whole), 6) AS p95, round((SELECT max(w) FROM h WHERE h.line = f.line), 6) AS longest FROM f GROUP BY f.line")
 def curve_support(spark, d):
     p = A.vec_points(spark, d)
     samples = windows.resampled(p.withColumns({"line": F.floor(F.col("id") / 5), "o": F.col("id") % 5}), "line", "o", 0.05)
     out = shapes.curve_support(samples, p.filter("id % 2 = 1").withColumnRenamed("id", "oid"), "line", 0.15, 0.08)
-    return out.select("line", "samples", F.round("supported", 6).alias("supported"), F.round("longest", 6).alias("longest"))
+    return out.select("line", "samples", F.round("supported", 6).alias("supported"), F.round("p95", 6).alias("p95"), F.round("longest", 6).alias("longest"))
 
 
-@query(f"WITH RECURSIVE {A.FC}, e AS (SELECT a AS src, b AS dst FROM fc WHERE face % 60 = 0 UNION SELECT b, c FROM fc WHERE face % 60 = 0), r(node) AS (SELECT 0::BIGINT UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {A.FC}, e AS (SELECT a AS src, b AS dst FROM fc UNION SELECT b, c FROM fc), r(node) AS (SELECT 0::BIGINT UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
 def reached_nodes(spark, d):
-    f = A.faces(spark, d).filter("face % 60 = 0")
+    f = A.faces(spark, d)
     e = f.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(f.select("b", "c")).distinct()
     return graphs.reached(spark.range(1).withColumnRenamed("id", "node"), e).select("node")
 

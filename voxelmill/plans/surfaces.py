@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import contours, masks, patches, registration, terrain
+from ..operators import claims, contours, edges, masks, patches, regions, registration, terrain
 from ..sources.folders import shared
 from . import adapters as A
 from .columns import _r
@@ -131,3 +131,93 @@ def heading_sweep(spark, d):
     p = A.vec_points(spark, d)
     other = p.select((F.col("x") + 0.1).alias("x"), (F.col("y") - 0.05).alias("y"), "z")
     return registration.sweep(p, other, _HEADINGS, 0.05, 0.2).withColumn("score", F.round("score", 9))
+
+
+_ROAD = """rb AS (SELECT min(ix) AS lx, max(ix) AS ux, min(iy) AS ly, max(iy) AS uy FROM c0), gr AS (SELECT ix, iy FROM (SELECT unnest(range(lx, ux + 1)) AS ix FROM rb), (SELECT unnest(range(ly, uy + 1)) AS iy FROM rb)),
+rt AS (SELECT ix, iy, coalesce(n, 0) * 0.02::DOUBLE AS height, coalesce(n, 0) > 2 AND (ix * 5 + iy * 3) % 29 <> 0 AS paved FROM gr LEFT JOIN c0 USING (ix, iy)),
+ed AS (SELECT a.ix, a.iy, sqrt(min((a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy))) AS edge FROM rt a, rt b WHERE a.paved AND NOT b.paved GROUP BY a.ix, a.iy),
+dp AS (SELECT ix, iy, height FROM rt JOIN ed USING (ix, iy) WHERE edge >= 1.2::DOUBLE), pr AS (SELECT a.ix AS ax, a.iy AS ay, b.ix AS cx, b.iy AS cy FROM dp a JOIN dp b ON (b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1) WHERE abs(b.height - a.height) > 0.3::DOUBLE),
+st AS (SELECT ax AS ix, ay AS iy FROM pr UNION SELECT cx, cy FROM pr), aw AS (SELECT a.ix, a.iy, sqrt(min((a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy))) AS away FROM rt a, st b GROUP BY a.ix, a.iy),
+t0 AS (SELECT t, exp(-0.5::DOUBLE * (t / 1.5::DOUBLE) * (t / 1.5::DOUBLE)) AS g FROM (SELECT unnest(range(-6, 7)) AS t)), tp AS (SELECT t, g / (SELECT sum(g) FROM t0) AS w FROM t0),
+gx AS (SELECT a.ix, a.iy, sum(w * CASE WHEN b.paved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m, sum(w * CASE WHEN b.paved THEN b.height ELSE 0.0::DOUBLE END) AS v FROM rt a, tp, rb JOIN rt b ON b.iy = a.iy AND b.ix = greatest(least(a.ix + t, ux), lx) GROUP BY a.ix, a.iy),
+gy AS (SELECT a.ix, a.iy, sum(w * b.m) AS m, sum(w * b.v) AS v FROM rt a, tp, rb JOIN gx b ON b.ix = a.ix AND b.iy = greatest(least(a.iy + t, uy), ly) GROUP BY a.ix, a.iy),
+sh AS (SELECT rt.ix, rt.iy, height, paved, greatest(least((8 - away) / 6.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) * greatest(least(coalesce(edge, 0) / 1.2::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) AS share, v / greatest(m, 1e-6) AS mean FROM rt LEFT JOIN ed USING (ix, iy) JOIN aw USING (ix, iy) JOIN gy USING (ix, iy))"""
+
+
+@query(f"WITH {A.LP}, {_C}, {_ROAD} SELECT ix, iy, round(height, 7) AS height, round(CASE WHEN paved AND share > 0 THEN height + (mean - height) * share ELSE height END, 7) AS repaired FROM sh")
+def road_heights(spark, d):
+    shared(spark)
+    ix, iy = F.floor(F.col("x") * 0.5), F.floor(F.col("y") * 0.25)
+    n = A.line_points(spark, d).groupBy(ix.alias("ix"), iy.alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+    box = n.agg(F.min("ix").alias("lx"), F.max("ix").alias("ux"), F.min("iy").alias("ly"), F.max("iy").alias("uy"))
+    grid = box.select("ly", "uy", F.explode(F.sequence("lx", "ux")).alias("ix")).select("ix", F.explode(F.sequence("ly", "uy")).alias("iy"))
+    n = grid.join(n, ["ix", "iy"], "left").fillna(0, ["n"])
+    raster = n.select("ix", "iy", (F.col("n") * 0.02).alias("height"), ((F.col("n") > 2) & ((F.col("ix") * 5 + F.col("iy") * 3) % 29 != 0)).alias("paved"))
+    return masks.repaired_heights(raster, 0.3, 1.2, 1.5, 8.0, 6.0).withColumns(_r("height repaired", 7))
+
+
+# References are segments from every third point; predictions parts of them, shifted a little, some of them twice.
+_SEGS = """rf AS (SELECT id, id % 2 + 1 AS kind, x AS ax, y AS ay, z AS az, x + e3 AS bx, y + e4 AS b_y, z + e5 AS bz FROM ex WHERE id % 3 = 0),
+pd AS (SELECT p.id, r.id % 2 + 1 AS kind, r.x + r.e3 * s + p.e6 * w AS ax, r.y + r.e4 * s + p.e7 * w AS ay, r.z + r.e5 * s + p.e8 * w AS az, r.x + r.e3 * e + p.e7 * w AS bx, r.y + r.e4 * e + p.e8 * w AS b_y, r.z + r.e5 * e + p.e6 * w AS bz FROM (SELECT *, id % 3 * 0.25::DOUBLE - 0.1::DOUBLE AS s, id % 3 * 0.25::DOUBLE + 0.5::DOUBLE AS e, CASE WHEN id % 3 = 2 THEN 0.0::DOUBLE ELSE 0.08::DOUBLE END AS w FROM ex) p JOIN ex r ON r.id = p.id - p.id % 3)"""
+_EDGE = """pm AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) + (bz - az) * (bz - az)) AS len FROM pd), rm AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) + (bz - az) * (bz - az)) AS len FROM rf),
+pu AS (SELECT *, (bx - ax) / len AS dx, (b_y - ay) / len AS dy, (bz - az) / len AS dz FROM pm), ru AS (SELECT *, (bx - ax) / len AS dx, (b_y - ay) / len AS dy, (bz - az) / len AS dz FROM rm),
+j1 AS (SELECT p.kind, p.id, r.id AS oid, p.len, r.len AS olen, p.dx * r.dx + p.dy * r.dy + p.dz * r.dz AS c, (p.ax - r.ax) * r.dx + (p.ay - r.ay) * r.dy + (p.az - r.az) * r.dz AS o, (p.ay - r.ay) * r.dz - (p.az - r.az) * r.dy AS px, (p.az - r.az) * r.dx - (p.ax - r.ax) * r.dz AS py, (p.ax - r.ax) * r.dy - (p.ay - r.ay) * r.dx AS pz, p.dy * r.dz - p.dz * r.dy AS sx, p.dz * r.dx - p.dx * r.dz AS sy, p.dx * r.dy - p.dy * r.dx AS sz FROM pu p JOIN ru r USING (kind)),
+j2 AS (SELECT *, sx * sx + sy * sy + sz * sz AS ss, px * sx + py * sy + pz * sz AS ps, px * px + py * py + pz * pz AS pp, greatest(0, least(-o / c, (olen - o) / c)) AS l0, least(len, greatest(-o / c, (olen - o) / c)) AS h0 FROM j1 WHERE abs(c) >= cos(radians(15)) - 1e-14),
+j3 AS (SELECT *, CASE WHEN ss > 0 THEN pp - ps * ps / ss ELSE pp END AS rest FROM j2 WHERE h0 > l0), j4 AS (SELECT *, CASE WHEN ss > 0 THEN sqrt(greatest(0.0025::DOUBLE - rest, 0) / ss) END AS r FROM j3 WHERE rest <= 0.0025::DOUBLE),
+j5 AS (SELECT kind, id, oid, o, c, olen, CASE WHEN ss > 0 THEN greatest(l0, -ps / ss - r) ELSE l0 END AS low, CASE WHEN ss > 0 THEN least(h0, -ps / ss + r) ELSE h0 END AS high FROM j4),
+mt AS (SELECT kind, id, oid, low, high, greatest(0, least(o + c * low, o + c * high)) AS olow, least(olen, greatest(o + c * low, o + c * high)) AS ohigh FROM j5 WHERE high > low)"""
+
+
+def _segments(spark, d):
+    p = A.vec_parts(spark, d)
+    n = F.col("id") % 3
+    ends = dict(zip(("ax", "ay", "az", "bx", "by", "bz"), [*[F.col(a) for a in "xyz"], *[F.col(a) + F.col(e) for a, e in zip("xyz", ("e3", "e4", "e5"), strict=True)]], strict=True))
+    reference = p.filter(n == 0).select("id", (F.col("id") % 2 + 1).alias("kind"), *[c.alias(k) for k, c in ends.items()])
+    base = p.select(F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in ("x", "y", "z", "e3", "e4", "e5")])
+    own = p.withColumns({"r": F.col("id") - n, "s": n * 0.25 - 0.1, "e": n * 0.25 + 0.5, "w": F.when(n == 2, 0.0).otherwise(0.08)}).join(base, "r")
+    at = lambda t, shift: [F.col(f"r_{a}") + F.col(f"r_{e}") * F.col(t) + F.col(f) * F.col("w") for a, e, f in zip("xyz", ("e3", "e4", "e5"), shift, strict=True)]
+    predicted = own.select("id", (F.col("r") % 2 + 1).alias("kind"), *[c.alias(k) for k, c in zip(ends, [*at("s", ("e6", "e7", "e8")), *at("e", ("e7", "e8", "e6"))], strict=True)])
+    return predicted, reference
+
+
+@query(f"WITH {A.EX}, {_SEGS}, {_EDGE} SELECT kind, id, oid, round(low, 7) AS low, round(high, 7) AS high, round(olow, 7) AS olow, round(ohigh, 7) AS ohigh FROM mt WHERE high - low > 1e-6")
+def edge_matches(spark, d):
+    predicted, reference = _segments(spark, d)
+    got = edges.matches(edges.measured(predicted), edges.measured(reference), 0.05, 15.0, 0.25)
+    return got.filter("high - low > 1e-6").withColumns(_r("low high olow ohigh", 7))
+
+
+_UNION = lambda name, key, low, high: f"{name}0 AS (SELECT *, max({high}) OVER (PARTITION BY {key} ORDER BY {low}, {high} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM mt), {name} AS (SELECT {key}, sum(greatest(0, {high} - greatest({low}, coalesce(upto, {low})))) AS covered FROM {name}0 GROUP BY {key})"
+
+
+@query(f"WITH {A.EX}, {_SEGS}, {_EDGE}, {_UNION('u', 'kind, id', 'low', 'high')}, {_UNION('v', 'kind, oid', 'olow', 'ohigh')} SELECT pr.kind, round(raw, 5) AS raw, round(own, 5) AS own, round(reference, 5) AS reference, round(matched, 5) AS matched, round(found, 5) AS found, round(matched / own, 6) AS precision, round(found / reference, 6) AS recall, hits FROM (SELECT kind, sum(len) AS raw, sum(len) AS own FROM pm GROUP BY kind) pr JOIN (SELECT kind, sum(len) AS reference FROM rm GROUP BY kind) USING (kind) JOIN (SELECT kind, sum(covered) AS matched FROM u GROUP BY kind) USING (kind) JOIN (SELECT kind, sum(covered) AS found FROM v GROUP BY kind) USING (kind) JOIN (SELECT kind, count(*) AS hits FROM mt GROUP BY kind) USING (kind)")
+def edge_lengths(spark, d):
+    predicted, reference = _segments(spark, d)
+    out = edges.quality(predicted, reference, 0.05, 15.0, 0.25)
+    hits = F.aggregate("fragments", F.lit(0).cast("long"), lambda s, f: s + f["n"])
+    return out.select("kind", *[F.round(c, 5).alias(c) for c in ("raw", "own", "reference", "matched", "found")], F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), hits.alias("hits"))
+
+
+@query()
+def drawn_planes(spark, d):
+    """Draws have no SQL; tests hold planted planes, and that neither blocks nor partitions matter."""
+    planes, _ = regions.region_planes(_floor(spark, d), 10.0, 0.02, 0.05, 24, 2, 40)
+    return planes.withColumns(_r("nx ny nz offset", 6))
+
+
+@query()
+def ordered_claims(spark, d):
+    """An ordered fold has no SQL; held against one in the tests."""
+    shared(spark)
+    p = A.vec_parts(spark, d)
+    at = p.select("id", F.explode(F.array(*[F.floor(F.col(a) / 0.05) * 3 + n for n, a in enumerate("xyz")])).alias("plane"), (F.col("e3") > 0).alias("vote"))
+    return claims.claims(at, at.select("plane", (F.col("plane") % 3 == 2).alias("gated")))
+
+
+@query()
+def edge_clusters(spark, d):
+    """Points in turn join the first cluster all of whose members are near; held against the loop in the tests."""
+    from ..operators import neighbours
+
+    p = A.vec_points(spark, d)
+    return claims.complete_linkage(p.select(F.col("id").alias("item"), F.col("x").alias("order")), neighbours.radius_pairs(p, 0.1))

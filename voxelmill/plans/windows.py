@@ -154,14 +154,14 @@ def resampled_lines(spark, d):
     return out.select("line", "k", *[F.round(a, 6).alias(a) for a in "xyz"], F.round("weight", 8).alias("weight"))
 
 
-@query("""WITH r AS (SELECT user_id % 20 AS k, user_id AS rep, event_type AS f, event_id % 4 AS how FROM events WHERE event_id % 3 = 0),
+@query("""WITH r AS (SELECT user_id % 20 AS k, user_id AS rep, event_type AS f, event_id % 4 AS how FROM events),
 reps AS (SELECT k, count(DISTINCT rep) AS n FROM r GROUP BY k), kept AS (SELECT k, f FROM r WHERE how = 0 GROUP BY k, f HAVING count(DISTINCT rep) = (SELECT n FROM reps WHERE reps.k = r.k)),
 c AS (SELECT DISTINCT k, f FROM r WHERE how = 1), l AS (SELECT DISTINCT k, f FROM r WHERE how = 2 AND f < 'm'), u AS (SELECT DISTINCT k, f FROM r WHERE how = 3 AND f > 'm')
 SELECT k, coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM kept WHERE kept.k = reps.k AND NOT EXISTS (SELECT 1 FROM c WHERE c.k = kept.k AND c.f = kept.f) AND NOT EXISTS (SELECT 1 FROM l WHERE l.k = kept.k AND l.f = kept.f) AND NOT EXISTS (SELECT 1 FROM u WHERE u.k = kept.k AND u.f = kept.f)), '') AS kept,
 coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM c WHERE c.k = reps.k AND NOT EXISTS (SELECT 1 FROM l WHERE l.k = c.k AND l.f = c.f)), '') AS changed, coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM l WHERE l.k = reps.k), '') AS lost,
 coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM u WHERE u.k = reps.k AND NOT EXISTS (SELECT 1 FROM c WHERE c.k = u.k AND c.f = u.f) AND NOT EXISTS (SELECT 1 FROM l WHERE l.k = u.k AND l.f = u.f)), '') AS open FROM reps""")
 def evidence_sets(spark, d):
-    e = A.table(spark, d, "events").filter("event_id % 3 = 0").withColumns({"k": F.col("user_id") % 20, "how": F.col("event_id") % 4, "f": F.col("event_type")})
+    e = A.table(spark, d, "events").withColumns({"k": F.col("user_id") % 20, "how": F.col("event_id") % 4, "f": F.col("event_type")})
     of = lambda c: F.collect_set(F.when(c, F.col("f")))
     r = e.groupBy("k", "user_id").agg(of(F.col("how") == 0).alias("kept"), of(F.col("how") == 1).alias("changed"), of((F.col("how") == 2) & (F.col("f") < "m")).alias("lost"), of((F.col("how") == 3) & (F.col("f") > "m")).alias("unknown"))
     out = win.evidence(r, "k")
