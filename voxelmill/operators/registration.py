@@ -152,12 +152,12 @@ def nearest_distance(points: DataFrame, others: DataFrame, first: float = 0.5) -
                 break
 
 
-def register(source: DataFrame, target: DataFrame, size: float = 2.0, thin: float = 0.4, distances: tuple[float, ...] = (3.0, 1.0, 0.4), coarse: float = 5.0, fine: float = 0.25, every: int = 1, held: int = 1) -> dict:
+def register(source: DataFrame, target: DataFrame, size: float = 2.0, thin: float = 0.4, distances: tuple[float, ...] = (3.0, 1.0, 0.4), coarse: float = 5.0, fine: float = 0.25, every: int = 1, held: int = 1, rounds: int = 100) -> dict:
     """The motion that takes the source (id, x, y, z, nx, ny, nz) to the target, and whether it may be used.
 
     Headings every `coarse` degrees and both kinds of handedness, then every `fine` ones around the best; the height from flat rows
     nearest in the plane; refinement at falling distances between thinned surveys. every: rows whose id is a multiple of it take
-    part in the search, held: in the judgement, which asks for a median distance below 0.15 and a share of 0.7 or more below 0.3.
+    part in the search, held: in the judgement; rounds: most at each distance. The judgement asks for a median distance below 0.15 and a share of 0.7 or more below 0.3.
 
     matrix, score, angle, sign, quantiles (0.1, 0.5, 0.9, 0.99 of the held rows' distances), within_share (below 0.3), accepted.
     """
@@ -176,7 +176,7 @@ def register(source: DataFrame, target: DataFrame, size: float = 2.0, thin: floa
     matrix[2, 3] = middle.v if middle else 0.0
     thin_a, thin_b = (stored(thinned(df, thin), "survey-thin") for df in (a, b))
     for d in distances:
-        matrix, *_ = refined(thin_a, thin_b, matrix, d)
+        matrix, *_ = refined(thin_a, thin_b, matrix, d, rounds=rounds)
     judged = stored(nearest_distance(moved(source.filter(F.col("id") % held == 0).select("id", *AXES), matrix), target.select(*AXES)), "survey-judged")
     q = {r.q: r.v for r in audits.quantiles(judged, "dist", [0.1, 0.5, 0.9, 0.99]).collect()}
     share = judged.agg(F.avg((F.col("dist") < 0.3).cast("double"))).first()[0] or 0.0
