@@ -141,7 +141,7 @@ st AS (SELECT ax AS ix, ay AS iy FROM pr UNION SELECT cx, cy FROM pr), aw AS (SE
 t0 AS (SELECT t, exp(-0.5::DOUBLE * (t / 1.5::DOUBLE) * (t / 1.5::DOUBLE)) AS g FROM (SELECT unnest(range(-6, 7)) AS t)), tp AS (SELECT t, g / (SELECT sum(g) FROM t0) AS w FROM t0),
 gx AS (SELECT a.ix, a.iy, sum(w * CASE WHEN b.paved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m, sum(w * CASE WHEN b.paved THEN b.height ELSE 0.0::DOUBLE END) AS v FROM rt a, tp, rb JOIN rt b ON b.iy = a.iy AND b.ix = greatest(least(a.ix + t, ux), lx) GROUP BY a.ix, a.iy),
 gy AS (SELECT a.ix, a.iy, sum(w * b.m) AS m, sum(w * b.v) AS v FROM rt a, tp, rb JOIN gx b ON b.ix = a.ix AND b.iy = greatest(least(a.iy + t, uy), ly) GROUP BY a.ix, a.iy),
-sh AS (SELECT rt.ix, rt.iy, height, paved, greatest(least((8 - away) / 6.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) * greatest(least(coalesce(edge, 0) / 1.2::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) AS share, v / greatest(m, 1e-6) AS mean FROM rt LEFT JOIN ed USING (ix, iy) JOIN aw USING (ix, iy) JOIN gy USING (ix, iy))"""
+sh AS (SELECT rt.ix, rt.iy, height, paved, greatest(least((8 - coalesce(away, 8)) / 6.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) * greatest(least(coalesce(edge, 0) / 1.2::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) AS share, v / greatest(m, 1e-6) AS mean FROM rt LEFT JOIN ed USING (ix, iy) LEFT JOIN aw USING (ix, iy) JOIN gy USING (ix, iy))"""
 
 
 @query(f"WITH {A.LP}, {_C}, {_ROAD} SELECT ix, iy, round(height, 7) AS height, round(CASE WHEN paved AND share > 0 THEN height + (mean - height) * share ELSE height END, 7) AS repaired FROM sh")
