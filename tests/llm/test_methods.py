@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from voxelmill.llm import decontaminate, embeddings, html_text, pii
+from voxelmill.llm import common, decontaminate, embeddings, html_text, pii, quality
 
 WORDS = "the of and to in that is was for it with as his on be at by had not are".split()
 
@@ -158,3 +158,21 @@ def test_only_the_benchmarks_words_are_counted(spark):
     wins = decontaminate.windows(spark.createDataFrame([(1, "the of and"), (2, "never seen")], "item_id long, text string"))
     got = decontaminate.prefixes(docs, wins, 3).collect()
     assert [tuple(q.w) for q in got] == [("the", "of", "and")] and got[0].off == 0
+
+
+def test_quality_of_tables_with_clashing_names(spark):
+    """Columns named like the results, or like what is computed on the way, stay or are stood in for."""
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(40)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    want = {q.doc_id: (q.perplexity, q.accepted) for q in quality.judge(docs, labels).collect()}
+    odd = docs.selectExpr("*", "1 AS __lp", "'x' AS __units", "2 AS __lang", "'l' AS __l", "3 AS __mean", "'mine' AS Perplexity", "7 AS accepted")
+    got = quality.judge(odd, labels)
+    assert got.columns == ["doc_id", "text", "lang", "__lp", "__units", "__lang", "__l", "__mean", "perplexity", "threshold", "accepted"]
+    assert {q.doc_id: (q.perplexity, q.accepted) for q in got.collect()} == want and {q["__units"] for q in got.collect()} == {"x"}
+    path = common.shared_path(spark, "tables")
+    labels.write.parquet(f"{path}/labels.parquet")
+    kept = quality.accepted_documents(spark, odd, path)
+    assert kept.columns == odd.columns and {(q.Perplexity, q.accepted) for q in kept.collect()} == {("mine", 7)}
+    assert {q.doc_id for q in kept.collect()} == {i for i, (_, ok) in want.items() if ok}

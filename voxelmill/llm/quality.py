@@ -423,8 +423,24 @@ def score(docs: DataFrame, shards: Shards) -> DataFrame:
     return docs.mapInArrow(lambda b: _score(b, shards), schema)
 
 
+#: Columns that judge() adds.
+RESULTS = ("perplexity", "threshold", "accepted")
+
+
+def _named_apart(docs: DataFrame) -> dict[str, str]:
+    """New names for the columns of docs that are named like a result or like what is computed on the way."""
+    return {c: f"__in_{i}" for i, c in enumerate(docs.columns) if c.startswith("__") or c.lower() in RESULTS}
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """docs with perplexity, threshold and accepted.
+    """docs with perplexity, threshold and accepted; these stand in for columns of docs with their names."""
+    names = _named_apart(docs)
+    out = _judged(docs.withColumnsRenamed(names), labels, quantile, margin)
+    return out.drop(*[n for c, n in names.items() if c.lower() in RESULTS]).withColumnsRenamed({n: c for c, n in names.items()})
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """judge() of docs whose columns clash with none of its own.
 
     Trusted documents are those labelled quality 1 and not toxic; all of them train the model and, held out, set the
     thresholds. Documents of a language whose trusted texts fill less than two folds have no threshold and are accepted, as
@@ -466,7 +482,9 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 @stage
 def accepted_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier doesn't reject."""
-    return judge(docs, read(spark, sf_dir, "labels")).filter("accepted").select(*docs.columns)
+    names = _named_apart(docs)
+    out = _judged(docs.withColumnsRenamed(names), read(spark, sf_dir, "labels")).filter("accepted").drop(*RESULTS)
+    return out.withColumnsRenamed({n: c for c, n in names.items()}).select(*docs.columns)
 
 
 SQL: dict[str, str] = {}
