@@ -233,3 +233,34 @@ def test_recall(spark):
     got = {q.vec_id: q.n_links for q in embeddings.near_vectors(table).collect()}
     found = np.array([got[i] for i in ids])
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+
+
+@pytest.mark.parametrize("fraction", (0.05, 0.4, 0.5, 0.93))
+def test_rounding_against_the_pool(fraction):
+    """Words stay: one row at most is left fractional, rounding moves no more than its words, each row is rounded up as often as it says."""
+    size, n = np.array([900, 400, 400, 90, 60, 30, 30, 10, 3, 0]), 6000
+    units = np.repeat(np.arange(n), len(size))
+    batch = pa.RecordBatch.from_arrays([pa.array(units * 7919 + 13), pa.array(np.full(len(units), fraction)), pa.array(np.tile(size, n)), pa.array(np.tile(np.arange(len(size)), n))], names=["unit", "p", "size", "uid"])
+    rounds = lambda last: np.concatenate([b.column("p").to_numpy() for b in mixing._pooled(iter([batch]), last)]).reshape(n, len(size))
+    left, out = rounds(False), rounds(True)
+    open_ = (left > 0) & (left < 1)
+    assert (open_.sum(axis=1) <= 1).all() and np.allclose(left @ size, fraction * size.sum())
+    assert np.isin(out, (0, 1)).all() and (np.abs(out - left) * size).sum(axis=1).max() <= (open_ * size).sum(axis=1).max()
+    assert np.abs(out.mean(axis=0) - fraction).max() < 0.03
+
+
+def test_words_of_unequal_documents(spark):
+    """Fifty documents of a source, one of them a fifth of all its words: words come within 2 % of the target where the others can
+    take up what rounding that one moves, within half of it elsewhere."""
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * (5000 if i % 50 == 7 else r.randint(20, 700))), "en", f"s{i // 50}") for i in range(300)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    near = 0
+    for s in {q.source for q in got}:
+        own = [q for q in got if q.source == s]
+        total, goal = own[0].source_size, own[0].target
+        f, off = goal / total % 1, abs(sum(q.taken for q in own) - goal)
+        roomy = min(f, 1 - f) * (total - 5000) >= max(f, 1 - f) * 5000
+        assert off <= (0.02 * goal if roomy else 2500)
+        near += roomy
+    assert near

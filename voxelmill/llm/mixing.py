@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's documents all want target / source size copies: the whole part is sure, the fraction is rounded by pivotal
-sampling. Two fractional documents meet, mass moves at random from one to the other until one is integral, and the
-other meets the next; the sum of fractions stays. Documents meet in order of falling size within blocks of bounded
-size, so that words stay near their target and what is left over is small. Every block leaves at most one fractional
-document; these meet in blocks of blocks, a reduction tree that ends with one document a source, rounded alone.
+sampling. Two fractional units meet, mass moves at random from one to the other until one is integral, and the other
+meets the next. Within blocks of bounded size the units are a document, largest first, and the pool of all smaller ones,
+and the mass is words: the block's words stay, and its last and smallest document is what is left over. These documents
+of one source, near each other in size, meet in pairs in blocks of blocks, a reduction tree that ends with one document a
+source, rounded alone.
 Only ids, sources and sizes move; texts are read once.
 """
 
@@ -49,6 +50,38 @@ def targets(sizes: list[float], weights=WEIGHTS, budget: float = BUDGET, most: f
     return out
 
 
+def _pooled(batches, last: bool):
+    """Rounds the fractions p of each unit's rows, which are equal; at most one row of a unit stays fractional unless last.
+
+    Each row in turn, largest first, meets the pool of the smaller ones: words move from one to the other until the row or the
+    whole pool is integral. The pool's rows share what moves by their size, so one fraction holds for all of them; each row
+    is rounded up as often as its fraction says. Rows without a word move nothing and are rounded alone.
+    """
+    for t in groups(batches, "unit"):
+        p, size, uid = t.column("p").to_numpy().copy(), t.column("size").to_numpy().astype(float), t.column("uid").to_numpy()
+        draws = np.random.default_rng(abs(int(t.column("unit")[0].as_py()))).random(len(p) + 1)
+        order = np.lexsort((uid, -size))
+        smaller = size[order].sum() - np.cumsum(size[order])
+        of, q, left = p[0], p[0], -1
+        for n, i in enumerate(order if 0 < of < 1 else ()):
+            s, pool = size[i], smaller[n]
+            if s == 0:
+                p[i] = 1.0 if draws[n] < of else 0.0
+            elif q <= 0 or q >= 1:
+                p[i] = q
+            elif pool == 0:
+                p[i], left = q, i
+            else:
+                up, down = min((1 - q) * s, q * pool), min(q * s, (1 - q) * pool)
+                moved = up if draws[n] * (up + down) < down else -down
+                p[i], q = q + moved / s, q - moved / pool
+                p[i], q = (round(v) if abs(v - round(v)) < 1e-9 else v for v in (p[i], q))
+                left = i if 0 < p[i] < 1 else left
+        if last and left >= 0:
+            p[left] = 1.0 if draws[-1] < p[left] else 0.0
+        yield from t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).to_batches()
+
+
 def _pivotal(batches, last: bool):
     """Rounds the fractions p of each unit's rows; at most one row of a unit stays fractional unless last."""
     for t in groups(batches, "unit"):
@@ -111,7 +144,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
         final = blocks == 1
         units = now.withColumn("unit", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "block", F.lit(seed + level)))
         units = units.repartition("unit").sortWithinPartitions("unit")
-        got = units.mapInArrow(lambda b, final=final: _pivotal(b, final), units.schema)
+        rounded = _pivotal if level else _pooled
+        got = units.mapInArrow(lambda b, final=final, rounded=rounded: rounded(b, final), units.schema)
         got = stored(got.drop("unit"), "op4-level")
         done.append(got.filter("p <= 0 or p >= 1"))
         if final:
