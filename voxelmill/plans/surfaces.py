@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import claims, contours, edges, masks, patches, regions, registration, terrain
+from ..operators import claims, contours, edges, masks, merging, patches, regions, registration, terrain
 from ..sources.folders import shared
 from . import adapters as A
 from .columns import _r
@@ -205,6 +205,18 @@ def drawn_planes(spark, d):
     return planes.withColumns(_r("nx ny nz offset", 6))
 
 
+@query()
+def merged_region_planes(spark, d):
+    """Planes of regions made one where their common rows stay flat; held against planted planes and numpy in the tests."""
+    points = _floor(spark, d)
+    planes, members = regions.region_planes(points, 4.0, 0.02, 0.2, 12, 2, 24)
+    key = merging.region_key()
+    own = members.withColumn("plane", key).join(points, "id").select("plane", "id", "x", "y", "z")
+    models, _, of = merging.merged_planes(own, planes.withColumn("plane", key), merging.region_links(planes), 0.2, 10.0)
+    pieces = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("pieces"))
+    return models.join(pieces, "cluster").withColumns(_r("nx ny nz offset", 6))
+
+
 @query()
 def ordered_claims(spark, d):
     """An ordered fold has no SQL; held against one in the tests."""
