@@ -17,6 +17,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def _of_texts(texts: list[bytes], least: int, times: int) -> tuple[list[int], li
 def _runs(batches, least: int, times: int):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        size, low = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        size, low = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while low < len(texts):
             high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + BYTES, "right")))
             n, runs, kept = _of_texts(texts.slice(low, high - low).to_pylist(), least, times)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +165,7 @@ def _index(batches, rules: tuple[Rule, ...]):
     made = Rules(rules)
     for batch in batches:
         texts, keys = batch.column("text"), batch.column("key").to_numpy()
-        size, low = np.cumsum(np.asarray(texts.value_lengths() if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts))), 0
+        size, low = np.cumsum(np.asarray(texts.value_lengths() if hasattr(texts, "value_lengths") else pc.binary_length(texts))), 0
         while low < len(keys):
             high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + BYTES, "right")))
             number, at = made.postings(texts.slice(low, high - low).to_pylist())
