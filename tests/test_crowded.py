@@ -30,3 +30,16 @@ print(next(shapes._votes([batch], ((16, 2.0),), 6, 16)).to_pydict())
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, check=False)
     assert "{'id': [1], 'supported': [1], 'consistent': [1]}" in done.stdout, done.stderr
+
+
+def test_weighted_quantile_of_ties(spark):
+    """95 % lies exactly at the next to last of 20 steps; which way the sums of doubles are rounded doesn't matter."""
+    rows = []
+    for line in range(40):
+        step, order = 1 / (20 + math.sqrt(line + 2)), np.random.default_rng(line).permutation(21)
+        order = [k for k in order if 0 < k < 20][:1] + [k for k in order if k in (0, 20)] + [k for k in order if 0 < k < 20][1:]
+        rows += [(line, float(v), step / 2 if k in (0, 20) else step) for v, k in enumerate(order)]
+    got = {q.line: q.q for q in statistics.weighted_quantile(spark.createDataFrame(rows, "line long, v double, w double").repartition(5, "v"), "line", "v", "w", 0.95).collect()}
+    for line in got:
+        own = [(v, Fraction(w)) for n, v, w in rows if n == line]
+        assert got[line] == min(v for v, _ in own if sum(w for u, w in own if u <= v) >= Fraction(95, 100) * sum(w for _, w in own) * (1 - Fraction(1, 10**12)))
