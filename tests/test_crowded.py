@@ -19,6 +19,19 @@ def _points(spark, at, name="id"):
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], f"{name} long, x double, y double, z double")
 
 
+@pytest.mark.parametrize(("k", "axes"), [(1, "xy"), (4, "xyz")])
+def test_nearest_within_looks_near_first(spark, monkeypatch, k, axes):
+    at = np.vstack([_cloud(600), [[0.9, 0.9, 0.9]]])
+    radii, plain = [], joins.within
+    monkeypatch.setattr(joins, "within", lambda p, o, r, a="xyz": radii.append(r) or plain(p, o, r, a))
+    got = {(q.id, q.rank): q.oid for q in joins.nearest_within(_points(spark, at), _points(spark, at, "oid"), 0.3, k, axes, itself=False).collect()}
+    d = np.sqrt(sum((at[:, None, i] - at[None, :, i]) ** 2 for i in range(len(axes))))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): int(o) for i in range(len(at)) for r, o in enumerate(np.argsort(d[i], kind="stable")[:k]) if d[i, o] <= 0.3}
+    assert got == want
+    assert radii[0] < 0.3
+
+
 def test_votes_in_a_fresh_process():
     """A worker that has imported nothing else."""
     code = """
