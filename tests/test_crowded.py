@@ -32,6 +32,17 @@ def test_nearest_within_looks_near_first(spark, monkeypatch, k, axes):
     assert radii[0] < 0.3
 
 
+def test_edge_features_looks_near_first(spark, monkeypatch):
+    radii, plain = [], joins.within
+    monkeypatch.setattr(joins, "within", lambda p, o, r, a="xyz": radii.append(r) or plain(p, o, r, a))
+    at = _cloud(600, 6)
+    got = {(q.id, q.oid) for q in shapes.offsets(_points(spark, at), 0.3, 8).collect()}
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(o)) for i in range(len(at)) for o in np.argsort(d[i], kind="stable")[:8] if d[i, o] <= 0.3}
+    assert radii[0] < 0.3
+
+
 def test_votes_in_a_fresh_process():
     """A worker that has imported nothing else."""
     code = """
