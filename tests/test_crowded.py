@@ -67,3 +67,29 @@ def test_weighted_quantile_of_ties(spark):
     for line in got:
         own = [(v, Fraction(w)) for n, v, w in rows if n == line]
         assert got[line] == min(v for v, _ in own if sum(w for u, w in own if u <= v) >= Fraction(95, 100) * sum(w for _, w in own) * (1 - Fraction(1, 10**12)))
+
+
+def test_capsule_cover_in_turns(spark, monkeypatch):
+    """Long segments and short ones; a covered piece meets no later segment."""
+    r = np.random.default_rng(3)
+    a, b = _cloud(1500, 7), _cloud(1500, 8)
+    b = np.where(np.arange(1500)[:, None] % 3 == 0, b, a + 0.2 * b)
+    p = _cloud(80, 9)
+    q = p + r.normal(0, 0.01, p.shape)
+    left, plain = [], joins.stored
+    monkeypatch.setattr(joins, "stored", lambda df, name: [out := plain(df, name), left.append(out.count()) if name == "pieces" else None][0])
+    table = lambda key, u, v, names: spark.createDataFrame([(i, *map(float, x), *map(float, y)) for i, (x, y) in enumerate(zip(u, v, strict=True))], f"{key} long, " + ", ".join(f"{e}{c} double" for e in names for c in "xyz"))
+    longest = float(np.sqrt(((a - b) ** 2).sum(1)).max())
+    got = {x.piece: x.seg for x in joins.capsule_cover(table("piece", p, q, "pq"), table("seg", a, b, "ab"), 0.06, longest * 1.01).collect()}
+    assert left == sorted(left, reverse=True) and left[1] < left[0] == 80
+
+    def away(e):
+        ab, ap = b - a, e - a
+        t = np.clip((ab * ap).sum(1) / (ab * ab).sum(1), 0, 1)
+        return np.sqrt(((ap - t[:, None] * ab) ** 2).sum(1))
+
+    for i in range(80):
+        on = np.flatnonzero((away(p[i]) <= 0.06) & (away(q[i]) <= 0.06))
+        assert got[i] == (int(on[0]) if len(on) else None)
+    with pytest.raises(Exception, match="longer than said"):
+        joins.capsule_cover(table("piece", p, q, "pq"), table("seg", a, b, "ab"), 0.06, 0.01).collect()
