@@ -93,3 +93,9 @@ def test_capsule_cover_in_turns(spark, monkeypatch):
         assert got[i] == (int(on[0]) if len(on) else None)
     with pytest.raises(Exception, match="longer than said"):
         joins.capsule_cover(table("piece", p, q, "pq"), table("seg", a, b, "ab"), 0.06, 0.01).collect()
+
+
+def test_first_claims_of_many_planes(spark):
+    planes = spark.range(20_001).selectExpr("id AS plane", "1.0D AS nx", "0.0D AS ny", "0.0D AS nz", "-0.001D * id AS offset")
+    points = spark.createDataFrame([(0, 0.0105, 0.0, 0.0), (1, 20.0, 1.0, 1.0), (2, 25.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    assert {q.id: q.plane for q in shapes.first_claims(points, planes, 0.0021).collect()} == {0: 9, 1: 19_998}
