@@ -99,3 +99,17 @@ def test_first_claims_of_many_planes(spark):
     planes = spark.range(20_001).selectExpr("id AS plane", "1.0D AS nx", "0.0D AS ny", "0.0D AS nz", "-0.001D * id AS offset")
     points = spark.createDataFrame([(0, 0.0105, 0.0, 0.0), (1, 20.0, 1.0, 1.0), (2, 25.0, 0.0, 0.0)], "id long, x double, y double, z double")
     assert {q.id: q.plane for q in shapes.first_claims(points, planes, 0.0021).collect()} == {0: 9, 1: 19_998}
+
+
+def test_plane_pairs_by_blocks(spark, monkeypatch):
+    same = spark.range(20_001).selectExpr("id AS plane", "1.0D AS nx", "0.0D AS ny", "0.0D AS nz")
+    assert joins.plane_pairs(same, 25.0).isEmpty()
+    n = _cloud(130, 4)
+    n /= np.sqrt((n * n).sum(1))[:, None]
+    planes = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(n)], "plane long, nx double, ny double, nz double")
+    got = sorted((q.a, q.b) for q in joins.all_pairs(planes, "plane", 20).select(*joins._ends("plane")).collect())
+    assert got == [(i, j) for i in range(130) for j in range(i + 1, 130)]
+    degrees = np.degrees(np.arccos(np.minimum(np.abs(n @ n.T), 1.0)))
+    got = {(q.a, q.b): q.degrees for q in joins.plane_pairs(planes, 25.0).collect()}
+    assert set(got) == {(i, j) for i in range(130) for j in range(i + 1, 130) if degrees[i, j] >= 25}
+    assert all(abs(got[k] - degrees[k]) < 1e-9 for k in got)
