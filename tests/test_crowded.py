@@ -113,3 +113,13 @@ def test_plane_pairs_by_blocks(spark, monkeypatch):
     got = {(q.a, q.b): q.degrees for q in joins.plane_pairs(planes, 25.0).collect()}
     assert set(got) == {(i, j) for i in range(130) for j in range(i + 1, 130) if degrees[i, j] >= 25}
     assert all(abs(got[k] - degrees[k]) < 1e-9 for k in got)
+
+
+def test_plane_pairs_within_reach(spark):
+    n, at = _cloud(120, 14), _cloud(120, 15)
+    n /= np.sqrt((n * n).sum(1))[:, None]
+    planes = spark.createDataFrame([(i, *map(float, [*v, *p])) for i, (v, p) in enumerate(zip(n, at, strict=True))], "plane long, nx double, ny double, nz double, x double, y double, z double")
+    got = {(q.a, q.b) for q in joins.plane_pairs(planes, 0.0, 40.0, 0.2).collect()}
+    degrees = np.degrees(np.arccos(np.minimum(np.abs(n @ n.T), 1.0)))
+    gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if degrees[i, j] <= 40 and gap[i, j] <= 0.2}
