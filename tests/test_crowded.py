@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from voxelmill.operators import joins, shapes, statistics
+from voxelmill.operators import choices, joins, shapes, statistics
 
 
 def _cloud(n, seed=5):
@@ -123,3 +123,34 @@ def test_plane_pairs_within_reach(spark):
     degrees = np.degrees(np.arccos(np.minimum(np.abs(n @ n.T), 1.0)))
     gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
     assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if degrees[i, j] <= 40 and gap[i, j] <= 0.2}
+
+
+def _intervals(spark, n, seed):
+    r = np.random.default_rng(seed)
+    low, long = r.integers(0, 2000, 2 * n), r.integers(0, 60, 2 * n) * (r.random(2 * n) < 0.9)
+    rows = [(f"k{i % 2}", i, int(a), int(a + b)) for i, (a, b) in enumerate(zip(low, long, strict=True))]
+    at = spark.createDataFrame(rows, "kind string, id long, low long, high long")
+    return rows, at.filter("id >= 400").withColumnRenamed("id", "a"), at.filter("id < 400 AND (low < 800 OR low > 1100)").withColumnRenamed("id", "b")
+
+
+def _plainly(rows):
+    """Which unit steps of each left interval some right one covers."""
+    right = {(k, t) for k, i, a, b in rows if i < 400 and not 800 <= a <= 1100 for t in range(a, b)}
+    return {(k, i): ({t for t in range(a, b) if (k, t) in right}, set(range(a, b))) for k, i, a, b in rows if i >= 400}
+
+
+def _steps(got):
+    out = {}
+    for q in got:
+        out.setdefault((q.kind, q.a), []).extend(range(q.low, q.high))
+    assert all(len(v) == len(set(v)) for v in out.values())
+    return {k: set(v) for k, v in out.items()}
+
+
+def test_covered_meets_unions(spark, monkeypatch):
+    rows, left, right = _intervals(spark, 500, 1)
+    met, plain = [], joins.interval_overlaps
+    monkeypatch.setattr(joins, "interval_overlaps", lambda *a: [out := plain(*a), met.append(out.count())][0])
+    got = _steps(joins.covered(left, right, ["kind"], 50.0).collect())
+    assert got == {k: own for k, (own, _) in _plainly(rows).items() if own}
+    assert met[0] <= 2 * left.count()
