@@ -154,3 +154,12 @@ def test_covered_meets_unions(spark, monkeypatch):
     got = _steps(joins.covered(left, right, ["kind"], 50.0).collect())
     assert got == {k: own for k, (own, _) in _plainly(rows).items() if own}
     assert met[0] <= 2 * left.count()
+
+
+def test_interval_difference_meets_unions(spark, monkeypatch):
+    rows, left, right = _intervals(spark, 500, 2)
+    met, plain = [], joins.interval_overlaps
+    monkeypatch.setattr(joins, "interval_overlaps", lambda *a: [out := plain(*a), met.append(out.count())][0])
+    got = _steps(choices.interval_difference(left, right, ["kind"], 50.0).collect())
+    assert got == {k: whole - own for k, (own, whole) in _plainly(rows).items() if whole - own}
+    assert met[0] <= 2 * left.count()

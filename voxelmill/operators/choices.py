@@ -188,8 +188,7 @@ def simplified(loops: DataFrame, key: str, order: str, tolerance: float) -> Data
 
 def interval_difference(left: DataFrame, right: DataFrame, key: list[str], size: float) -> DataFrame:
     """(key, a, low, high): the parts of the left intervals (key, a, low, high) that no right one (key, b, low, high) covers."""
-    both = joins.interval_overlaps(left, right, key, size).withColumn("__k", F.struct(*key, "a"))
-    covered = sequences.merged(both.select("__k", "low", "high"), "__k", "low", "high")
+    covered = joins.covered(left, right, key, size).select(F.struct(*key, "a").alias("__k"), "low", "high")
     w = Window.partitionBy("__k").orderBy("low")
     holes = left.withColumn("__k", F.struct(*key, "a")).join(covered.withColumnsRenamed({"low": "cl", "high": "ch"}), "__k", "left")
     holes = holes.withColumn("__before", F.coalesce(F.lag("ch").over(w.orderBy("cl")), F.col("low"))).withColumn("__last", F.lead("cl").over(w.orderBy("cl")).isNull())
