@@ -8,7 +8,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from voxelmill.operators import choices, joins, shapes, statistics
+from pyspark.sql import functions as F
+from voxelmill.operators import choices, claims, joins, neighbours, shapes, statistics
 
 
 def _cloud(n, seed=5):
@@ -163,3 +164,23 @@ def test_interval_difference_meets_unions(spark, monkeypatch):
     got = _steps(choices.interval_difference(left, right, ["kind"], 50.0).collect())
     assert got == {k: whole - own for k, (own, whole) in _plainly(rows).items() if whole - own}
     assert met[0] <= 2 * left.count()
+
+
+@pytest.mark.parametrize("size", [40, 1000])
+def test_linkage_within_by_turns(spark, size):
+    """As complete_linkage of all pairs has it, whose one group may be too large."""
+    at = np.round(_cloud(300, 21), 2)  # ties in order
+    points = _points(spark, at).withColumn("order", F.col("x"))
+    pairs = neighbours.radius_pairs(points, 0.1)
+    want = {q.item: q.cluster for q in claims.complete_linkage(points.select(F.col("id").alias("item"), "order"), pairs).collect()}
+    got = {q.item: q.cluster for q in claims.linkage_within(points, "order", 0.1, size).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [40, 1000])
+def test_unsuppressed_within_by_turns(spark, size):
+    at = np.round(_cloud(300, 22), 2)
+    points = _points(spark, at).withColumn("order", -F.col("x"))
+    want = {q.item: q.kept for q in choices.unsuppressed(points.select(F.col("id").alias("item"), "order"), neighbours.radius_pairs(points, 0.1)).collect()}
+    got = {q.item: q.kept for q in claims.unsuppressed_within(points, "order", 0.1, size).collect()}
+    assert got == want

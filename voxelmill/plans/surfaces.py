@@ -229,7 +229,4 @@ def ordered_claims(spark, d):
 @query()
 def edge_clusters(spark, d):
     """Points in turn join the first cluster all of whose members are near; held against the loop in the tests."""
-    from ..operators import neighbours
-
-    p = A.vec_points(spark, d)
-    return claims.complete_linkage(p.select(F.col("id").alias("item"), F.col("x").alias("order")), neighbours.radius_pairs(p, 0.1))
+    return claims.linkage_within(A.vec_points(spark, d).withColumn("order", F.col("x")), "order", 0.1)
