@@ -6,11 +6,27 @@ import math
 import numpy as np
 import pytest
 
-from voxelmill.operators import edges
+from voxelmill.operators import crowds, edges, shapes
 
 SEGMENT = "id long, kind long, ax double, ay double, az double, bx double, by double, bz double"
 
 
+def crowd(spark, seed=1, n=400):
+    """Points of which some share a place and some have a neighbour exactly at 0.25."""
+    r = np.random.default_rng(seed)
+    at = np.round(r.normal(0, 0.2, (n, 3)) * 16) / 16
+    at[: n // 2] = r.normal(0, 0.2, (n // 2, 3))
+    at[-1] = 9.0
+    return at, spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "id long, x double, y double, z double")
+
+
+def near(at, radius):
+    d2 = ((at[:, None] - at[None]) ** 2) @ np.ones(3)
+    on = d2 <= radius * radius
+    np.fill_diagonal(on, False)
+    return d2, on
+
+
 def segments(spark, rows):
     return spark.createDataFrame([(i, 1, *map(float, np.ravel(s))) for i, s in enumerate(rows)], SEGMENT)
 
@@ -68,3 +84,37 @@ def test_own_intervals_meet_by_direction(spark):
     assert edges._pairs(mine, other, 1e-9, 1.0, ways).filter("o_id < id").count() < 60 + 20 * 80
     got = {(q.id): q.high - q.low for q in edges.own_intervals(p).collect()}
     assert set(got) == set(range(60)) and all(math.isclose(got[i], np.linalg.norm(rows[i][1] - rows[i][0]), abs_tol=1e-12) for i in got)
+
+
+@pytest.mark.parametrize("block", [11, 2048])
+def test_third_farthest(spark, block):
+    at, points = crowd(spark)
+    out = crowds.third_farthest(points, 0.25, 6, block)
+    assert "Join" not in plan(out).split("FlatMapCoGroupsInArrow")[0]
+    d2, on = near(at, 0.25)
+    want = {i: np.sort(d2[i][on[i]])[-3] for i in range(len(at)) if on[i].sum() >= 6}
+    got = {q.id: q.third for q in out.collect()}
+    assert want.keys() == got.keys() and all(math.isclose(want[i], got[i], abs_tol=1e-12) for i in want)
+
+
+@pytest.mark.parametrize("block", [11, 2048])
+def test_widest_gaps(spark, block):
+    at, points = crowd(spark, 2)
+    _, on = near(at, 0.25)
+    want = {}
+    for i in np.flatnonzero(on.any(1)):
+        a = np.sort(np.degrees(np.arctan2(*(at[on[i]] - at[i]).T[[1, 0]])))
+        want[i] = max(np.diff(np.append(a, a[0] + 360)))
+    got = {q.id: q.gap for q in crowds.widest_gaps(points, 0.25, block).collect()}
+    assert want.keys() == got.keys() and all(math.isclose(want[i], got[i], abs_tol=1e-9) for i in want)
+
+
+@pytest.mark.parametrize("block", [11, 2048])
+def test_moments_within(spark, block):
+    """As those of the pairs, far from the origin too; and the features make no pairs."""
+    at, points = crowd(spark, 3)
+    points = points.selectExpr("id", "x + 1000 AS x", "y - 500 AS y", "z").dropDuplicates(["x", "y", "z"])
+    want = {q.id: q for q in shapes.moments(shapes.offsets(points, 0.25), own=True).collect()}
+    got = {q.id: q for q in crowds.moments_within(points, 0.25, block).collect()}
+    assert want.keys() == got.keys() and all(g.n == want[i].n and np.allclose(g[2:], want[i][2:], atol=1e-12) for i, g in got.items())
+    assert "FlatMapCoGroupsInArrow" in plan(shapes.contour_features(points, 0.25))
