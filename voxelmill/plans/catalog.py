@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import audits, cells, neighbours, ranges, sequences, statistics
+from ..operators import audits, cells, crowds, neighbours, ranges, sequences, statistics
 from . import adapters as A
 from . import registry
 from .catalog_sql import D2, KNN
@@ -188,23 +188,14 @@ def capacity_ratios(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 
-def _both_ways(spark, d, radius):
-    p = A.vec_points(spark, d)
-    near = neighbours.radius_pairs(p, radius)
-    return p, near.select(F.col("a").alias("id"), F.col("b").alias("nid"), "d2").unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("nid"), "d2"))
-
-
 @query(f"WITH {A.EP}, n AS (SELECT a.id, {_D2} AS d2 FROM ep a JOIN ep b ON a.id <> b.id AND {_D2} <= 0.01::DOUBLE), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2 DESC) AS k FROM n) SELECT id, round(max(CASE WHEN k = 3 THEN d2 END), 9) AS third FROM r GROUP BY id HAVING count(*) >= 6")
 def neighbour_third_largest(spark, d):
-    return statistics.third_largest(_both_ways(spark, d, 0.1)[1], "d2", 6).withColumn("third", F.round("third", 9))
+    return crowds.third_farthest(A.vec_points(spark, d), 0.1, 6).withColumn("third", F.round("third", 9))
 
 
 @query(f"WITH {A.EP}, n AS (SELECT a.id, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM ep a JOIN ep b ON a.id <> b.id AND {_D2} <= 0.01::DOUBLE), s AS (SELECT id, g, coalesce(lead(g) OVER w, first_value(g) OVER w + 360.0::DOUBLE) - g AS step FROM n WINDOW w AS (PARTITION BY id ORDER BY g)) SELECT id, round(max(step), 6) AS gap FROM s GROUP BY id")
 def cyclic_gap(spark, d):
-    p, near = _both_ways(spark, d, 0.1)
-    near = near.join(p.select("id", "x", "y"), "id").join(p.select(F.col("id").alias("nid"), F.col("x").alias("ox"), F.col("y").alias("oy")), "nid")
-    near = near.withColumn("angle", F.degrees(F.atan2(F.col("oy") - F.col("y"), F.col("ox") - F.col("x"))))
-    return statistics.cyclic_gap(near, "angle").withColumn("gap", F.round("gap", 6))
+    return crowds.widest_gaps(A.vec_points(spark, d), 0.1).withColumn("gap", F.round("gap", 6))
 
 
 @query()
