@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from voxelmill.operators import crowds, edges, shapes
+from voxelmill.operators import crowds, edges, neighbours, shapes
 
 SEGMENT = "id long, kind long, ax double, ay double, az double, bx double, by double, bz double"
 
@@ -118,3 +118,13 @@ def test_moments_within(spark, block):
     got = {q.id: q for q in crowds.moments_within(points, 0.25, block).collect()}
     assert want.keys() == got.keys() and all(g.n == want[i].n and np.allclose(g[2:], want[i][2:], atol=1e-12) for i, g in got.items())
     assert "FlatMapCoGroupsInArrow" in plan(shapes.contour_features(points, 0.25))
+
+
+def test_nearest_is_spread_by_places(spark, monkeypatch):
+    """Tasks follow the places, not the bytes that are shuffled; results are those of numpy."""
+    _, points = crowd(spark, 6)
+    monkeypatch.setattr(neighbours, "SEARCHED", 20)
+    out = neighbours.nearest(points, 5, few_points=0)
+    assert "REPARTITION_BY_NUM" in plan(out)
+    rows = lambda df: sorted((q.id, q.rank, q.nid, round(q.dist, 12)) for q in df.collect())
+    assert rows(out) == rows(neighbours.nearest(points, 5))
