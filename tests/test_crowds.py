@@ -128,3 +128,31 @@ def test_nearest_is_spread_by_places(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan(out)
     rows = lambda df: sorted((q.id, q.rank, q.nid, round(q.dist, 12)) for q in df.collect())
     assert rows(out) == rows(neighbours.nearest(points, 5))
+
+
+@pytest.mark.parametrize("block", [11, 2048])
+def test_links_of_a_crowd(spark, block):
+    """As many links as points and neighbouring cells, and the components of all pairs; none across a gap just wider than the radius."""
+    at, _ = crowd(spark, 7, 240)
+    at = np.concatenate([at, [[5, 5, 5], [5.25, 5, 5], [5.5000001, 5, 5]], np.random.default_rng(8).normal(3, 0.01, (300, 3))])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "id long, x double, y double, z double")
+    _, on = near(at, 0.25)
+    label = np.arange(len(at))
+    while (label != (now := np.where(on | np.eye(len(at), dtype=bool), label[None], len(at)).min(1))).any():
+        label = now
+    links = crowds.links(points, 0.25, block).collect()
+    assert all(label[q.src] == label[q.dst] for q in links) and len(links) < on.sum() / 20
+    got = np.arange(len(at))
+    for _ in range(len(at)):
+        was = got.copy()
+        for q in links:
+            got[q.src] = got[q.dst] = min(got[q.src], got[q.dst])
+        if (was == got).all():
+            break
+    assert (got == label).all()
+
+
+def test_nearer_is_open(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.5, 0.0, 0.0), (3, 2.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    assert sorted(q.id for q in crowds.nearer(points, points.filter("id = 1"), 0.5).collect()) == [1]
+    assert sorted(q.id for q in crowds.nearer(points, points.filter("id = 1"), 0.5000001).collect()) == [1, 2]
