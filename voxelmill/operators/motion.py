@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -71,25 +72,27 @@ def residency(rows: DataFrame, payloads: DataFrame, key: str, order: list[str],
     if payloads.count() > 10_000:
         raise ValueError("too many payloads to hold at each key")
     table = payloads.select("payload", "px", "py").toPandas().sort_values("payload")
+    names, px, py = table["payload"].tolist(), table["px"].to_numpy(float), table["py"].to_numpy(float)
     step = min(5.0, radius / 6)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, held, out = None, {}, []
-        for n, (x, y) in enumerate(pdf.sort_values(order)[["x", "y"]].itertuples(index=False)):
+        last, since, out = None, np.full(len(names), -1), []
+        pdf = pdf.sort_values(order)
+        for n, (x, y) in enumerate(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)):
             if last is not None and ((x - last[0]) ** 2 + (y - last[1]) ** 2) ** 0.5 < step:
                 continue
             last = (x, y)
-            away = ((table["px"] - x) ** 2 + (table["py"] - y) ** 2) ** 0.5
-            for name, d in zip(table["payload"], away, strict=True):
-                if name in held and d > radius + 2 * step:
-                    out.append((name, held.pop(name), n))
-                elif name not in held and d <= radius:
-                    held[name] = n
-        out += [(name, since, None) for name, since in held.items()]
+            away, held = ((px - x) ** 2 + (py - y) ** 2) ** 0.5, since >= 0
+            gone, new = held & (away > radius + 2 * step), ~held & (away <= radius)
+            out += [(names[k], int(since[k]), n) for k in np.flatnonzero(gone)]
+            since[gone], since[new] = -1, n
+        out += [(names[k], int(since[k]), None) for k in np.flatnonzero(since >= 0)]
         made = pd.DataFrame(out, columns=["payload", "since", "until"])
         made.insert(0, key, pdf[key].iloc[0])
         return made.astype({"since": "int64", "until": "Int64"})
 
     kind = rows.schema[key].dataType.simpleString()
     payload = payloads.schema["payload"].dataType.simpleString()
-    return rows.select(key, *order, "x", "y").groupBy(key).applyInPandas(fold, f"{key} {kind}, payload {payload}, since long, until long")
+    # The work of a row doesn't show in the bytes that are shuffled, so the number of partitions follows the rows.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(8192, rows.count() // 20_000))
+    return rows.select(key, *order, "x", "y").repartition(parts, key).groupBy(key).applyInPandas(fold, f"{key} {kind}, payload {payload}, since long, until long")
