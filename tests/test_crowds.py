@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from voxelmill.operators import crowds, edges, neighbours, shapes
+from voxelmill.operators import crowds, edges, meshes, motion, neighbours, shapes
 
 SEGMENT = "id long, kind long, ax double, ay double, az double, bx double, by double, bz double"
 
@@ -156,3 +156,37 @@ def test_nearer_is_open(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.5, 0.0, 0.0), (3, 2.0, 0.0, 0.0)], "id long, x double, y double, z double")
     assert sorted(q.id for q in crowds.nearer(points, points.filter("id = 1"), 0.5).collect()) == [1]
     assert sorted(q.id for q in crowds.nearer(points, points.filter("id = 1"), 0.5000001).collect()) == [1, 2]
+
+
+def test_faces_of_one_vertex(spark):
+    """A vertex of many faces is one node: no task gets its faces to sort. A face of one vertex only is in, one without corners is its own."""
+    rows = [(f, 0, 2 * f + 1, 2 * f + 2) for f in range(10, 300)] + [(5, 1001, 1002, 1003), (7, 1003, 1004, 1005), (400, 1005, 1005, 1005), (401, 2000, 2000, 2000), (402, None, None, None)]
+    out = meshes.face_components(spark.createDataFrame(rows, "face long, a long, b long, c long"))
+    assert "Window" not in plan(out)
+    want = {f: 10 for f in range(10, 300)} | {5: 5, 7: 5, 400: 5, 401: 401, 402: 402}
+    assert {q.face: q.component for q in out.collect()} == want
+
+
+def test_residency_of_many_rows(spark):
+    """Partitions follow the rows, and a fold over numbers is as one over a dictionary."""
+    r = np.random.default_rng(9)
+    walk = [(u, i, float(x), float(y)) for u in range(3) for i, (x, y) in enumerate(np.cumsum(r.normal(0, 1.5, (300, 2)), 0))]
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate(r.normal(0, 12, (40, 2)))]
+    rows = spark.createDataFrame(walk, "u long, us long, x double, y double")
+    out = motion.residency(rows, spark.createDataFrame(places, "payload long, px double, py double"), "u", ["us"], 9.0)
+    assert "REPARTITION_BY_NUM" in plan(out)
+    want = []
+    for u in range(3):
+        last, held = None, {}
+        for _, n, x, y in (w for w in walk if w[0] == u):
+            if last and math.hypot(x - last[0], y - last[1]) < 1.5:
+                continue
+            last = x, y
+            for k, px, py in places:
+                away = math.hypot(px - x, py - y)
+                if k in held and away > 12.0:
+                    want.append((u, k, held.pop(k), n))
+                elif k not in held and away <= 9.0:
+                    held[k] = n
+        want += [(u, k, n, None) for k, n in held.items()]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

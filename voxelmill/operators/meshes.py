@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import stored
+from . import graphs
 from .attributes import cross, dot
 from .cells import AXES
 
@@ -129,8 +131,11 @@ def supported(cornered: DataFrame, normals: DataFrame, longest: float, facing: f
     return own.select("face", "owner", reason.alias("reason"))
 
 
-def face_links(faces: DataFrame) -> DataFrame:
-    """(src, dst): faces that share a vertex, chained in order at each vertex, which connects them without every pair."""
-    at = faces.select(F.col("face"), F.explode(F.array("a", "b", "c")).alias("v"))
-    w = Window.partitionBy("v").orderBy("face")
-    return at.select(F.col("face").alias("dst"), F.lag("face").over(w).alias("src")).filter("src IS NOT NULL").select("src", "dst")
+def face_components(faces: DataFrame) -> DataFrame:
+    """(face, component): the least face that ways over shared vertices (a, b, c) reach, itself included. The graph is that of the vertices, so
+    a vertex of many faces is one node, and faces are only aggregated and joined."""
+    sides = F.explode(F.array(*[F.struct(F.col(p).alias("src"), F.col(q).alias("dst")) for p, q in (("a", "b"), ("b", "c"))])).alias("s")
+    of = stored(graphs.labelled(faces.select("a").distinct(), "a", faces.select(sides).select("s.*").distinct()), "vertices")
+    least = faces.join(of, "a").groupBy("component").agg(F.min("face").alias("__least"))
+    names = stored(of.join(least, "component").select("a", F.col("__least").alias("component")), "names")
+    return faces.select("face", "a").join(names, "a", "left").select("face", F.coalesce("component", "face").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, meshes
+from ..operators import meshes
 from . import adapters as A
 from .columns import _r, _rs
 from .registry import query
@@ -108,8 +108,7 @@ def support_gates(spark, d):
 
 @query(f"WITH RECURSIVE {A.FC}, l AS (SELECT a AS s, b AS t FROM fc UNION SELECT b, a FROM fc UNION SELECT b, c FROM fc UNION SELECT c, b FROM fc), r(v, root) AS (SELECT DISTINCT s, s FROM l UNION SELECT l.t, r.root FROM r JOIN l ON l.s = r.v), k AS (SELECT v, min(root) AS root FROM r GROUP BY v), m AS (SELECT root, min(face) AS component FROM fc JOIN k ON v = a GROUP BY root) SELECT face, component FROM fc JOIN k ON v = a JOIN m USING (root)")
 def mesh_components(spark, d):
-    f = A.faces(spark, d)
-    return graphs.labelled(f.select("face"), "face", meshes.face_links(f))
+    return meshes.face_components(A.faces(spark, d))
 
 
 @query(f"WITH {A.FC}, {_ED}, x AS (SELECT owner, count(*) FILTER (WHERE n = 1) AS open, count(*) FILTER (WHERE n > 2) AS tangled FROM mu GROUP BY owner), f AS (SELECT owner, count(*) AS faces FROM fc GROUP BY owner) SELECT owner, faces, open, tangled, open = 0 AND tangled = 0 AS closed FROM f JOIN x USING (owner)")
