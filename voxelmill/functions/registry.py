@@ -74,7 +74,7 @@ def _load() -> None:
     for name, f, needs, checkpoints in (
         ("voxel_counts", cells.counts, xyz, False), ("keep_above", cells.keep_above, xyz, False), ("radius_pairs", neighbours.radius_pairs, f"id long, {xyz}", False),
         ("nearest", neighbours.nearest, f"id long, {xyz}", True), ("outlier_factors", neighbours.outlier_factors, f"id long, {xyz}", True), ("mean_distances", neighbours.mean_distances, f"id long, {xyz}", True),
-        ("components", neighbours.components, f"id long, {xyz}", True), ("edge_features", shapes.edge_features, f"id long, {xyz}", True), ("contour_features", shapes.contour_features, f"id long, {xyz}", False),
+        ("components", neighbours.components, f"id long, {xyz}", True), ("edge_features", shapes.edge_features, f"id long, {xyz}", True), ("contour_features", shapes.contour_features, f"id long, {xyz}", True),
     ):
         if name not in _KNOWN:
             operator(name, needs, checkpoints)(f)
