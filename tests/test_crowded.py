@@ -166,6 +166,40 @@ def test_interval_difference_meets_unions(spark, monkeypatch):
     assert met[0] <= 2 * left.count()
 
 
+def _shares(df):
+    """Rows by the task that makes them."""
+    return [q["count"] for q in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_interval_match_spreads_its_pairs(spark):
+    """Not over as many tasks as the table of events has splits, here one."""
+    from voxelmill.plans.joins import interval_match
+
+    n = _shares(interval_match(spark, "/root/testdata/sf0.01"))
+    assert sum(n) == 11_655
+    assert max(n) < sum(n) / 2
+
+
+@pytest.mark.parametrize("dealt", [15, 10_000])
+def test_interval_overlaps_of_a_crowd(spark, monkeypatch, dealt):
+    """One moment holds most intervals; others touch, are empty, turned round or null, or last for many slots."""
+    monkeypatch.setattr(joins, "DEALT", dealt)
+    r = np.random.default_rng(3)
+    rows = [("k", int(a), int(a + b)) for a, b in zip(r.integers(500, 510, 200), r.integers(-3, 12, 200), strict=True)]
+    rows += [(f"k{i % 2}"[: 1 + i % 3 // 2], int(a), int(a + b)) for i, (a, b) in enumerate(zip(r.integers(-300, 1500, 120), r.integers(0, 400, 120), strict=True))]
+    rows += [("k", 400, 500), ("k", 500, 500), ("k", 500, 600), (None, 1, 900), ("k", None, 900), ("k", 1, None)] * 2
+    rows = [(i, *q) for i, q in enumerate(rows)]
+    at = spark.createDataFrame(rows, "id long, kind string, low long, high long")
+    left, right = (at.filter(f"id % 2 = {k}").withColumnRenamed("id", n) for k, n in ((0, "a"), (1, "b")))
+    whole = [q for q in rows if None not in q]
+    want = sorted((k, a, b, max(l, m), min(h, g)) for a, k, l, h in whole for b, o, m, g in whole if a % 2 == 0 and b % 2 == 1 and k == o and max(l, m) < min(h, g))
+    for crowds in (True, False):
+        assert sorted(tuple(q) for q in joins.interval_overlaps(left, right, ["kind"], 50.0, crowds).collect()) == want
+    n = _shares(joins.interval_overlaps(left, right, ["kind"], 1000.0, True))
+    assert sum(n) == len(want)
+    assert dealt > 15 or max(n) < sum(n) / 2
+
+
 @pytest.mark.parametrize("size", [40, 1000])
 def test_linkage_within_by_turns(spark, size):
     """As complete_linkage of all pairs has it, whose one group may be too large."""
