@@ -126,6 +126,38 @@ def test_plane_pairs_within_reach(spark):
     assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if degrees[i, j] <= 40 and gap[i, j] <= 0.2}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_pairs_copies_no_row(spark):
+    """What is shuffled follows the rows: each block once for either side, not once for every other block."""
+    rows = spark.range(300).repartition(3)
+    pairs = joins.all_pairs(rows, "id", 20)
+    assert "explode" not in _plan(pairs)
+    assert sorted(tuple(q) for q in pairs.select(*joins._ends("id")).collect()) == [(i, j) for i in range(300) for j in range(i + 1, 300)]
+    assert max(_shares(pairs)) <= 2 * 60 * 60
+
+
+def test_link_costs_copy_no_row(spark):
+    from voxelmill.plans.shapes import link_costs
+
+    df = link_costs(spark, "/root/testdata/sf0.01")
+    assert "explode" not in _plan(df)
+    assert df.count() == 17_386
+
+
+def test_plane_pairs_of_no_numbers(spark):
+    """A normal that is no number stands at no angle, as in SQL; a place that is none is within no reach. A limit itself belongs to it."""
+    nan, r = float("nan"), math.sqrt(0.5)
+    rows = [(0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1, nan, 0.0, 0.0, 0.1, 0.0, 0.0), (2, None, 0.0, 1.0, 0.0, 0.1, 0.0), (3, 0.0, 1.0, 0.0, nan, 0.0, 0.0), (4, 0.0, 1.0, 0.0, None, 0.0, 0.0), (5, 0.0, 1.0, 0.0, 0.25, 0.0, 0.0), (None, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0), (6, r, r, 0.0, 1e9, 0.0, 0.0), (7, 0.0, 1.0, 0.0, 1e9, 0.25, 0.0)]
+    at = spark.createDataFrame(rows, "plane long, nx double, ny double, nz double, x double, y double, z double")
+    got = sorted((q.a, q.b, round(q.degrees, 6), q.gap) for q in joins.plane_pairs(at, 0.0, 180.0, 0.25).collect())
+    assert [q[:3] for q in got] == [(0, 1, 0.0), (0, 2, 0.0), (0, 5, 90.0), (1, 2, 0.0), (1, 5, 0.0), (6, 7, 45.0)]
+    assert [q[3] for q in got if q[0] in (0, 6)] == [0.1, 0.1, 0.25, 0.25]
+    assert {(q.a, q.b) for q in joins.plane_pairs(at, 90.0).collect()} == {(0, 3), (0, 4), (0, 5), (0, 7)}
+
+
 def _intervals(spark, n, seed):
     r = np.random.default_rng(seed)
     low, long = r.integers(0, 2000, 2 * n), r.integers(0, 60, 2 * n) * (r.random(2 * n) < 0.9)
